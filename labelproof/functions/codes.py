@@ -5,7 +5,7 @@ whole scan table decodes in one narrow, shuffle-free projection."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import refdata as R
@@ -17,7 +17,8 @@ GS_CHARS = "\x1c\x1d\x1e"
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 # A letter counts as the last digit of its ASCII code in the article check digit.
 LETTER_DIGITS = "".join(str(ord(c))[-1] for c in LETTERS)
-MAX_UNROLLED = 24
+ARTICLE_DIGITS = 22
+SSCC_DIGITS = 17
 
 
 def normalize(raw: Column) -> Column:
@@ -38,8 +39,8 @@ def strip(raw: Column) -> Column:
     return F.upper(F.translate(c, S.WS_CHARS, ""))
 
 
-def strip_brackets(raw: Column) -> Column:
-    return F.translate(strip(raw), "()", "")
+def bare(stripped: Column) -> Column:
+    return F.translate(stripped, "()", "")
 
 
 def role_value(raw: Column) -> Column:
@@ -54,17 +55,18 @@ def to_digits(body: Column) -> Column:
     return F.translate(F.upper(body), LETTERS, LETTER_DIGITS)
 
 
-def weighted_sum(digits: Column, width: int = MAX_UNROLLED) -> Column:
-    """Sum of digit x (3,1,3,..) from the right, unrolled so it stays in generated code.
+def weighted_sum(padded: str, width: int) -> Column:
+    """Sum of digit x (3,1,3,..) from the right over the column named ``padded``, which holds
+    digits left-padded with zeros to ``width``. Unrolled, so it runs in generated code."""
+    terms = [
+        f"{3 if (width - i) % 2 == 0 else 1} * (ascii(substring({padded}, {i}, 1)) - 48)" for i in range(1, width + 1)
+    ]
+    return F.expr(" + ".join(terms))
 
-    Exact for up to ``width`` digits; longer input takes the array form."""
-    padded = F.lpad(digits, width, "0")
-    total = None
-    for i in range(1, width + 1):
-        d = F.ascii(F.substring(padded, i, 1)) - F.lit(48)
-        term = d * 3 if (width - i) % 2 == 0 else d
-        total = term if total is None else total + term
-    longer = F.aggregate(
+
+def weighted_sum_any(digits: Column) -> Column:
+    """The same for digit strings of any length."""
+    return F.aggregate(
         F.transform(
             F.split(F.reverse(digits), ""),
             lambda ch, i: F.coalesce(ch.try_cast("int"), F.lit(0)) * F.when(i % 2 == 0, 3).otherwise(1),
@@ -72,22 +74,15 @@ def weighted_sum(digits: Column, width: int = MAX_UNROLLED) -> Column:
         F.lit(0),
         lambda a, b: a + b,
     )
-    return F.when(F.length(digits) <= width, total).otherwise(longer)
 
 
 def mod10(total: Column) -> Column:
     return F.pmod(F.lit(10) - total % 10, F.lit(10)).cast("string")
 
 
-def article_check_digit(body: Column) -> Column:
-    """Expected article check digit; null when a character is neither digit nor A-Z."""
-    digits = to_digits(body)
-    return F.when(digits.rlike(r"^\d+\z"), mod10(weighted_sum(digits)))
-
-
-def sscc_check_digit(body: Column) -> Column:
-    digits = F.regexp_replace(body, r"\D", "")
-    return F.when(digits != "", mod10(weighted_sum(digits, 18)))
+def check_digit_any(digits: Column) -> Column:
+    """Check digit of a digit string of any length; null when it is not all digits."""
+    return F.when(digits.rlike(r"^\d+\z"), mod10(weighted_sum_any(digits)))
 
 
 def article_check_steps(body: Column) -> Column:
@@ -101,7 +96,7 @@ def article_check_steps(body: Column) -> Column:
             (ch.try_cast("int") * F.when(i % 2 == 0, 3).otherwise(1)).cast("string"),
         ),
     )
-    total = weighted_sum(digits)
+    total = weighted_sum_any(digits)
     return F.when(
         digits.rlike(r"^\d+\z"),
         F.concat(
@@ -122,29 +117,27 @@ def clean_article(c: Column) -> Column:
     return F.regexp_replace(F.upper(c), "[^A-Z0-9]", "")
 
 
-def trim_article(candidate: Column) -> Column:
-    """Candidate cut to its valid 21/23 character prefix when it has one."""
-    c = clean_article(candidate)
+def trim_article(cleaned: Column) -> Column:
+    """Cleaned candidate cut to its valid 21/23 character prefix when it has one."""
     return S.blank_to_null(
-        F.when(c.rlike(ARTICLE_21), F.left(c, F.lit(21)))
-        .when(c.rlike(SSCC_20), c)
-        .when(c.rlike(ARTICLE_23), F.left(c, F.lit(23)))
-        .otherwise(c)
+        F.when(cleaned.rlike(ARTICLE_21), F.left(cleaned, F.lit(21)))
+        .when(cleaned.rlike(SSCC_20), cleaned)
+        .when(cleaned.rlike(ARTICLE_23), F.left(cleaned, F.lit(23)))
+        .otherwise(cleaned)
     )
 
 
-def article_candidate(norm: Column, compact: Column) -> Column:
+def article_source(norm: Column, compact: Column) -> Column:
     """Where the article identifier sits in a scan: after the GTIN and AI 91, in an AI 91
-    segment of its own, after AI 91 in unseparated data, or the whole bare value."""
-    behind_gtin = F.split_part(F.substring(norm, 19, 1 << 30), F.lit("|"), F.lit(1))
-    segment = S.extract(norm, r"(?:^|\|)91([A-Z0-9]{21,23})(?:\||$)", 1, "i")
+    segment of its own, or after AI 91 in unseparated data; null when in none of these."""
+    behind_gtin = F.substring_index(F.substring(norm, 19, 1 << 30), "|", 1)
+    segment = r"(?i)(?:^|\|)91([A-Z0-9]{21,23})(?:\||\z)"
     ai91 = F.locate("91", compact, 15)
-    found = (
-        F.when(norm.startswith(GTIN_PREFIX + "91"), trim_article(behind_gtin))
-        .when(segment.isNotNull(), trim_article(segment))
-        .when(compact.startswith("01") & (ai91 > 0), trim_article(F.substring(compact, ai91 + 2, F.length(compact))))
+    return (
+        F.when(norm.startswith(GTIN_PREFIX + "91"), behind_gtin)
+        .when(norm.rlike(segment), F.regexp_extract(norm, segment, 1))
+        .when(compact.startswith("01") & (ai91 > 0), F.substring(compact, ai91 + 2, F.length(compact)))
     )
-    return F.coalesce(found, F.when(compact.rlike(r"^[A-Z0-9]{10,30}\z"), trim_article(compact)))
 
 
 def article_reject_reason(candidate: Column) -> Column:
@@ -160,82 +153,88 @@ def article_reject_reason(candidate: Column) -> Column:
     )
 
 
-ARTICLE_TYPE = (
-    "struct<type:string,articleId:string,sscc:string,mlid:string,consignmentSuffix:string,consignmentId:string,"
-    "articleCount:string,productCode:string,productDescription:string,serviceCode:string,serviceDescription:string,"
-    "postagePaidIndicator:string,checkDigit:string,withoutCheckDigit:string,mlidLength:int>"
-)
-
-
-def article(candidate: Column) -> Column:
-    """Candidate -> article struct, null when its structure is not plausible."""
-    c = candidate
-    is_sscc = c.rlike(SSCC_20)
-    is_21 = (F.length(c) == 21) & c.rlike(ARTICLE_21)
-    is_23 = (F.length(c) == 23) & c.rlike(ARTICLE_23)
-    m = F.when(is_21, 3).when(is_23, 5)
+def mlid_length(candidate: Column) -> Column:
+    """3 or 5 for a plausible standard article, otherwise null."""
+    return F.when((F.length(candidate) == 21) & candidate.rlike(ARTICLE_21), 3).when(
+        (F.length(candidate) == 23) & candidate.rlike(ARTICLE_23), 5
+    )
 
-    def cut(offset: int, n: int) -> Column:
-        return F.when(m.isNotNull(), F.substring(c, m + (offset + 1), F.lit(n)))
 
-    def tail(n: Column) -> Column:
-        return F.when(m.isNotNull(), n)
+def with_article(df: DataFrame, candidate: str = "article_candidate") -> DataFrame:
+    """Adds the ``article`` struct, null when the candidate's structure is not plausible.
 
-    product, service = cut(9, 5), cut(14, 2)
-    return F.when(
-        is_sscc | m.isNotNull(),
-        F.struct(
-            F.when(m.isNotNull(), "eparcel-standard").otherwise("sscc").alias("type"),
-            c.alias("articleId"),
-            F.when(is_sscc, c).alias("sscc"),
-            tail(F.left(c, m)).alias("mlid"),
-            cut(0, 7).alias("consignmentSuffix"),
-            tail(F.left(c, m + 7)).alias("consignmentId"),
-            cut(7, 2).alias("articleCount"),
-            product.alias("productCode"),
-            R.product_name(product).alias("productDescription"),
-            service.alias("serviceCode"),
-            R.service_description(service).alias("serviceDescription"),
-            cut(16, 1).alias("postagePaidIndicator"),
-            cut(17, 1).alias("checkDigit"),
-            tail(F.left(c, F.length(c) - 1)).alias("withoutCheckDigit"),
-            m.alias("mlidLength"),
-        ),
+    Staged so that every part is computed once."""
+    c, m = F.col(candidate), F.col("_m")
+    df = df.withColumn("_m", mlid_length(c))
+    df = df.withColumns(
+        {
+            "_sscc20": c.rlike(SSCC_20),
+            "_product": F.when(m.isNotNull(), F.substring(c, m + 10, F.lit(5))),
+            "_service": F.when(m.isNotNull(), F.substring(c, m + 15, F.lit(2))),
+            "_body": F.when(m.isNotNull(), F.left(c, F.length(c) - 1)),
+        }
+    )
+    df = df.withColumn("_digits", F.lpad(to_digits(F.col("_body")), ARTICLE_DIGITS, "0"))
+    product, service = F.col("_product"), F.col("_service")
+    struct = F.struct(
+        F.when(m.isNotNull(), "eparcel-standard").otherwise("sscc").alias("type"),
+        c.alias("articleId"),
+        F.when(F.col("_sscc20"), c).alias("sscc"),
+        F.left(c, m).alias("mlid"),
+        F.substring(c, m + 1, F.lit(7)).alias("consignmentSuffix"),
+        F.left(c, m + 7).alias("consignmentId"),
+        F.substring(c, m + 8, F.lit(2)).alias("articleCount"),
+        product.alias("productCode"),
+        R.product_name(product).alias("productDescription"),
+        service.alias("serviceCode"),
+        R.service_description(service).alias("serviceDescription"),
+        F.substring(c, m + 17, F.lit(1)).alias("postagePaidIndicator"),
+        F.substring(c, m + 18, F.lit(1)).alias("checkDigit"),
+        F.col("_body").alias("withoutCheckDigit"),
+        m.alias("mlidLength"),
+        F.when(m.isNotNull(), mod10(weighted_sum("_digits", ARTICLE_DIGITS))).alias("expectedCheckDigit"),
     )
+    df = df.withColumn("article", F.when(F.col("_sscc20") | m.isNotNull(), struct))
+    return df.drop("_m", "_sscc20", "_product", "_service", "_body", "_digits")
 
 
 # -- SSCC / freight / routing / ATL / QR ------------------------------------
 
 
-def sscc(raw: Column) -> Column:
-    """AI 00 + 18 digits at the start; null when absent, ``valid`` tells the check digit."""
-    digits = S.extract(F.replace(strip(raw), F.lit("(00)"), F.lit("00")), r"^00(\d{18})")
-    expected = sscc_check_digit(F.left(digits, F.lit(17)))
-    given = F.right(digits, F.lit(1))
-    return F.when(
-        digits.isNotNull(),
-        F.struct(
-            (expected == given).alias("valid"),
-            raw.alias("raw"),
-            F.lit("00").alias("ai"),
-            digits.alias("sscc"),
-            F.concat(F.lit("00"), digits).alias("articleId"),
-            F.left(digits, F.lit(1)).alias("extensionDigit"),
-            F.substring(digits, 2, 16).alias("companyPrefixAndSerial"),
-            given.alias("checkDigit"),
-            expected.alias("expectedCheckDigit"),
-            F.when(expected == given, "Valid SSCC check digit.").otherwise(
-                F.concat(F.lit("SSCC check digit mismatch. Expected "), expected, F.lit(", got "), given, F.lit("."))
-            ).alias("reason"),
-        ),
+def sscc_digits(stripped: Column) -> Column:
+    """The 18 digits behind a leading AI 00, null when there is none."""
+    return S.extract(F.replace(stripped, F.lit("(00)"), F.lit("00")), r"^00(\d{18})")
+
+
+def with_sscc(df: DataFrame) -> DataFrame:
+    """Adds the ``sscc`` struct; null when absent, ``valid`` tells the check digit."""
+    d = F.col("_sscc18")
+    df = df.withColumn("_sscc18", sscc_digits(F.col("_stripped")))
+    df = df.withColumn("_body17", F.left(d, F.lit(SSCC_DIGITS)))
+    df = df.withColumn("_want", F.when(d.isNotNull(), mod10(weighted_sum("_body17", SSCC_DIGITS))))
+    want, given = F.col("_want"), F.right(d, F.lit(1))
+    struct = F.struct(
+        (want == given).alias("valid"),
+        F.col("raw_value").alias("raw"),
+        F.lit("00").alias("ai"),
+        d.alias("sscc"),
+        F.concat(F.lit("00"), d).alias("articleId"),
+        F.left(d, F.lit(1)).alias("extensionDigit"),
+        F.substring(d, 2, 16).alias("companyPrefixAndSerial"),
+        given.alias("checkDigit"),
+        want.alias("expectedCheckDigit"),
+        F.when(want == given, "Valid SSCC check digit.").otherwise(
+            F.concat(F.lit("SSCC check digit mismatch. Expected "), want, F.lit(", got "), given, F.lit("."))
+        ).alias("reason"),
     )
+    return df.withColumn("sscc", F.when(d.isNotNull(), struct)).drop("_sscc18", "_body17", "_want")
 
 
 FREIGHT_ITEM = r"^[A-Z0-9]{4}\d{8}[A-Z0-9]{3}\d{5}\z"
 
 
-def freight(raw: Column, bar_count: Column) -> Column:
-    c = strip_brackets(raw)
+def freight(raw: Column, bare: Column, bar_count: Column) -> Column:
+    c = bare
     product = F.substring(c, 13, 3)
     return F.when(
         c.rlike(FREIGHT_ITEM),
@@ -260,15 +259,15 @@ GS1_ROUTE = r"421(036)(\d{4})403([A-Z0-9]{3})"
 ROUTE = r"^([A-Z0-9]{3})(\d{4})([A-Z0-9]{2,3})$"
 
 
-def routing_parts(raw: Column) -> dict[str, Column]:
-    c = strip_brackets(raw)
+def routing_parts(bare: Column) -> dict[str, Column]:
+    c = bare
     gs1 = S.extract(c, GS1_ROUTE, 3)
     plain = S.extract(c, ROUTE, 1)
     return {"compact": c, "gs1": gs1, "label": F.coalesce(gs1, plain)}
 
 
-def routing(raw: Column) -> Column:
-    p = routing_parts(raw)
+def routing(raw: Column, bare: Column) -> Column:
+    p = routing_parts(bare)
     is_gs1 = p["gs1"].isNotNull()
     return F.when(
         p["label"].isin(*R.label_codes()),
@@ -287,8 +286,8 @@ def routing(raw: Column) -> Column:
     )
 
 
-def routing_reject_reason(raw: Column) -> Column:
-    p = routing_parts(raw)
+def routing_reject_reason(bare: Column) -> Column:
+    p = routing_parts(bare)
     return (
         F.when(p["label"].isin(*R.label_codes()), F.lit(None).cast("string"))
         .when(p["gs1"].isNotNull(),
@@ -299,8 +298,8 @@ def routing_reject_reason(raw: Column) -> Column:
     )
 
 
-def atl(raw: Column) -> Column:
-    c = strip_brackets(raw)
+def atl(raw: Column, bare: Column) -> Column:
+    c = bare
     return F.when(
         c.rlike(r"^C\d{9}\z"),
         F.struct(

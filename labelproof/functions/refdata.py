@@ -108,16 +108,21 @@ def label_code_products() -> dict[str, list[str]]:
     return out
 
 
+def _sql(v) -> str:
+    if isinstance(v, bool):
+        return str(v).lower()
+    if isinstance(v, list):
+        return f"array({', '.join(_sql(x) for x in v)})"
+    return "'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def lookup(key: Column, table: dict) -> Column:
-    """Constant code table as a CASE expression: no join, no shuffle, stays in codegen.
-
-    The tables here have at most eleven entries and are part of the plan, so
-    nothing that grows with the data is broadcast."""
-    expr = None
-    for code, value in table.items():
-        v = F.array(*[F.lit(x) for x in value]) if isinstance(value, list) else F.lit(value)
-        expr = F.when(key == code, v) if expr is None else expr.when(key == code, v)
-    return expr
+    """Code table as a constant map: no join, no shuffle, null for unknown codes.
+
+    The tables here have at most eleven entries and are part of the plan, so nothing
+    that grows with the data is shipped with it."""
+    entries = ", ".join(f"{_sql(k)}, {_sql(v)}" for k, v in table.items())
+    return F.try_element_at(F.expr(f"map({entries})"), key)
 
 
 def product_name(code: Column) -> Column:

@@ -86,7 +86,9 @@ def decode_for(df: DataFrame, carrier: str) -> DataFrame:
     if carrier == "startrack":
         linear = filled & (fmt.rlike("(?i)128|code") | (kind == "linear"))
         qr_like = filled & (fmt.rlike("(?i)qr") | (kind == "qr"))
-        df = N.decode_qr_scans(N.decode_atl_scans(N.decode_routing_scans(N.decode_freight_scans(N.decode_sscc_scans(df)))))
+        for decode in (N.decode_sscc_scans, N.decode_freight_scans, N.decode_routing_scans, N.decode_atl_scans,
+                       N.decode_qr_scans):
+            df = decode(df)
         item = F.struct(
             "scan_seq", raw.alias("raw"),
             F.when(filled, F.col("sscc")).alias("sscc"), F.when(linear, F.col("freight")).alias("freight"),
@@ -150,12 +152,23 @@ def _labels(labels: DataFrame, carrier: str) -> DataFrame:
 HEAD = ["label_id", "batch_id", "selected", "expected_sscc", "page"]
 
 
-def eparcel_evidence(labels: DataFrame, scans: DataFrame) -> DataFrame:
-    lab = X.eparcel_facts(_labels(labels, "eparcel"))
+def joined(labels: DataFrame, scans: DataFrame, carrier: str) -> tuple[DataFrame, list[str]]:
+    """Label rows with facts and scans. Raw text crosses the exchange; facts are derived after
+    it, and the join with the gathered scans reuses that partitioning."""
     keep = [c for c in ("filename", "source_page", "payload_id") if c in labels.columns]
-    lab = lab.select(*HEAD, *keep, "facts", "linear_visible", "datamatrix_visible")
-    df = lab.join(gather(scans, "eparcel"), "label_id", "left")
-    return eparcel_columns(df.withColumn("items", F.coalesce("items", F.array().cast(df.schema["items"].dataType))), keep)
+    lab = _labels(labels, carrier).select(*HEAD, *keep, "extracted_text", "linear_visible", "datamatrix_visible")
+    lab = lab.repartition("label_id")
+    if carrier == "startrack":
+        names = S.test(F.coalesce("extracted_text", F.lit("")), r"STAR\s*TRACK|STARTRACK", "i")
+        lab = X.startrack_facts(lab.withColumn("text_names_carrier", names))
+    else:
+        lab = X.eparcel_facts(lab)
+    df = lab.drop("extracted_text").join(gather(scans, carrier), "label_id", "left")
+    return df.withColumn("items", F.coalesce("items", F.array().cast(df.schema["items"].dataType))), keep
+
+
+def eparcel_evidence(labels: DataFrame, scans: DataFrame) -> DataFrame:
+    return eparcel_columns(*joined(labels, scans, "eparcel"))
 
 
 def eparcel_columns(df: DataFrame, keep: list[str]) -> DataFrame:
@@ -243,13 +256,7 @@ def eparcel_columns(df: DataFrame, keep: list[str]) -> DataFrame:
 
 
 def startrack_evidence(labels: DataFrame, scans: DataFrame) -> DataFrame:
-    lab = X.startrack_facts(_labels(labels, "startrack"))
-    lab = lab.withColumn(
-        "text_names_carrier", S.test(F.coalesce("extracted_text", F.lit("")), r"STAR\s*TRACK|STARTRACK", "i"))
-    keep = [c for c in ("filename", "source_page", "payload_id") if c in labels.columns]
-    lab = lab.select(*HEAD, *keep, "facts", "linear_visible", "datamatrix_visible", "text_names_carrier")
-    df = lab.join(gather(scans, "startrack"), "label_id", "left")
-    return startrack_columns(df.withColumn("items", F.coalesce("items", F.array().cast(df.schema["items"].dataType))), keep)
+    return startrack_columns(*joined(labels, scans, "startrack"))
 
 
 def startrack_columns(df: DataFrame, keep: list[str]) -> DataFrame:

@@ -401,7 +401,7 @@ def in_path_list(value: Value, scope: Scope, args: dict) -> Outcome:
 def eparcel_check_digit(article: Value, scope: Scope, args: dict) -> Outcome:
     body, given = article.get("withoutCheckDigit").col, article.get("checkDigit").col
     known = F.coalesce(body != "", F.lit(False))
-    want = C.article_check_digit(body)
+    want = article.get("expectedCheckDigit").col
     ok = F.coalesce(want == given, F.lit(False))
     return Outcome(
         ok, expected=want, actual=F.coalesce(given, article.json()),
@@ -518,121 +518,116 @@ def startrack_unit_permitted(fields: Value, scope: Scope, args: dict) -> Outcome
 
 
 # -- rule -> Column -------------------------------------------------------------------
-
-
-def fill(template: str, parts: dict[str, Column]) -> Column:
-    """``{value} {expected} {actual} {path}`` in a message text."""
-    pieces = re.split(r"\{(value|expected|actual|path)\}", template)
-    cols = [F.lit(p) if i % 2 == 0 else F.coalesce(parts[p], F.lit("")) for i, p in enumerate(pieces) if p or i % 2]
-    return F.concat(*cols) if len(cols) > 1 else (cols[0] if cols else F.lit(""))
-
-
-def result_struct(rule: dict, rule_set: Column, fields: dict[str, Column]) -> Column:
-    fixed = {
-        "rule_id": F.lit(rule["id"]),
-        "rule_set": rule_set,
-        "title": F.lit(rule.get("title") or rule["id"]),
-        "severity": F.lit(rule.get("severity") or ("ERROR" if rule.get("obligation") == "mandatory" else "INFO")),
-        "category": F.lit(rule.get("category") or "general"),
-        "input_path": F.lit(rule.get("input") or rule.get("forEach") or ""),
-    }
-    cols = {**fixed, **fields}
-    return F.struct(*[F.coalesce(cols[n], null()).cast("string").alias(n) for n in RESULT_FIELDS])
-
-
-def rule_results(rule: dict, rule_set: Column, scope: Scope, detail: bool = True) -> Column:
-    """All result rows of one rule on one evidence row, as an array of structs."""
-    title, messages = rule.get("title") or rule["id"], rule.get("messages") or {}
-    empty = F.array().cast(T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in RESULT_FIELDS])))
-
-    def evidence_text(s: Scope) -> Column:
+#
+# A rule yields compact verdicts (rule number, item index, status, values). What is the
+# same for every label - id, title, severity, texts - is added after the explode from the
+# rule dimension, so expressions stay small and wide strings are never built in arrays.
+
+VERDICT = T.StructType(
+    [T.StructField("k", T.IntegerType()), T.StructField("i", T.IntegerType())]
+    + [T.StructField(n, T.StringType())
+       for n in ("status", "expected", "actual", "said", "message", "evidence", "value", "kind")]
+)
+BRIEF = T.StructType(VERDICT.fields[:3])
+
+
+class Compiler:
+    """Turns rules into verdict Columns for one evidence schema."""
+
+    def __init__(self, schema: T.StructType, detail: bool):
+        self.scope, self.detail = Scope(schema), detail
+        self.null = null()
+        self.null_int = F.lit(None).cast("int")
+
+    def verdict(self, k: int, rule: dict, s: Scope, index, status: Column, out: Outcome, value: Value, kind=None) -> Column:
+        cols = [F.lit(k).alias("k"), (self.null_int if index is None else index).alias("i"), status.alias("status")]
+        if not self.detail:
+            return F.struct(*cols)
         shown = [(p, s.at(p)) for p in rule.get("evidence") or []]
-        return F.concat_ws(
+        evidence = F.concat_ws(
             "\n", *[F.when(~v.empty(), F.concat(F.lit(f"{p}: "), v.json())) for p, v in shown]
-        ) if shown else F.lit("")
-
-    def build(s: Scope, status: Column, out: Outcome, value: Value, index: Column | None, many: Column | None) -> Column:
-        ident = F.lit(rule["id"])
-        if index is not None:
-            ident = F.when(many, F.concat(ident, F.lit("_"), index.cast("string"))).otherwise(ident)
-        if not detail:
-            blank = {n: null() for n in ("message", "expected", "actual", "evidence", "input_value")}
-            return result_struct(rule, rule_set, {**blank, "id": ident, "status": status})
-        actual = value.json() if out.actual is None else out.actual
-        said = out.said if out.said is not None else (value.text() if out.actual is None else out.actual)
-        expected = null() if out.expected is None else out.expected
-        parts = {"value": value.text(), "expected": expected, "actual": said,
-                 "path": F.lit(rule.get("input") or "")}
-        texts = [
-            fill(messages[k], parts) if messages.get(k) else F.lit(f"{title} requirement {what}.")
-            for k, what in (("pass", "met"), ("fail", "not met"))
-        ]
-        message = F.when(status == "pass", texts[0]).otherwise(texts[1])
-        if out.message is not None:
-            message = F.coalesce(S.blank_to_null(out.message), message)
-        shown = evidence_text(s)
+        ) if shown else self.null
         if out.evidence is not None:
-            shown = F.coalesce(S.blank_to_null(out.evidence), shown)
-        return result_struct(
-            rule, rule_set,
-            {"id": ident, "status": status, "message": message, "expected": F.coalesce(expected, F.lit("")),
-             "actual": F.coalesce(actual, F.lit("")), "evidence": shown, "input_value": value.json()},
-        )
-
-    def judged(s: Scope, value: Value, index: Column | None = None, many: Column | None = None) -> Column:
-        """Result struct for one input; null when the rule is silent about a missing value."""
+            evidence = F.coalesce(S.blank_to_null(out.evidence), evidence) if shown else out.evidence
+        actual = value.json() if out.actual is None else out.actual
+        said = out.said if out.said is not None else (
+            value.text() if out.actual is None and isinstance(value.type, (T.ArrayType, T.StructType)) else self.null)
+        fields = {
+            "expected": out.expected, "actual": actual, "said": said, "message": out.message, "evidence": evidence,
+            "value": value.json(), "kind": None if kind is None else F.lit(kind),
+        }
+        return F.struct(*cols, *[(self.null if c is None else c).alias(n) for n, c in fields.items()])
+
+    def judged(self, k: int, rule: dict, s: Scope, value: Value, index=None) -> Column:
+        """Verdict for one input; null when the rule is silent about a missing value."""
         check = rule.get("assert")
         out = evaluate(check, value, s)
         failed = F.lit(rule.get("failStatus") or "fail")
         if out.status is not None:
             failed = F.coalesce(out.status, failed)
-        verdict = build(s, F.when(out.ok, "pass").otherwise(failed), out, value, index, many)
+        verdict = self.verdict(k, rule, s, index, F.when(out.ok, "pass").otherwise(failed), out, value)
         if check and check.get("op") in ("present", "absent", "notEmpty", "empty"):
             return verdict
         policy = rule.get("onMissing") or "fail"
         if policy == "skip":
             return F.when(~value.empty(), verdict)
-        gone = Outcome(
-            F.lit(False), F.lit("value present"), F.lit("missing"),
-            message=F.lit(messages["missing"]) if messages.get("missing") else None,
-        )
+        gone = Outcome(F.lit(False), F.lit("value present"), F.lit("missing"))
         status = F.lit((rule.get("failStatus") or "fail") if policy == "fail" else policy)
-        return F.when(value.empty(), build(s, status, gone, value, index, many)).otherwise(verdict)
-
-    if rule.get("forEach"):
-        items = scope.at(rule["forEach"])
+        return F.when(value.empty(), self.verdict(k, rule, s, index, status, gone, value, "missing")).otherwise(verdict)
+
+    def single(self, k: int, rule: dict, variants) -> list[Column]:
+        """Rules without a list: one verdict or null."""
+        value = self.scope.at(rule["input"]) if rule.get("input") else MISSING()
+        return self.gated(k, rule, variants, self.judged(k, rule, self.scope, value))
+
+    def gated(self, k: int, rule: dict, variants, verdict: Column) -> list[Column]:
+        applies = variants
+        if rule.get("when"):
+            g = gate(rule["when"], self.scope)
+            if rule.get("reportWhenSkipped"):
+                why = Outcome(F.lit(False), actual=F.lit(""))
+                skipped = self.verdict(k, rule, self.scope, None, F.lit("not_applicable"), why, MISSING(), "skipped")
+                verdict = F.when(g, verdict).otherwise(skipped)
+            else:
+                applies = g if applies is None else applies & g
+        return [verdict if applies is None else F.when(applies, verdict)]
+
+    def listed(self, path: str, rules: list[tuple[int, dict, Column | None]]) -> list[Column]:
+        """All rules over one list share a single pass over its items."""
+        items = self.scope.at(path)
+        out = []
+        for k, rule, variants in rules:
+            if (rule.get("onEmpty") or "skip") != "skip":
+                none = Outcome(F.lit(False), F.lit(f"{path} populated"), F.lit("none decoded"))
+                row = self.verdict(k, rule, self.scope, None, F.lit(rule["onEmpty"]), none, MISSING())
+                out += self.gated(k, rule, variants, F.when(items.empty(), row))
+            elif rule.get("when") and rule.get("reportWhenSkipped"):
+                out += self.gated(k, rule, variants, F.lit(None).cast(VERDICT if self.detail else BRIEF))
+        singles = [F.array(*out)] if out else []
         if not items.is_list:
-            found = empty
-        else:
-            many = F.size(items.col) > 1
-
-            def one(x: Column, i: Column) -> Column:
-                s = scope.with_item(Value(x, items.type.elementType))
+            return singles
+        many = F.size(items.col) > 1
+
+        def one(x: Column, i: Column) -> Column:
+            s = self.scope.with_item(Value(x, items.type.elementType))
+            index = F.when(many, i)
+            rows = []
+            for k, rule, variants in rules:
                 value = s.at(rule["input"]) if rule.get("input") else s.item
-                verdict = judged(s, value, i, many)
-                return F.when(gate(rule["itemWhen"], s), verdict) if rule.get("itemWhen") else verdict
-
-            found = F.filter(F.transform(items.col, one), lambda r: r.isNotNull())
-            found = F.coalesce(found, empty)
-        on_empty = rule.get("onEmpty") or "skip"
-        if on_empty != "skip":
-            none = Outcome(F.lit(False), F.lit(f"{rule['forEach']} populated"), F.lit("none decoded"))
-            row = build(scope, F.lit(on_empty), none, MISSING(), None, None)
-            found = F.when(items.empty(), F.array(row)).otherwise(found)
-    else:
-        value = scope.at(rule["input"]) if rule.get("input") else MISSING()
-        found = F.filter(F.array(judged(scope, value)), lambda r: r.isNotNull())
-
-    if not rule.get("when"):
-        return found
-    skipped = empty
-    if rule.get("reportWhenSkipped"):
-        why = Outcome(
-            F.lit(False), actual=F.lit(""),
-            message=F.lit(messages.get("skipped") or f"{title} does not apply to this label."),
-        )
-        skipped = F.array(build(scope, F.lit("not_applicable"), why, MISSING(), None, None))
-    return F.when(gate(rule["when"], scope), found).otherwise(skipped)
+                conds = [variants, gate(rule["itemWhen"], s) if rule.get("itemWhen") else None,
+                         gate(rule["when"], self.scope) if rule.get("when") else None]
+                row = self.judged(k, rule, s, value, index)
+                conds = [c for c in conds if c is not None]
+                if conds:
+                    test = conds[0]
+                    for c in conds[1:]:
+                        test = test & c
+                    row = F.when(test, row)
+                rows.append(row)
+            return F.array(*rows)
+
+        empty = F.array().cast(T.ArrayType(VERDICT if self.detail else BRIEF))
+        return [*singles, F.coalesce(F.flatten(F.transform(items.col, one)), empty)]
 
 
 # -- rule sets ------------------------------------------------------------------------
@@ -675,30 +670,99 @@ def arrange(rule_sets: dict[str, dict]) -> list[tuple[dict, list[str]]]:
     return [form for rid in order for form in forms[rid].values()]
 
 
+MESSAGE_KEYS = ("pass", "fail", "missing", "skipped")
+
+
+def number_rules(rule_sets: dict[str, dict]) -> list[tuple[int, dict, list[str]]]:
+    return [(k, rule, variants) for k, (rule, variants) in enumerate(arrange(rule_sets))]
+
+
+def rule_dimension(spark, rule_sets: dict[str, dict]) -> DataFrame:
+    """(variant, k) -> everything a result row repeats. Its size is set by the rule files."""
+    rows = []
+    for k, rule, variants in number_rules(rule_sets):
+        title, texts = rule.get("title") or rule["id"], rule.get("messages") or {}
+        pieces = {m: re.split(r"(\{(?:value|expected|actual|path)\})", texts[m]) for m in MESSAGE_KEYS if texts.get(m)}
+        pieces.setdefault("pass", [f"{title} requirement met."])
+        pieces.setdefault("fail", [f"{title} requirement not met."])
+        pieces.setdefault("skipped", [f"{title} does not apply to this label."])
+        severity = rule.get("severity") or ("ERROR" if rule.get("obligation") == "mandatory" else "INFO")
+        for v in variants:
+            rows.append((
+                v, k, rule["id"], rule_sets[v]["id"], title, severity, rule.get("category") or "general",
+                rule.get("input") or rule.get("forEach") or "", rule.get("input") or "",
+                [p for p in pieces["pass"] if p], [p for p in pieces["fail"] if p],
+                "".join(pieces["missing"]) if "missing" in pieces else None, "".join(pieces["skipped"]),
+            ))
+    return spark.createDataFrame(
+        rows,
+        "variant string, k int, rule_id string, rule_set string, title string, severity string, category string, "
+        "input_path string, _path string, _pass array<string>, _fail array<string>, _missing string, _skipped string",
+    )
+
+
+def verdicts(schema: T.StructType, rule_sets: dict[str, dict], detail: bool = True) -> Column:
+    """array<verdict> of one evidence row."""
+    comp = Compiler(schema, detail)
+    plain, lists = [], {}
+    for k, rule, variants in number_rules(rule_sets):
+        test = None if len(variants) == len(rule_sets) else F.col("variant").isin(*variants)
+        if rule.get("forEach"):
+            lists.setdefault(rule["forEach"], []).append((k, rule, test))
+        else:
+            plain += comp.single(k, rule, test)
+    parts = [F.array(*plain)] if plain else []
+    for path, rules in lists.items():
+        parts += comp.listed(path, rules)
+    return F.concat(*parts)
+
+
 def apply_rules(
     evidence: DataFrame, rule_sets: dict[str, dict], detail: bool = True, keep: tuple[str, ...] = ("label_id",),
 ) -> DataFrame:
     """Every applicable rule on every label: one row per (label, rule, item).
 
     ``rule_sets`` maps variant -> merged rule set; the evidence row names its variant.
-    ``detail=False`` leaves the texts out when only statuses are needed."""
-    rows = results_column(evidence.schema, rule_sets, detail)
-    return (
-        evidence.select(*keep, rows.alias("_r"))
-        .select(*keep, F.posexplode("_r").alias("result_seq", "_x"))
-        .select(*keep, "result_seq", "_x.*")
+    ``result_seq`` orders a label's rows by rule, then item. ``detail=False`` leaves the
+    texts out when only statuses are needed."""
+    dim = rule_dimension(evidence.sparkSession, rule_sets)
+    rows = (
+        evidence.select(*keep, "variant", verdicts(evidence.schema, rule_sets, detail).alias("_v"))
+        .select(*keep, "variant", F.explode("_v").alias("_x"))
+        .filter(F.col("_x").isNotNull())
+        .select(*keep, "variant", "_x.*")
     )
+    # the rule dimension has one row per rule and variant, whatever the data size
+    df = rows.join(F.broadcast(dim), ["variant", "k"])
+    many = F.col("i")
+    cols = {
+        "result_seq": F.col("k").cast("bigint") * F.lit(1 << 32) + F.coalesce(many, F.lit(0)),
+        "id": F.when(many.isNotNull(), F.concat("rule_id", F.lit("_"), many.cast("string"))).otherwise(F.col("rule_id")),
+    }
+    if not detail:
+        return df.select(*keep, *[c.alias(n) for n, c in cols.items()], "rule_id", "rule_set", "severity", "category", "status")
+    parts = {
+        "{value}": F.col("value"), "{expected}": F.col("expected"),
+        "{actual}": F.coalesce("said", "actual"), "{path}": F.col("_path"),
+    }
 
-
-def results_column(schema: T.StructType, rule_sets: dict[str, dict], detail: bool = True) -> Column:
-    scope = Scope(schema)
-    variant = F.col("variant")
-    set_ids = R.lookup(variant, {v: rs["id"] for v, rs in rule_sets.items()})
-    columns = []
-    for rule, variants in arrange(rule_sets):
-        column = rule_results(rule, set_ids, scope, detail)
-        if len(variants) < len(rule_sets):
-            none = F.array().cast(T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in RESULT_FIELDS])))
-            column = F.when(variant.isin(*variants), column).otherwise(none)
-        columns.append(column)
-    return F.concat(*columns)
+    def piece(p: Column) -> Column:
+        case = None
+        for token, c in parts.items():
+            c = F.coalesce(c, F.lit(""))
+            case = F.when(p == token, c) if case is None else case.when(p == token, c)
+        return case.otherwise(p)
+
+    filled = F.array_join(F.transform(F.when(F.col("status") == "pass", F.col("_pass")).otherwise(F.col("_fail")), piece), "")
+    blank = F.lit("")
+    cols |= {
+        "message": F.coalesce(
+            S.blank_to_null(F.col("message")),
+            F.when(F.col("kind") == "missing", F.col("_missing")).when(F.col("kind") == "skipped", F.col("_skipped")),
+            filled,
+        ),
+        "expected": F.coalesce("expected", blank), "actual": F.coalesce("actual", blank),
+        "evidence": F.coalesce("evidence", blank), "input_value": F.col("value"),
+    }
+    order = ["result_seq", *RESULT_FIELDS]
+    return df.select(*keep, *[cols[n].alias(n) if n in cols else F.col(n) for n in order])

@@ -139,10 +139,15 @@ def decode_article_scans(df: DataFrame) -> DataFrame:
                 ~c.rlike(C.SSCC_20),
                 F.when(gtin, F.substring(c, 17, 2) == "91").otherwise(c.contains("91")),
             ),
-            "article_candidate": F.when(c.rlike(C.SSCC_20), c).otherwise(C.article_candidate(n, c)),
+            "_source": F.when(c.rlike(C.SSCC_20), c).otherwise(C.article_source(n, c)),
         }
     )
-    df = df.withColumn("article", C.article(F.col("article_candidate")))
+    # staged so that each step is computed once: where it sits, cleaned, cut to its valid length
+    df = df.withColumn("_clean", C.clean_article(F.col("_source")))
+    bare = F.when(c.rlike(r"^[A-Z0-9]{10,30}\z"), c)
+    df = df.withColumn("_clean", F.coalesce(S.blank_to_null(F.col("_clean")), bare))
+    df = df.withColumn("article_candidate", C.trim_article(F.col("_clean"))).drop("_source", "_clean")
+    df = C.with_article(df)
     return df.withColumn(
         "reject_reason",
         F.when(
@@ -185,8 +190,15 @@ def decode_datamatrix_scans(df: DataFrame) -> DataFrame:
     )
 
 
+def with_stripped(df: DataFrame) -> DataFrame:
+    if "_stripped" in df.columns:
+        return df
+    df = df.withColumn("_stripped", C.strip(F.col("raw_value")))
+    return df.withColumn("_bare", C.bare(F.col("_stripped")))
+
+
 def decode_sscc_scans(df: DataFrame) -> DataFrame:
-    return df.withColumn("sscc", C.sscc(F.col("raw_value"))).withColumn(
+    return C.with_sscc(with_stripped(df)).withColumn(
         "sscc_reason",
         F.when(F.col("sscc").isNull(), F.lit("No AI 00 + 18 digit SSCC found.")).otherwise(F.col("sscc.reason")),
     )
@@ -194,20 +206,23 @@ def decode_sscc_scans(df: DataFrame) -> DataFrame:
 
 def decode_freight_scans(df: DataFrame) -> DataFrame:
     bars = F.col("bar_count") if "bar_count" in df.columns else F.lit(None).cast("int")
-    return df.withColumn("freight", C.freight(F.col("raw_value"), bars)).withColumn(
+    df = with_stripped(df)
+    return df.withColumn("freight", C.freight(F.col("raw_value"), F.col("_bare"), bars)).withColumn(
         "freight_reason",
         F.when(F.col("freight").isNull(), F.lit("Not a StarTrack 20-character freight item barcode.")),
     )
 
 
 def decode_routing_scans(df: DataFrame) -> DataFrame:
+    df, bare = with_stripped(df), F.col("_bare")
     return df.withColumns(
-        {"routing": C.routing(F.col("raw_value")), "routing_reason": C.routing_reject_reason(F.col("raw_value"))}
+        {"routing": C.routing(F.col("raw_value"), bare), "routing_reason": C.routing_reject_reason(bare)}
     )
 
 
 def decode_atl_scans(df: DataFrame) -> DataFrame:
-    return df.withColumn("atl", C.atl(F.col("raw_value"))).withColumn(
+    df = with_stripped(df)
+    return df.withColumn("atl", C.atl(F.col("raw_value"), F.col("_bare"))).withColumn(
         "atl_reason", F.when(F.col("atl").isNull(), F.lit("Not a StarTrack ATL barcode."))
     )
 
@@ -279,13 +294,8 @@ def verify_check_digits(df: DataFrame) -> DataFrame:
     """Whole-table check of ``kind`` sscc/article values in ``value``: expected, actual, valid."""
     v = F.upper(F.col("value"))
     sscc = F.col("kind") == "sscc"
-    sscc18 = F.right(F.regexp_replace(v, r"\D", ""), F.lit(18))
-    df = df.withColumns(
-        {
-            "expected": F.when(sscc, C.sscc_check_digit(F.left(sscc18, F.length(sscc18) - 1))).otherwise(
-                C.article_check_digit(F.left(v, F.length(v) - 1))
-            ),
-            "actual": F.right(v, F.lit(1)),
-        }
-    )
+    # SSCC: the 17 digits before the check digit; article: letters become digits first
+    digits = F.when(sscc, F.right(F.regexp_replace(v, r"\D", ""), F.lit(18))).otherwise(C.to_digits(v))
+    df = df.withColumn("_digits", F.substring(digits, F.lit(1), F.length(digits) - 1))
+    df = df.withColumns({"expected": C.check_digit_any(F.col("_digits")), "actual": F.right(v, F.lit(1))}).drop("_digits")
     return df.withColumn("valid", F.coalesce(F.col("expected") == F.col("actual"), F.lit(False)))
