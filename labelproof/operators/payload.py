@@ -100,7 +100,8 @@ def flatten_payloads(parsed: DataFrame, depth: int = 12) -> DataFrame:
 
     One lateral explode per level, all in one pass: rows that are already leaves pass
     through. What lies deeper than ``depth`` is kept as one leaf holding its JSON text."""
-    df = parsed.filter(F.col("parsed").isNotNull()).select(
+    # text without JSON has a null variant and yields no leaf
+    df = parsed.select(
         "payload_id", F.length("raw_text").alias("_len"), F.lit("").alias("path"),
         F.array().cast("array<int>").alias("ord"), F.col("parsed").alias("v"),
     )
@@ -308,7 +309,8 @@ def label_values(evidence: DataFrame, carrier: str) -> DataFrame:
 
 
 def label_identities(evidence: DataFrame, carrier: str) -> DataFrame:
-    return label_values(evidence, carrier).select("label_id", "payload_id", F.explode("identities").alias("identity"))
+    out = label_values(evidence, carrier).select("label_id", "payload_id", F.explode_outer("identities").alias("identity"))
+    return out.filter(F.col("identity").isNotNull())
 
 
 def identity_gate(values: DataFrame, payloads: DataFrame) -> DataFrame:
@@ -330,7 +332,7 @@ def find_payloads(values: DataFrame, leaves: DataFrame) -> DataFrame:
 
     Distinct keys are taken on both sides first, so one value repeated in a third of the
     leaves is one row per payload, not one per occurrence."""
-    ids = values.select("label_id", F.explode(F.transform("identities", S.alnum_key)).alias("key")).distinct()
+    ids = values.select("label_id", F.explode_outer(F.transform("identities", S.alnum_key)).alias("key")).distinct()
     keys = leaves.filter(F.length("normalized_value") >= 6).select(
         F.col("payload_id").alias("found_payload_id"), F.col("normalized_value").alias("key")).distinct()
     return ids.join(keys, "key").select("label_id", "found_payload_id").distinct()
@@ -437,7 +439,7 @@ def label_outcomes(gated: DataFrame, detail: bool = True) -> DataFrame:
         out("none", F.lit(None).cast("boolean"), F.lit(""), lambda: F.lit("")),
     )
     gate = (F.col("gate_applied") & ~F.coalesce("identity_matches", F.lit(True))).alias("gate_closed")
-    return gated.select("label_id", gate, F.inline(rows))
+    return gated.select("label_id", gate, F.inline_outer(rows))
 
 
 def match_status(match: Column) -> Column:

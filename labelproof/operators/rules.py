@@ -726,9 +726,11 @@ def apply_rules(
     ``result_seq`` orders a label's rows by rule, then item. ``detail=False`` leaves the
     texts out when only statuses are needed."""
     dim = rule_dimension(evidence.sparkSession, rule_sets)
+    # outer + filter: for a plain explode Spark infers a size test on the whole expression and
+    # pushes it down through every step that builds the evidence
     rows = (
         evidence.select(*keep, "variant", verdicts(evidence.schema, rule_sets, detail).alias("_v"))
-        .select(*keep, "variant", F.explode("_v").alias("_x"))
+        .select(*keep, "variant", F.explode_outer("_v").alias("_x"))
         .filter(F.col("_x").isNotNull())
         .select(*keep, "variant", "_x.*")
     )

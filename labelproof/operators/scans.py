@@ -236,10 +236,17 @@ def decode_qr_scans(df: DataFrame) -> DataFrame:
 # -- per-label tables -------------------------------------------------------------
 
 
+def present(decoded: DataFrame, column: str, *more: str) -> DataFrame:
+    """Scans that have ``column``. A generator rather than a filter: Spark would push a filter
+    below the staged decode and evaluate the decode once more inside the condition."""
+    kept = decoded.select("label_id", "scan_seq", *more, F.explode_outer(F.array(column)).alias(column))
+    return kept.filter(F.col(column).isNotNull())
+
+
 def distinct_articles(decoded: DataFrame) -> DataFrame:
     """One row per (label, article id): first position kept, parsed fields attached."""
     return (
-        decoded.filter(F.col("article").isNotNull())
+        present(decoded, "article")
         .groupBy("label_id", F.col("article.articleId").alias("article_id"))
         .agg(F.min("scan_seq").alias("first_seq"), F.max_by("article", "scan_seq").alias("article"))
     )
@@ -248,7 +255,7 @@ def distinct_articles(decoded: DataFrame) -> DataFrame:
 def invalid_candidates(decoded: DataFrame) -> DataFrame:
     """Reject table: candidates that could not be parsed, one row each per label, with the reason."""
     return (
-        decoded.filter(F.col("reject_reason").isNotNull())
+        present(decoded, "reject_reason", "article_candidate")
         .groupBy("label_id", F.col("article_candidate").alias("candidate"))
         .agg(F.min("scan_seq").alias("first_seq"), F.max_by("reject_reason", "scan_seq").alias("reason"))
     )

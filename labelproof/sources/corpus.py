@@ -320,7 +320,14 @@ def _layered(df: DataFrame, layers: list[list[str]]) -> DataFrame:
 
 def base(spark: SparkSession, sf_dir: str, carrier: str = "eparcel") -> DataFrame:
     """The generated ids and raw values, one row per order."""
-    return _layered(orders(spark, sf_dir), EPARCEL_LAYERS if carrier == "eparcel" else STARTRACK_LAYERS)
+    df = _layered(orders(spark, sf_dir), EPARCEL_LAYERS if carrier == "eparcel" else STARTRACK_LAYERS)
+    return settle(df)
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Ends a chain of derived columns: the optimizer does not push filters below a generator,
+    so a filter on a derived column is not rewritten into its whole derivation."""
+    return df.select(F.inline_outer(F.array(F.struct(*df.columns))))
 
 
 def labels(spark: SparkSession, sf_dir: str, carrier: str = "eparcel") -> DataFrame:

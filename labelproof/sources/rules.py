@@ -113,14 +113,19 @@ def rule_sets(table: DataFrame, carrier: str) -> dict[str, dict]:
     return dict(sorted(out.items(), key=lambda kv: (kv[0] != "base", kv[0])))
 
 
-_BUILT_IN: dict[str, dict] = {}
+def merge(base: dict, variant: dict) -> dict:
+    """One variant over its base, for documents already in memory."""
+    if variant is base:
+        return base
+    by_id = {r["id"]: r for r in base["rules"]}
+    for r in variant["rules"]:
+        by_id[r["id"]] = {**by_id.get(r["id"], {}), **r}
+    constants = {**base.get("constants", {}), **variant.get("constants", {})}
+    kept = [r for r in by_id.values() if not r.get("disabled")]
+    return {**base, **variant, "constants": constants, "rules": kept}
 
 
 def built_in(spark: SparkSession, carrier: str) -> dict[str, dict]:
-    """The catalogue's merged rule sets, built once per process."""
-    if carrier not in _BUILT_IN:
-        table = load_rules(spark).cache()
-        for c in DOCUMENTS:
-            _BUILT_IN[c] = rule_sets(table, c)
-        table.unpersist()
-    return _BUILT_IN[carrier]
+    """The catalogue's merged rule sets; no Spark job, the documents are part of the package."""
+    docs = DOCUMENTS[carrier]
+    return {v: merge(docs["base"], d) for v, d in docs.items()}
