@@ -1,0 +1,271 @@
+"""The registered queries written a second time, in SQL for DuckDB."""
+
+from __future__ import annotations
+
+from labelproof.functions import refdata as R
+from labelproof.functions.codes import LETTER_DIGITS, LETTERS, QR_FIELDS
+from labelproof.operators.reports import PANELS, SECTION_OF
+from labelproof.sources import corpus
+
+ORACLES: dict[str, str] = {}
+EP, ST = corpus.with_corpus("eparcel"), corpus.with_corpus("startrack")
+
+
+def q(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def decode(col: str, table: dict, default: str = "null") -> str:
+    arms = " ".join(f"when {q(k)} then {q(v)}" for k, v in table.items())
+    return f"case {col} {arms} else {default} end"
+
+
+def inside(items) -> str:
+    return "(" + ", ".join(q(i) for i in items) + ")"
+
+
+PREFIX = r"regexp_replace(coalesce(raw_value,''), '^(\]C1)?(\]d2)?', '')"
+GS = "chr(28)||chr(29)||chr(30)"
+NORM = (
+    rf"replace(replace(regexp_replace(regexp_replace(translate({PREFIX}, {GS}, '|||'), '\((00|01|91)\)', '\1', 'g'), "
+    rf"'\((420|92|8008)\)', '|\1', 'g'), ' ', ''), chr(9), '')"
+)
+STRIPPED = f"upper(translate({PREFIX}, {GS}||'| ', ''))"
+AI91 = r"'(?i)(?:^|\|)91([A-Z0-9]{21,23})(?:\||$)'"
+PNAME = decode("product", R.PRODUCTS, q(R.UNKNOWN_PRODUCT))
+DEC = rf""", n0 as (select *, {NORM} as norm, {STRIPPED} as stripped from scans_t),
+n1 as (select *, replace(norm,'|','') as compact, replace(replace(stripped,'(',''),')','') as bare from n0),
+n2 as (select *, regexp_matches(compact,'^00\d{{18}}$') as sscc20, case when regexp_matches(compact,'^00\d{{18}}$') then compact
+  when starts_with(norm,'019931265099999891') then split_part(substr(norm,19),'|',1)
+  when regexp_matches(norm,{AI91}) then regexp_extract(norm,{AI91},1)
+  when starts_with(compact,'01') and strpos(substr(compact,15),'91')>0 then substr(compact, 16+strpos(substr(compact,15),'91')) end as src from n1),
+n3 as (select *, coalesce(nullif(regexp_replace(upper(src),'[^A-Z0-9]','','g'),''), case when regexp_matches(compact,'^[A-Z0-9]{{10,30}}$') then compact end) as cl from n2),
+n4 as (select *, nullif(case when regexp_matches(cl,'^[A-Z0-9]{{3}}\d{{9}}[A-Z0-9]{{9}}') then left(cl,21) when regexp_matches(cl,'^00\d{{18}}$') then cl
+  when regexp_matches(cl,'^[A-Z0-9]{{5}}\d{{9}}[A-Z0-9]{{9}}') then left(cl,23) else cl end,'') as cand from n3),
+n5 as (select *, case when length(cand)=21 and regexp_matches(cand,'^[A-Z0-9]{{3}}\d{{9}}[A-Z0-9]{{9}}') then 3
+  when length(cand)=23 and regexp_matches(cand,'^[A-Z0-9]{{5}}\d{{9}}[A-Z0-9]{{9}}') then 5 end as m, regexp_matches(cand,'^00\d{{18}}$') as cand20 from n4),
+n6 as (select *, case when m is not null then 'eparcel-standard' when cand20 then 'sscc' end as atype,
+  case when m is not null then substr(cand, m+10, 5) end as product, case when m is not null then substr(cand, m+15, 2) end as service,
+  case when m is not null then substr(cand, m+8, 2) end as acount, case when m is not null then left(cand, m+7) end as consid,
+  case when m is not null then substr(cand, m+17, 1) end as paid, case when m is not null then substr(cand, m+18, 1) end as digit,
+  case when m is not null then lpad(translate(left(cand, length(cand)-1), '{LETTERS}', '{LETTER_DIGITS}'),22,'0') end as dig22,
+  nullif(regexp_extract(replace(stripped,'(00)','00'),'^00(\d{{18}})',1),'') as s18,
+  list_filter(string_split(norm,'|'), lambda x: x <> '') as parts,
+  (contains(norm,'420') or contains(norm,'8008') or contains(norm,'|92')) as is_dm from n5),
+dec as (select *, case when m is not null then cast((10-({corpus.digit_sum('dig22', 22)})%10)%10 as varchar) end as want,
+  case when s18 is not null then cast((10-({corpus.digit_sum('s18', 17)})%10)%10 as varchar) end as swant,
+  coalesce(substr(list_filter(parts, lambda x: starts_with(x,'420'))[-1],4,4), nullif(regexp_extract(compact,'420(\d{{4}})',1),'')) as postcode,
+  coalesce(substr(list_filter(parts, lambda x: starts_with(x,'92'))[-1],3,8), nullif(regexp_extract(compact,'92(\d{{8}})',1),'')) as dpid,
+  coalesce(substr(list_filter(parts, lambda x: starts_with(x,'8008'))[-1],5,12), nullif(regexp_extract(compact,'8008(\d{{12}})',1),'')) as stamp,
+  regexp_matches(raw_value,'(?i)FNC1|_1|\$') as literal,
+  case when not sscc20 then starts_with(compact,'01') end as ai01,
+  case when not sscc20 then starts_with(compact,'{corpus.GTIN}') end as gtin,
+  case when not sscc20 then case when starts_with(compact,'{corpus.GTIN}') then substr(compact,17,2)='91' else contains(compact,'91') end end as ai91,
+  case when cand is not null and atype is null then case when regexp_matches(cand,'^00\d+$') and length(cand)<>20
+    then 'SSCC article IDs must be 20 digits including AI 00. Detected length ' || length(cand) || '.'
+    else 'Standard eParcel article IDs must be 21 characters for 3-character MLID or 23 characters for 5-character MLID. Detected length ' || length(cand) || '.' end end as reject
+  from n6)"""
+EPD = EP + DEC
+LABEL_CODES = inside(R.label_codes())
+FNAME = decode("fproduct", {c: v[0] for c, v in R.FREIGHT_PRODUCTS.items()}, q(R.UNKNOWN_FREIGHT_PRODUCT))
+FLABEL = lambda c: decode(c, {k: v[2] for k, v in R.FREIGHT_PRODUCTS.items()})
+QTEXT = r"regexp_replace(coalesce(raw_value,''), '^\]Q[0-9]', '')"
+STD = ST + rf""", r0 as (select *, {STRIPPED} as stripped, {QTEXT} as qtext from scans_t),
+r1 as (select *, replace(replace(stripped,'(',''),')','') as bare from r0),
+r2 as (select *, regexp_matches(bare,'^[A-Z0-9]{{4}}\d{{8}}[A-Z0-9]{{3}}\d{{5}}$') as is_fr,
+  nullif(regexp_extract(bare,'421(036)(\d{{4}})403([A-Z0-9]{{3}})',3),'') as g_label, nullif(regexp_extract(bare,'421(036)(\d{{4}})403([A-Z0-9]{{3}})',2),'') as g_code,
+  nullif(regexp_extract(bare,'^([A-Z0-9]{{3}})(\d{{4}})([A-Z0-9]{{2,3}})$',1),'') as p_label, nullif(regexp_extract(bare,'^([A-Z0-9]{{3}})(\d{{4}})([A-Z0-9]{{2,3}})$',2),'') as p_code,
+  nullif(regexp_extract(bare,'^([A-Z0-9]{{3}})(\d{{4}})([A-Z0-9]{{2,3}})$',3),'') as p_depot,
+  regexp_matches(bare,'^C\d{{9}}$') as is_atl, length(qtext) >= 290 as is_qr,
+  nullif(regexp_extract(replace(stripped,'(00)','00'),'^00(\d{{18}})',1),'') as s18 from r1),
+dec as (select *, case when is_fr then substr(bare,13,3) end as fproduct, coalesce(g_label,p_label) as rlabel,
+  coalesce(coalesce(g_label,p_label) in {LABEL_CODES}, false) as is_rt,
+  case when s18 is not null then cast((10-({corpus.digit_sum('s18', 17)})%10)%10 as varchar) end as swant from r2)"""
+
+# -- sources, admission ----------------------------------------------------------------------
+ORACLES["admit_labels"] = EP + """, a as (select *, case when not (file_type='application/pdf' or starts_with(file_type,'image/') or
+ regexp_matches(lower(filename),'\\.(pdf|png|jpe?g|webp|bmp)$')) then 'unsupported file type' when file_bytes > 52428800 then 'file too large'
+ when page_count > 40 then 'too many pages' when cast(coalesce(pixel_width,0) as bigint)*coalesce(pixel_height,0) > 50000000 then 'image too large' end as r from labels_t),
+ b as (select *, case when r is null then row_number() over (partition by batch_id, r is null order by label_id) end as rn from a)
+ select label_id, batch_id, case when r is null and rn > 20 then 'beyond batch file limit' else r end as reject_reason from b"""
+ORACLES["clean_scans"] = EP + " select label_id, scan_seq, raw_value from scans_t where raw_value <> ''"
+ORACLES["route_text_source"] = EP + """, a as (select *, segment_count <= 1 and rotation = 0 and file_type='application/pdf' as t,
+ length(regexp_replace(extracted_text,'[^A-Za-z0-9]','','g')) as n from labels_t)
+ select label_id, t as use_text_layer, case when t then n else 0 end as useful_chars, not t or n < 80 as needs_ocr from a"""
+PAY = EP + """, p0 as (select payload_id, trim(raw_text) as raw_text from payloads_t),
+ p1 as (select *, case when json_valid(raw_text) then raw_text when strpos(raw_text,'{') > 0 and contains(raw_text,'}')
+  and json_valid(substr(raw_text, strpos(raw_text,'{'), length(raw_text)-strpos(reverse(raw_text),'}')+2-strpos(raw_text,'{')))
+  then substr(raw_text, strpos(raw_text,'{'), length(raw_text)-strpos(reverse(raw_text),'}')+2-strpos(raw_text,'{')) end as js from p0),
+ pay as (select payload_id, raw_text, js::json as js, raw_text <> '' as provided, regexp_replace(upper(raw_text),'[^A-Z0-9]+','','g') as norm_text from p1)"""
+ORACLES["parse_payloads"] = PAY + """ select payload_id, provided, provided and js is null as parse_error, norm_text as normalized_text,
+ js->>'$.consignment_id' as consignment_id from pay"""
+
+# -- scans -------------------------------------------------------------------------------------
+ORACLES["normalize_scans"] = EPD + " select label_id, scan_seq, norm as normalized, compact from dec"
+ORACLES["strip_scans"] = STD + " select label_id, scan_seq, stripped from dec"
+ORACLES["classify_scans"] = EP + """, a as (select *, contains(lower(format),'data') or contains(raw_value,'(420)') or contains(raw_value,'8008') or contains(raw_value,'|420') as dm,
+ contains(lower(format),'qr') or kind='qr' as qr from scans_t), b as (select *, not dm and not qr and (contains(lower(format),'128') or kind='linear') as lin from a)
+ select label_id, scan_seq, dm as is_datamatrix, qr as is_qr, lin as is_linear, case when dm then 'GS1 DataMatrix' when qr then 'QR Barcode' when lin then 'Linear Barcode'
+ else coalesce(nullif(format,''),'Barcode') end as scan_kind, case when contains(lower(format),'data') then 'GS1 DataMatrix' when qr then 'QR Barcode'
+ when contains(lower(format),'128') or kind='linear' then 'Linear / Code128' else coalesce(nullif(format,''),'barcode') end as display_name from b"""
+ROLE = "upper(translate(raw_value,'() ',''))"
+ORACLES["scan_roles"] = ST + rf""" select label_id, scan_seq, regexp_matches({ROLE},'^[A-Z0-9]{{4}}\d{{8}}[A-Z0-9]{{3}}\d{{5}}$') or regexp_matches({ROLE},'^00\d{{18}}$') as is_freight,
+ regexp_matches({ROLE},'^C\d{{9}}$') as is_atl, regexp_extract({ROLE},'^([A-Z0-9]{{3}})\d{{4}}[A-Z0-9]{{2,3}}$',1) in {LABEL_CODES}
+ or regexp_extract({ROLE},'^421036\d{{4}}403([A-Z0-9]{{3}})$',1) in {LABEL_CODES} as is_routing from scans_t"""
+ORACLES["dedupe_scans"] = """with s as (select l_orderkey as label_id, l_linenumber * 1000000 + cast(l_partkey * 7 + l_suppkey as int) as scan_seq,
+ case when l_linenumber % 2 = 0 then 'JDQ 000' else 'JDQ000' end || cast(l_partkey % 3 as string) as raw_value, case when l_linenumber % 3 = 0 then 'code_128' else '' end as format,
+ case when l_partkey % 4 = 0 then cast(l_suppkey as int) end as bar_count, case when l_partkey % 5 = 0 then cast(l_suppkey as int) end as box_x, l_partkey % 11 as o from lineitem),
+ g as (select label_id, format as f, replace(raw_value,' ','') as v, min(scan_seq) as s0, arg_min(raw_value, scan_seq) as raw_value, arg_min(o, scan_seq) as o0,
+ arg_min(bar_count, scan_seq) filter (where bar_count is not null) as bar_count, arg_min(box_x, scan_seq) filter (where box_x is not null) as box_x,
+ arg_min(o, scan_seq) filter (where box_x is not null) as ob from s group by all)
+ select label_id, s0 as scan_seq, raw_value, f as format, bar_count, box_x, 'crop-' || coalesce(ob,o0) as source, 'variant-' || coalesce(ob,o0) as variant_label from g"""
+ORACLES["decode_articles"] = EPD + f""" select label_id, scan_seq, case when sscc20 then 'GS1-128/SSCC' when contains(norm,'420') or contains(norm,'8008') then 'GS1-DataMatrix-like'
+ else 'GS1-128/Article-like' end as symbology_type, ai01 as has_ai01, gtin as has_gtin, ai91 as has_ai91, cand as article_candidate, reject as reject_reason,
+ atype as article_type, left(cand, m) as mlid, consid as consignment_id, acount as article_count, product as product_code,
+ case when product is not null then {PNAME} end as product_description, service as service_code, paid, digit as check_digit, want as expected_check_digit from dec"""
+ORACLES["decode_datamatrix"] = EPD + """ select label_id, scan_seq, is_dm as looks_datamatrix, postcode as dm_postcode, dpid as dm_dpid, stamp as dm_datetime,
+ postcode is not null as has_ai420, dpid is not null as has_ai92, stamp is not null as has_ai8008, literal as invalid_literal_separators from dec"""
+ORACLES["decode_sscc"] = EPD + """ select label_id, scan_seq, s18 as sscc18, swant = right(s18,1) as valid, left(s18,1) as extension_digit, substr(s18,2,16) as prefix_serial,
+ swant as expected, case when s18 is null then 'No AI 00 + 18 digit SSCC found.' when swant = right(s18,1) then 'Valid SSCC check digit.'
+ else 'SSCC check digit mismatch. Expected ' || swant || ', got ' || right(s18,1) || '.' end as reason from dec"""
+ORACLES["decode_freight"] = STD + f""" select label_id, scan_seq, case when is_fr then bare end as freight_item, case when is_fr then left(bare,4) end as despatch,
+ case when is_fr then left(bare,12) end as connote, case when is_fr then substr(bare,5,8) end as sequence, fproduct as product, case when is_fr then {FNAME} end as product_name,
+ case when is_fr then substr(bare,16,5) end as item, {FLABEL('fproduct')} as label_code, case when is_fr then bar_count end as bars,
+ case when not is_fr then 'Not a StarTrack 20-character freight item barcode.' end as freight_reason from dec"""
+ORACLES["decode_routing"] = STD + f""" select label_id, scan_seq, case when is_rt then case when g_label is not null then 'gs1-421-routing' else 'startrack-routing' end end as route_type,
+ case when is_rt then rlabel end as label_code, case when is_rt then case when g_label is not null then g_code else p_code end end as postcode,
+ case when is_rt then case when g_label is not null then '' else p_depot end end as depot,
+ {decode('case when is_rt then rlabel end', {k: '|'.join(v) for k, v in R.label_code_products().items()})} as products,
+ case when is_rt then null when g_label is not null then 'Unknown StarTrack GS1 routing label code ' || g_label || '.' when p_label is not null
+ then 'Unknown StarTrack routing label code ' || p_label || '.' else 'Not a StarTrack routing barcode.' end as routing_reason from dec"""
+ORACLES["decode_atl"] = STD + """ select label_id, scan_seq, case when is_atl then bare end as atl_number, case when is_atl then cast(substr(bare,2) as bigint) end as counter,
+ case when not is_atl then 'Not a StarTrack ATL barcode.' end as atl_reason from dec"""
+QF = {n: f"trim(substr(qtext,{s},{k}))" for n, s, k in QR_FIELDS}
+ORACLES["decode_qr"] = STD + f""" select label_id, scan_seq, case when is_qr then length(qtext) end as length, case when is_qr then
+ {decode(QF['productCode'], {c: v[0] for c, v in R.FREIGHT_PRODUCTS.items()}, q(R.UNKNOWN_FREIGHT_PRODUCT))} end as product_name,
+ {', '.join(f'case when is_qr then {e} end as {n}' for n, e in QF.items())} from dec"""
+ORACLES["distinct_articles"] = EPD + " select label_id, cand as article_id, min(scan_seq) as first_seq, any_value(atype) as article_type from dec where atype is not null group by 1, 2"
+ORACLES["article_rejects"] = EPD + " select label_id, cand as candidate, min(scan_seq) as first_seq, any_value(reject) as reason from dec where reject is not null group by 1, 2"
+_EXTRA = r"""select '{c}' as carrier, label_id, scan_seq, raw_value, 'Linear / Code128' as display_name from
+ (select *, count(*) over (partition by label_id) as n from scans_t) where n > {k} and raw_value <> '' and not (contains(lower(format),'data') or contains(raw_value,'(420)')
+ or contains(raw_value,'8008') or contains(raw_value,'|420')) and not (contains(lower(format),'qr') or kind='qr') and (contains(lower(format),'128') or kind='linear')
+ and not regexp_matches(replace(raw_value,' ',''), '^(\]C1)?\(?00\)?\d{{18}}$') and not {role}"""
+ORACLES["additional_scans"] = (
+    f"select * from ({EP} " + _EXTRA.format(c="eparcel", k=2, role=r"regexp_matches(replace(raw_value,' ',''), '^(\]C1)?\(?01\)?')")
+    + f") union all select * from ({ST} " + _EXTRA.format(
+        c="startrack", k=3,
+        role=rf"(regexp_matches({ROLE},'^[A-Z0-9]{{4}}\d{{8}}[A-Z0-9]{{3}}\d{{5}}$') or regexp_matches({ROLE},'^00\d{{18}}$') or regexp_matches({ROLE},'^C\d{{9}}$')"
+             rf" or regexp_extract({ROLE},'^([A-Z0-9]{{3}})\d{{4}}[A-Z0-9]{{2,3}}$',1) in {LABEL_CODES} or regexp_extract({ROLE},'^421036\d{{4}}403([A-Z0-9]{{3}})$',1) in {LABEL_CODES})")
+    + ")"
+)
+ORACLES["scan_diagnostics"] = """select l_orderkey as label_id, case when l_linenumber % 3 = 0 then 'datamatrix' else 'linear' end as kind, 'target-' || l_suppkey % 4 as target,
+ count(*) as scans, cast(sum(l_partkey % 3) as bigint) as decoded, cast(count_if(l_partkey % 10 = 0) as bigint) as skipped, cast(sum(cast(l_quantity*40 as bigint)) as bigint) as total_ms,
+ max(cast(l_quantity*40 as bigint)) as max_ms, cast(count_if(cast(l_quantity*40 as bigint) >= 1000) as bigint) as slow_scans from lineitem group by 1, 2, 3"""
+ORACLES["verify_check_digits"] = EP + f""", v as (select label_id, 'article' as kind, article as v, lpad(translate(left(article,length(article)-1),'{LETTERS}','{LETTER_DIGITS}'),22,'0') as d from base
+ union all select label_id, 'sscc', '00'||sscc18, lpad(left(sscc18,17),22,'0') from base),
+ w as (select *, cast((10-({corpus.digit_sum('d', 22)})%10)%10 as varchar) as e from v)
+ select label_id, kind, e as expected, right(v,1) as actual, e = right(v,1) as valid from w"""
+
+# -- text ----------------------------------------------------------------------------------------
+ORACLES["merge_text_sources"] = """with s as (select conv_id as label_id, turn as source_ord, unnest(string_split(text, chr(10))) as raw, generate_subscripts(string_split(text, chr(10)),1)-1 as line_no from conversations),
+ c as (select *, trim(regexp_replace(raw,'\\s+',' ','g')) as line from s), d as (select *, row_number() over (partition by label_id, upper(line) order by source_ord, line_no) as rn from c where line <> '')
+ select label_id, source_ord, cast(line_no as int) as line_no, line from d where rn = 1"""
+ORACLES["label_lines"] = """with s as (select doc_id, list_filter(list_transform(string_split(text, chr(10))[1:2000], lambda x: left(trim(x),1000)), lambda x: x <> '') as ls from documents)
+ select doc_id, cast(generate_subscripts(ls,1)-1 as int) as pos, unnest(ls) as line from s"""
+STATES = f"(?:{'|'.join(R.STATES)})"
+OPER = (r"(?i)^(DELIVERY\s+INSTRUCTIONS|Delivery\s+features|Signature\b|Con\s*No\b|Cons\s*No\b|PARCEL\b|AP\s*Article|Postage\s*Paid|Dead\s*weight|Weight\b|Ph\b|PHONE\b)")
+DG = (r"(?i)Aviation\s+Security|Dangerous\s+Goods|Declaration|sender acknowledges|sender declares|carried by air|clearing procedures|does not contain|not contain|prohibited goods|explosive|incendiary|criminal offence")
+PLINE = rf"\b([A-Z][A-Z\s''-]+?\s+{STATES}\s+\d{{4}})\b"
+
+
+def clean(x: str) -> str:
+    return (rf"trim(regexp_replace(regexp_replace({x}, '(?i)(?:\s{{3,}}|\b(?:The sender acknowledges|and clearing procedures|the article does not contain|prohibited goods)\b).*$', ''),"
+            r" '(?i)\s+Declaration$', ''))")
+
+
+def pos(ls: str, test: str) -> str:
+    return f"coalesce(list_position(list_transform({ls}, lambda x: {test}), true), 0)"
+
+
+def upto(ls: str, test: str, keep: int = 0) -> str:
+    p = pos(ls, test)
+    return f"case when {p} > 0 then {ls}[1:{p}-1+{keep}] else {ls} end"
+
+
+TXT = rf""", t0 as (select *, list_filter(list_transform(string_split(extracted_text, chr(10)), lambda x: trim(x)), lambda x: x <> '') as ls from labels_t),
+t1 as (select *, array_to_string(ls, chr(10)) as j, {pos('ls', r"regexp_matches(x, '(?i)^\s*(To|Deliver\s*To)\b:?')")} as pt,
+ {pos('ls', r"regexp_matches(x, '(?i)^\s*(From|Sender)\b:?')")} as pf, {pos('ls', r"regexp_matches(x, '(?i)Aviation\s+Security.*Dangerous\s+Goods')")} as pd,
+ {pos('ls', r"regexp_matches(x, '(?i)Cons\s*No\s*:?\s*$')")} as pc from t0),
+t2 as (select *, case when pt > 0 then trim(regexp_replace(ls[pt], '(?i)^\s*(To|Deliver\s*To)\b:?', '')) end as ht, case when pt > 0 then ls[pt+1:] else [] end as bt,
+ case when pf > 0 then trim(regexp_replace(regexp_replace(ls[pf], '(?i)^\s*(From|Sender)\b:?', ''), '(?i)Aviation\s+Security.*$', '')) end as hf, case when pf > 0 then ls[pf+1:] else [] end as bf,
+ case when pd > 0 then trim(regexp_extract(ls[pd], '(?i)Aviation\s+Security.*')) end as hd, case when pd > 0 then ls[pd+1:] else [] end as bd from t1),
+t3 as (select *, {upto('bt', f"regexp_matches(x, '{OPER}') or regexp_matches(x, '(?i)^From\\b|^Sender\\b')")} as bt1,
+ list_filter(list_transform({upto('bf', r"regexp_matches(x, '(?i)^AP\s*Article|^Delivery\s*features|^DELIVER\s+TO|^TO\b')")}, lambda x: {clean('x')}), lambda x: x <> '' and not regexp_matches(x, '{DG}')) as bf1,
+ {upto('bd', f"regexp_matches(x, '(?i)^AP\\s*Article|^DELIVER\\s+TO|^TO\\b|^SENDER\\b|^FROM\\b') and not regexp_matches(x, '{DG}')")} as bd1 from t2),
+tx as (select *, list_filter(list_concat(case when ht <> '' and not regexp_matches(ht, '(?i)^PHONE\b') and not regexp_matches(ht, '{OPER}') then [{clean('ht')}] else [] end,
+  list_filter(list_transform(bt1, lambda x: {clean('x')}), lambda x: x <> '' and not regexp_matches(x, '(?i)^PHONE\b'))), lambda x: x <> '') as to_b,
+ list_concat(case when pf > 0 and {clean('hf')} <> '' and not regexp_matches({clean('hf')}, '{DG}') then [{clean('hf')}] else [] end, {upto('bf1', f"regexp_matches(x, '(?i){PLINE}')", 1)}) as from_b,
+ case when pd > 0 then list_concat([hd], list_filter({upto('bd1', r"regexp_matches(x, '(?i)criminal offence')", 1)}, lambda x: regexp_matches(x, '{DG}'))) else [] end as dg_b,
+ list_distinct_first(list_filter(list_transform(ls, lambda x: trim(regexp_replace(regexp_extract(upper(x), '{PLINE}', 1), '\s+', ' ', 'g'))), lambda x: x <> '')) as plines
+ from t3)"""
+# order-keeping distinct
+TXT = TXT.replace("list_distinct_first(", "ordered_distinct(")
+MACRO_OPEN, MACRO = "ordered_distinct(", "list_filter({0}, lambda v, i: list_position({0}, v) = i)"
+
+
+def expand(sql: str) -> str:
+    """ordered_distinct(list) -> list without repeats, first occurrence kept."""
+    while MACRO_OPEN in sql:
+        i = sql.index(MACRO_OPEN)
+        depth, j = 1, i + len(MACRO_OPEN)
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[j], 0)
+            j += 1
+        sql = sql[:i] + MACRO.format(sql[i + len(MACRO_OPEN):j - 1]) + sql[j:]
+    return sql
+
+
+TXT = expand(TXT)
+EPT, STT = EP + TXT, ST + TXT
+J = lambda c: f"array_to_string({c}, '|')"
+ORACLES["address_blocks"] = EPT + f" select label_id, {J('to_b')} as to_block, {J('from_b')} as from_block from tx"
+ORACLES["dg_blocks"] = EPT + f" select label_id, {J('dg_b')} as dg_block from tx"
+ORACLES["postcode_lines"] = EPT + f" select label_id, {J('plines')} as postcode_lines from tx"
+AID = r"\b(00\d{18}|[A-Z0-9]{3}\d{18}|[A-Z0-9]{5}\d{18})\b"
+AIDS = rf""", ai as (select *, flatten(list_transform(list_filter(ls, lambda x: regexp_matches(x, '(?i)(?:AP\s*)?Article\s*Id')),
+ lambda x: regexp_extract_all(upper(regexp_replace(x, '(?i)^.*?(?:AP\s*)?Article\s*Id\s*:?\s*', '')), '{AID}', 1))) as prim,
+ flatten(list_transform(list_filter(ls, lambda x: not regexp_matches(x, '(?i)(?:AP\s*)?Article\s*Id')), lambda x: list_filter(regexp_extract_all(upper(x), '{AID}', 1),
+ lambda y: starts_with(replace(upper(x),' ',''), y) or ends_with(replace(upper(x),' ',''), y)))) as sec from tx),
+ fx as (select *, ordered_distinct(case when len(prim) > 0 then prim else sec end) as aids from ai)"""
+AIDS = expand(AIDS)
+ORACLES["visible_article_ids"] = EPT + AIDS + f" select label_id, {J('aids')} as article_ids from fx"
+LASTL = lambda b: f"coalesce(list_filter({b}, lambda x: regexp_matches(x, '\\d{{4}}\\s*$'))[-1], {b}[-1], '')"
+PC4 = lambda b: expand(f"ordered_distinct(flatten(list_transform({b}, lambda x: regexp_extract_all(x, '\\b(\\d{{4}})\\b', 1))))")
+ORACLES["address_tail"] = EPT + f" select label_id, {LASTL('to_b')} as to_last, {LASTL('from_b')} as from_last, {J(PC4('to_b'))} as postcodes4 from tx"
+
+
+def first_value(pattern: str) -> str:
+    return f"trim(regexp_extract(list_filter(ls, lambda x: regexp_matches(x, '{pattern}'))[1], '{pattern}', 1))"
+
+
+CONS = (rf"coalesce(nullif({first_value(r'(?i)Con(?:s)?\s*No\s*:?\s*([A-Z0-9]+)')},''), case when pc > 0 and regexp_matches(ls[pc+1], '(?i)^[A-Z0-9]{{6,16}}$') then ls[pc+1] end)")
+WEIGHT = (rf"coalesce(nullif({first_value(r'(?i)(?:Dead\s*weight|Weight)\s*([0-9.]+)\s*kg')},''), nullif({first_value(chr(40)+'?i)' + chr(92) + 'b([0-9]+(?:' + chr(92) + '.[0-9]+)?)' + chr(92) + 's*kg' + chr(92) + 'b')},''))")
+FACTS = AIDS + rf""", facts as (select *, upper({CONS}) as cons, {WEIGHT} as wt, list_filter(ls, lambda x: regexp_matches(x, '^\d{{4}}$'))[-1] as mmdd,
+ case when regexp_matches(upper(j),'EXPRESS\s+POST') then 'Express Post' when regexp_matches(upper(j),'PARCEL\s+POST') then 'Parcel Post' when contains(upper(j),'EPARCEL') then 'eParcel' end as ltype,
+ len(dg_b) > 0 or regexp_matches(j,'(?i)dangerous\s+goods') as dg from fx)"""
+ORACLES["eparcel_facts"] = EPT + FACTS + rf""" select label_id, ltype as label_type, {J('aids')} as article_ids, coalesce(cons,'') as consignment_ids,
+ {first_value(r'(?i)(?:Ph|Phone)\s*:?\s*([0-9 +()-]+)')} as phone, wt as weight, mmdd, dg, regexp_matches(j,'(?i)Postage\s+Paid') as postage_paid, cast(len(ls) as int) as line_count from facts"""
+CL = r"(?i)(?:CONNOTE|CON\s*NO|CONSIGNMENT(?:\s+NUMBER)?)"
+SFACTS = rf""", f0 as (select *, {pos('ls', r"regexp_matches(x, '(?i)CONNOTE|CON\s*NO|CONSIGNMENT')")} as pn,
+ nullif(upper(regexp_replace(regexp_extract(j, '(?i)(?:ARTICLE\s*ID|FREIGHT\s*ITEM(?:\s*ID)?)\s*:?\s*([A-Z0-9\s]{{12,30}})', 1), '\s+', '', 'g')), '') as la,
+ list_filter(list_transform(ls, lambda x: upper(replace(x,' ',''))), lambda x: regexp_matches(x, '^[A-Z0-9]{{4}}\d{{8}}[A-Z0-9]{{3}}\d{{5}}$'))[1] as ba from tx),
+ f1 as (select *, coalesce(la, ba) as art, case when pn > 0 then list_filter(list_transform(ls[pn:pn+3], lambda x: regexp_extract(upper(x), '\b([A-Z0-9]{{4}}\d{{8}})\b', 1)), lambda x: x <> '')[1] end as near from f0),
+ facts as (select *, coalesce(nullif(upper(regexp_extract(j, '{CL}\s*:?\s*([A-Z0-9]{{8,20}})', 1)),''), nullif(upper(regexp_extract(j, '{CL}\s*:?\s*(?:\r?\n|\s{{2,}})([A-Z0-9]{{8,20}})', 1)),''), near,
+  case when regexp_matches(art, '^[A-Z0-9]{{4}}\d{{8}}[A-Z0-9]{{3}}\d{{5}}$') then left(art,12) end) as conn,
+  nullif(upper(regexp_extract(j, '(?i)\b(TSE|RET|RE2|APT|PRM|FPP|ARL|FPA|EXP)\b', 1)),'') as lcode, nullif(regexp_extract(j, '(?i)\b([0-9]+(?:\.[0-9]+)?)\s*kg\b', 1),'') as wt,
+  nullif(regexp_extract(j, '(?i)\b([0-9]+(?:\.[0-9]+)?)\s*m3\b', 1),'') as cube, nullif(upper(regexp_extract(j, '(?i)\b(BAG|CTN|ITM|JIF|PAL|SAT|SKI)\b', 1)),'') as unit,
+  regexp_matches(j, '(?i)DANGEROUS\s+GOODS|DG\s*[:-]|AVIATION\s+SECURITY|IATA|UN\s?\d{{4}}') as dg, regexp_matches(j, '(?i)AUTHORITY\s+TO\s+LEAVE|\bATL\b') as atlp,
+  {expand("ordered_distinct(list_transform(regexp_extract_all(j, '(?i)" + chr(92) + "b(C" + chr(92) + "d{9})" + chr(92) + "b', 1), lambda x: upper(x)))")} as atls,
+  regexp_matches(upper(j), '\bNZ\b') as nz from f1)"""
+ORACLES["startrack_facts"] = STT + SFACTS + f""" select label_id, lcode as label_code, conn as connote, coalesce(art,'') as article_ids, wt as weight, cube, unit, dg, atlp as atl_text,
+ {J('atls')} as atl_numbers, nz, cast(len(ls) as int) as line_count from facts"""

@@ -44,6 +44,7 @@ def compare(spark_df, con, sql):
         return False, f"columns {c1} vs {c2}", len(r1)
     if r1 == r2:
         return True, "", len(r1)
-    only1 = [r for r in r1 if r not in set(r2)][:3]
-    only2 = [r for r in r2 if r not in set(r1)][:3]
+    s1, s2 = set(r1), set(r2)
+    only1 = [r for r in r1 if r not in s2][:3]
+    only2 = [r for r in r2 if r not in s1][:3]
     return False, f"{len(r1)} vs {len(r2)} rows\n  columns {c1}\n  spark only {only1}\n  duckdb only {only2}", len(r1)
