@@ -112,7 +112,7 @@ ROLE = "upper(translate(raw_value,'() ',''))"
 ORACLES["scan_roles"] = ST + rf""" select label_id, scan_seq, regexp_matches({ROLE},'^[A-Z0-9]{{4}}\d{{8}}[A-Z0-9]{{3}}\d{{5}}$') or regexp_matches({ROLE},'^00\d{{18}}$') as is_freight,
  regexp_matches({ROLE},'^C\d{{9}}$') as is_atl, regexp_extract({ROLE},'^([A-Z0-9]{{3}})\d{{4}}[A-Z0-9]{{2,3}}$',1) in {LABEL_CODES}
  or regexp_extract({ROLE},'^421036\d{{4}}403([A-Z0-9]{{3}})$',1) in {LABEL_CODES} as is_routing from scans_t"""
-ORACLES["dedupe_scans"] = """with s as (select l_orderkey as label_id, l_linenumber * 1000000 + cast(l_partkey * 7 + l_suppkey as int) as scan_seq,
+ORACLES["dedupe_scans"] = """with s as (select l_orderkey as label_id, l_linenumber * 100000000000 + l_partkey * 100000 + l_suppkey as scan_seq,
  case when l_linenumber % 2 = 0 then 'JDQ 000' else 'JDQ000' end || cast(l_partkey % 3 as string) as raw_value, case when l_linenumber % 3 = 0 then 'code_128' else '' end as format,
  case when l_partkey % 4 = 0 then cast(l_suppkey as int) end as bar_count, case when l_partkey % 5 = 0 then cast(l_suppkey as int) end as box_x, l_partkey % 11 as o from lineitem),
  g as (select label_id, format as f, replace(raw_value,' ','') as v, min(scan_seq) as s0, arg_min(raw_value, scan_seq) as raw_value, arg_min(o, scan_seq) as o0,
@@ -269,3 +269,203 @@ SFACTS = rf""", f0 as (select *, {pos('ls', r"regexp_matches(x, '(?i)CONNOTE|CON
   regexp_matches(upper(j), '\bNZ\b') as nz from f1)"""
 ORACLES["startrack_facts"] = STT + SFACTS + f""" select label_id, lcode as label_code, conn as connote, coalesce(art,'') as article_ids, wt as weight, cube, unit, dg, atlp as atl_text,
  {J('atls')} as atl_numbers, nz, cast(len(ls) as int) as line_count from facts"""
+
+# -- evidence ------------------------------------------------------------------------------------
+PAGE = "pixel_width is not null and coalesce(width_mm,0)=0"
+DPI = "cast(floor(least(pixel_width,pixel_height)/(100/25.4)+0.5) as int)"
+ORACLES["page_context"] = EP + f" select label_id, pixel_width, {PAGE} as raster, case when {PAGE} then {DPI} end as dpi from labels_t"
+XS = """, x0 as (select *, trim(sscc_company_prefix) as p, trim(sscc_extension_digit) as e from labels_t),
+ x1 as (select *, regexp_replace(p,'\\D','','g') as dp, regexp_replace(e,'\\D','','g') as de from x0),
+ x2 as (select *, case when e='' then '' when starts_with(de,'00') then substr(de,3,1) else left(de,1) end as ext, case when starts_with(dp,'00') then substr(dp,4) else dp end as px from x1),
+ xs as (select *, case when e<>'' and ext='' then 'Enter the SSCC extension digit, for example 3 or 003.' else '' end as er from x2)"""
+XCOLS = """label_format='sscc' as provided, p as raw, case when p<>'' and px='' then '' else ext end as extensionDigit, case when p='' then '' else px end as companyPrefix,
+ case when p='' then er when px='' then 'Enter the GS1 Company Prefix digits, for example 9315345.' when length(px)<4 or length(px)>12 then 'GS1 Company Prefix should usually be 4 to 12 digits.' else er end as reason"""
+ORACLES["sscc_expectation"] = EP + XS + f" select label_id, {XCOLS} from xs"
+LIN = "(regexp_matches(coalesce(format,''),'(?i)code[_\\s-]?128|gs1') or coalesce(ai91,false))"
+DME = "(is_dm or regexp_matches(coalesce(format,''),'(?i)data[_\\s-]?matrix'))"
+ORACLES["symbol_presence"] = EPD + f" select label_id, bool_or({LIN}) as linear_present, bool_or({DME}) as dm_present from dec group by 1"
+AGG = f""", sc as (select d.*, l.label_format as fmt, raw_value <> '' as filled from dec d join labels_t l using (label_id)),
+ art as (select label_id, cand, any_value(atype) as atype, any_value(product) as product, any_value(service) as service, any_value(acount) as acount, any_value(consid) as consid,
+  any_value(paid) as paid, any_value(digit) as digit, any_value(want) as want, any_value(m) as m, min(scan_seq) as s0, any_value(fmt) as fmt from sc where filled and atype is not null group by 1, 2),
+ ev as (select label_id, count_if(filled) as scan_count, count_if(filled and is_dm) as n_dm, count_if(filled and (is_dm or not sscc20)) as n_gs1,
+  count_if(filled and s18 is not null and swant=right(s18,1)) as n_valid, count_if(filled and s18 is not null and swant<>right(s18,1)) as n_invalid,
+  count(distinct case when filled and reject is not null then cand end) as n_rej, bool_or({LIN}) as lin, bool_or({DME}) as dme,
+  coalesce(list_sort(list(cand) filter (where filled and atype is not null and not is_dm and not sscc20)),[]) as lids, coalesce(list_sort(list(cand) filter (where filled and atype is not null and is_dm)),[]) as dids from sc group by 1),
+ av as (select label_id, count_if(atype = case when fmt='sscc' then 'sscc' else 'eparcel-standard' end) as n_art, count_if(atype='eparcel-standard') as n_std,
+  bool_or(atype='eparcel-standard' and fmt<>'sscc' and product in ('00065','00068')) as has_ret, bool_or(atype='eparcel-standard' and fmt<>'sscc' and product in ('00096','00087')) as has_exp from art group by 1),
+ lab as (select f.*, coalesce(scan_count,0) as scan_count, coalesce(n_dm,0) as n_dm, coalesce(n_gs1,0) as n_gs1, coalesce(n_valid,0) as n_valid, coalesce(n_invalid,0) as n_invalid, coalesce(n_rej,0) as n_rej,
+  coalesce(lin,false) as lin, coalesce(dme,false) as dme, coalesce(lids,[]) as lids, coalesce(dids,[]) as dids, coalesce(n_art,0) as n_art, coalesce(n_std,0) as n_std,
+  case when label_format='sscc' then 'sscc' when coalesce(has_ret,false) then 'returns' when coalesce(has_exp,false) then 'express-post' when coalesce(n_art,0)>0 then 'parcel-post'
+   when contains(coalesce(ltype,''),'Express') then 'express-post' when contains(coalesce(ltype,''),'Parcel') then 'parcel-post' else 'base' end as variant,
+  {PAGE} as raster, {DPI} as dpi, to_b as tb, {PC4('list_concat(plines, to_b)')} as pc4 from facts f left join ev using (label_id) left join av using (label_id))"""
+EPL = EP + DEC + TXT + FACTS + AGG
+ORACLES["eparcel_evidence"] = EPL + """ select label_id, n_gs1 as gs1, n_dm as datamatrix, n_art as articles, n_valid as sscc_valid, n_invalid as sscc_invalid, n_rej as rejects,
+ array_to_string(lids,'|') as linear_ids, array_to_string(dids,'|') as dm_ids, lin as linear_present, dme as dm_present, scan_count from lab"""
+EP_MODE = "case when n_std>0 or n_dm>0 or n_valid>0 then 'eparcel' else 'unknown' end"
+EP_FMT = "case when n_std>0 then 'standard' when n_valid>0 then 'sscc' else 'unknown' end"
+
+# -- eParcel rules: one CASE per rule --------------------------------------------------------------
+SUB = f"^[A-Z][A-Z''\\- ]*[A-Z]\\s+({'|'.join(R.STATES)})\\s+\\d{{4}}$"
+RULES: list[str] = []
+
+
+def out(src, rid, sev, cat, status, where="true", idx=False):
+    ident = f"'{rid}' || case when n > 1 then '_' || i else '' end" if idx else f"'{rid}'"
+    RULES.append(f"select label_id, {ident} as id, '{rid}' as rule_id, '{sev}' as severity, '{cat}' as category, {status} as status from {src} where {where}")
+
+
+def pf(cond, fail="fail"):
+    return f"case when {cond} then 'pass' else '{fail}' end"
+
+
+def sub_line(col):
+    return f"case when trim({col})='' then 'manual_review' when regexp_matches({col},'{SUB}') and not contains({col},',') then 'pass' else 'fail' end"
+
+
+SIZE = "((abs(width_mm-150)<=8 and abs(height_mm-100)<=8) or (abs(width_mm-100)<=8 and abs(height_mm-150)<=8))"
+out("lab", "EP-LAY-01", "WARNING", "label-layout", f"case when coalesce(width_mm,0)=0 or coalesce(height_mm,0)=0 then 'manual_review' when {SIZE} then 'pass' else 'warning' end")
+out("lab", "EP-LAY-06", "WARNING", "label-layout", pf("mmdd is not null", "manual_review"))
+out("lab", "EP-LAY-07", "ERROR", "address-format", pf("dg", "manual_review"))
+out("lab", "EP-TO-01", "ERROR", "address-format", pf("len(to_b)>0", "warning"))
+out("lab", "EP-TO-06", "ERROR", "address-format", sub_line(LASTL("to_b")), "len(to_b)>0")
+out("lab", "EP-FR-01", "ERROR", "address-format", pf("len(from_b)>0", "warning"))
+out("lab", "EP-FR-05", "ERROR", "address-format", sub_line(LASTL("from_b")), "len(from_b)>0")
+out("lab", "EP-LIN-01", "CRITICAL", "gs1-128", pf("lin"))
+out("lab", "EP-IMG-01", "WARNING", "label-layout", pf("dpi between 200 and 100000", "warning"), "raster")
+out("lab", "EP-DM-01", "CRITICAL", "datamatrix", pf("dme"))
+out("gs1", "EP-LIN-07", "CRITICAL", "gs1-128", pf("left(compact,16)='0199312650999998'"), "ai01", True)
+out("gs1", "EP-LIN-08", "CRITICAL", "gs1-128", pf("coalesce(ai91,false)"), "ai01", True)
+out("lab", "EP-LIN-09", "ERROR", "barcode-structure", pf("list_sort(list_distinct(lids)) = list_sort(list_distinct(dids))"), "len(lids)>0 and len(dids)>0")
+out("lab", "EP-ART-01", "CRITICAL", "barcode-structure", pf("n_art>0"))
+A_OK = "atype='eparcel-standard'"
+out("arts", "EP-ART-02", "ERROR", "barcode-structure", "'pass'", A_OK, True)
+out("arts", "EP-ART-03", "ERROR", "barcode-structure", "'pass'", A_OK, True)
+out("arts", "EP-ART-04", "ERROR", "barcode-structure", pf("cast(acount as int) between 1 and 20"), A_OK, True)
+out("arts", "EP-ART-05", "ERROR", "barcode-structure", pf("paid='0'"), A_OK, True)
+out("arts", "EP-ART-06", "CRITICAL", "check-digit", pf("digit=want"), A_OK, True)
+out("arts", "EP-ART-07", "ERROR", "barcode-structure", pf("consid=cons", "manual_review"), f"{A_OK} and cons is not null", True)
+out("arts", "EP-ART-08", "ERROR", "barcode-structure", pf("list_contains(aids,cand)", "manual_review"), f"{A_OK} and len(aids)>0", True)
+out("arts", "EP-SVC-01", "ERROR", "service-code", pf(f"service in {inside(R.SERVICES)}"), A_OK, True)
+out("arts", "EP-SVC-02", "ERROR", "service-code", pf(f"product in {inside(R.PRODUCTS)}"), A_OK, True)
+FITS = " or ".join(f"(service={q(s)} and product in {inside(ps)})" for s, ps in R.SERVICE_PRODUCTS.items())
+out("arts", "EP-SVC-03", "ERROR", "service-code", pf(f"service not in {inside(R.SERVICES)} or {FITS}"), A_OK, True)
+ALLOWED = {"base": R.PRODUCTS, "parcel-post": ["00093", "00091"], "express-post": ["00096", "00087"], "returns": ["00065", "00068"]}
+out("arts", "EP-SVC-07", "ERROR", "service-code", "case " + " ".join(f"when variant={q(v)} and product in {inside(p)} then 'pass'" for v, p in ALLOWED.items()) + " else 'fail' end", f"{A_OK} and variant<>'sscc'", True)
+out("dms", "EP-DM-04", "CRITICAL", "datamatrix", pf("not literal"), idx=True)
+out("dms", "EP-DM-05", "CRITICAL", "datamatrix", pf("regexp_matches(coalesce(postcode,''),'^\\d{4}$')"), idx=True)
+out("dms", "EP-TO-08", "ERROR", "datamatrix", "case when len(pc4)=0 then 'manual_review' when list_contains(pc4,postcode) then 'pass' else 'fail' end", "coalesce(postcode,'')<>''", True)
+out("dms", "EP-DM-06", "ERROR", "datamatrix", pf("regexp_matches(dpid,'^\\d{8}$') and dpid<>'00000000'"), "dpid is not null", True)
+out("dms", "EP-DM-06-NA", "INFO", "datamatrix", "'pass'", "dpid is null", True)
+STAMP = " and ".join(f"cast(substr(stamp,{o},2) as int) between {a} and {b}" for o, a, b in ((3, 1, 12), (5, 1, 31), (7, 0, 23), (9, 0, 59), (11, 0, 59)))
+out("dms", "EP-DM-07", "CRITICAL", "datamatrix", f"case when not regexp_matches(coalesce(stamp,''),'^\\d{{12}}$') then 'fail' when {STAMP} then 'pass' else 'fail' end", idx=True)
+out("lab", "EP-LAY-05-PP", "WARNING", "label-layout", "case when ltype is null then 'manual_review' when contains(ltype,'Express') then 'warning' else 'pass' end", "variant='parcel-post'")
+out("lab", "EP-LAY-05", "ERROR", "label-layout", "case when contains(coalesce(ltype,''),'Express') then 'pass' else 'manual_review' end", "variant='express-post'")
+out("arts", "EP-RET-01", "ERROR", "service-code", pf("service in ('03','08')"), f"{A_OK} and variant='returns'", True)
+out("arts", "EP-RET-02", "ERROR", "barcode-structure", pf("acount='01'"), f"{A_OK} and variant='returns'", True)
+out("lab", "EP-RET-03", "CRITICAL", "sscc", pf("n_valid=0"), "variant='returns'")
+out("lab", "EP-SS-01", "CRITICAL", "sscc", pf("n_valid>0"), "variant='sscc'")
+out("lab", "EP-SS-02", "CRITICAL", "sscc", pf("n_invalid=0"), "variant='sscc'")
+out("lab", "EP-SS-05", "INFO", "sscc", "'pass'", "variant='sscc'")
+LISTS = """, gs1 as (select s.*, row_number() over (partition by label_id order by is_dm, scan_seq)-1 as i, count(*) over (partition by label_id) as n from sc s where filled and (is_dm or not sscc20)),
+ dms as (select s.*, l.pc4, row_number() over (partition by label_id order by scan_seq)-1 as i, count(*) over (partition by label_id) as n from sc s join lab l using (label_id) where s.filled and s.is_dm),
+ arts as (select a.*, l.variant, l.cons, l.aids, row_number() over (partition by label_id order by s0)-1 as i, count(*) over (partition by label_id) as n from art a join lab l using (label_id)
+  where a.atype = case when a.fmt='sscc' then 'sscc' else 'eparcel-standard' end), res as (""" + " union all ".join(RULES) + ")"
+EPR = EPL + LISTS
+ORACLES["rules_eparcel"] = EPR + " select * from res"
+
+# -- reports on the rule rows ------------------------------------------------------------------------
+SUMMARY = """case when bool_or(status='fail' and severity in ('CRITICAL','ERROR')) then 'FAIL' when bool_or(status in ('warning','manual_review')) then 'REVIEW' else 'PASS' end as overall_status,
+ count(*) as total, count_if(severity='CRITICAL') as critical, count_if(severity='ERROR') as errors, count_if(severity='WARNING') as warnings,
+ count_if(status='manual_review') as manual_review, count_if(status='fail') as failed, count_if(status='pass') as passed"""
+ORACLES["summarize_labels"] = EPR + f" select label_id, {SUMMARY} from res group by 1"
+PANEL = decode(decode("category", SECTION_OF, "category"), PANELS["eparcel"], "'other'")
+ORACLES["section_tones"] = EPR + f""" select label_id, {PANEL} as panel, count(*) as rows, case when bool_or(status='fail') then 'fail' when bool_or(status in ('warning','manual_review')) then 'review'
+ when bool_or(status='pass') then 'pass' else 'neutral' end as tone from res group by 1, 2"""
+ORACLES["report_filters"] = EPR + " select label_id, count_if(status in ('fail','warning','manual_review')) as issues, count(*) as all_rows, count_if(status='pass') as passes from res group by 1"
+ORACLES["service_product_compatible"] = EPD + f""" select label_id, cand as article_id, any_value(service) as service, any_value(product) as product,
+ any_value(service not in {inside(R.SERVICES)} or {FITS}) as compatible from dec where m is not null group by 1, 2"""
+SNAME = decode("service", {c: v[0] for c, v in R.SERVICES.items()})
+SALLOW = decode("service", {c: ", ".join(v) for c, v in R.SERVICE_PRODUCTS.items()})
+ORACLES["service_product_rows"] = EPD + f""", a as (select distinct label_id, cand as article_id, service, product, {SNAME} as sn, {decode('product', R.PRODUCTS)} as pn, {SALLOW} as al, ({FITS}) as ok from dec where m is not null)
+ select label_id, article_id, 'SERVICE_KNOWN' as id, case when sn is null then 'fail' else 'pass' end as status, coalesce('Service ' || service || ': ' || sn, 'Unknown service code ' || service) as message, '' as expected, service as actual from a
+ union all select label_id, article_id, 'PRODUCT_KNOWN', case when pn is null then 'fail' else 'pass' end, coalesce('Product ' || product || ': ' || pn, 'Unknown product code ' || product), '', product from a
+ union all select label_id, article_id, 'SERVICE_PRODUCT_MATCH', case when ok then 'pass' else 'fail' end, 'Service ' || service || case when ok then ' supports product ' else ' does not support product ' end || product || '.', al, product from a where sn is not null"""
+
+# -- coded checks --------------------------------------------------------------------------------------
+F0 = "select label_id, {id} as id, {sev} as severity, {cat} as category, {st} as status, {msg} as message, {exp} as expected, {act} as actual from lab"
+
+
+def fixed(id, sev, cat, st, msg, act="''", exp="''"):
+    return F0.format(id=q(id), sev=sev, cat=q(cat), st=st, msg=msg, exp=exp, act=act)
+
+
+def when(cond, yes, no):
+    return f"case when {cond} then {yes} else {no} end"
+
+
+FACT_ROWS = [
+    fixed("TEXT_EXTRACTED", when("len(ls)>0", "'INFO'", "'WARNING'"), "label-layout", when("len(ls)>0", "'pass'", "'manual_review'"),
+          when("len(ls)>0", "len(ls) || ' text line(s) were extracted from the file.'", "'No selectable or OCR text was extracted from this label.'")),
+    fixed("LABEL_TYPE", "'INFO'", "label-layout", when("ltype is not null", "'pass'", "'not_applicable'"),
+          when("ltype is not null", "'Detected label header text: ' || ltype || '.'", "'Product branding/header was not exposed in the PDF text layer. Product family is assessed from the decoded product code instead.'"), "coalesce(ltype,'')"),
+    fixed("VISIBLE_ARTICLE_ID", "'INFO'", "address-format", when("len(aids)>0", "'pass'", "'warning'"),
+          when("len(aids)>0", "'Visible AP Article ID value(s) extracted: ' || array_to_string(aids,', ') || '.'", "'No visible AP Article ID was extracted from text.'"), "array_to_string(aids,', ')"),
+    fixed("VISIBLE_CONS_NO", "'INFO'", "address-format", when("cons is not null", "'pass'", "'manual_review'"),
+          when("cons is not null", "'Visible consignment number extracted: ' || cons || '.'", "'No visible Cons No value was extracted.'"), "coalesce(cons,'')"),
+    fixed("WEIGHT_PRESENT", "'INFO'", "label-layout", when("wt is not null", "'pass'", "'manual_review'"),
+          when("wt is not null", "'Weight value found: ' || wt || 'kg.'", "'Weight value was not extracted from the text layer or decoded barcode payload.'"), "coalesce(wt||'kg','')"),
+]
+ORACLES["label_fact_checks"] = EPL + " " + " union all ".join(FACT_ROWS)
+ORACLES["startrack_text_check"] = STT + """ select label_id, 'ST_TEXT_EXTRACTED' as id, case when len(ls)>0 then 'INFO' else 'WARNING' end as severity, 'startrack-label-layout' as category,
+ case when len(ls)>0 then 'pass' else 'manual_review' end as status, case when len(ls)>0 then len(ls) || ' text line(s) were extracted from the file.'
+ else 'No selectable text was extracted. Barcode evidence is still assessed from the rendered image.' end as message, '' as expected, '' as actual from tx"""
+
+# -- payloads --------------------------------------------------------------------------------------------
+KNOWN = [("allow_partial_delivery", "boolean"), ("articles[0].article_id", "string"), ("articles[0].product_id", "string"), ("authority_to_leave", "boolean"),
+         ("consignment_id", "string"), ("dangerous_goods", "string"), ("safe_drop_enabled", "boolean"), ("to.lines[0]", "string"), ("to.lines[1]", "string"),
+         ("to.postcode", "string"), ("to.state", "string"), ("to.suburb", "string"), ("weight", "number")]
+LEAVES = " union all ".join(f"select payload_id, {q(p)} as path, js->>'$.{p}' as value, {q(t)} as value_type from pay where js is not null" for p, t in KNOWN)
+ORACLES["flatten_payloads"] = PAY + f" select *, regexp_replace(upper(value),'[^A-Z0-9]+','','g') as normalized_value from ({LEAVES})"
+ORACLES["flatten_event_props"] = "select event_id as payload_id, 'k' as path, props->>'$.k' as value from events"
+ORACLES["payload_flags"] = PAY + """ select payload_id, js->>'$.authority_to_leave' = 'true' as authority_to_leave, js->>'$.allow_partial_delivery' = 'true' as allow_partial_delivery,
+ js->>'$.safe_drop_enabled' = 'true' as safe_drop_enabled, js->>'$.dangerous_goods' = 'yes' as dangerous_goods from pay where js is not null"""
+ORACLES["payload_containment"] = PAY + """ select payload_id, contains(norm_text, postcode) as postcode, contains(norm_text, article) as article, contains(norm_text, b.state) as state,
+ cast(null as boolean) as nothing from pay join base b on b.k = payload_id where provided"""
+
+# -- matrices ----------------------------------------------------------------------------------------------
+MATRIX = ", ".join(f"({q(s)}, {q(p)}, {q(R.WINE_PRODUCT_NAME if s in R.WINE_SERVICES else R.PRODUCTS[p])}, {', '.join(str(x).lower() for x in R.SERVICE_FLAGS[s])})" for s, ps in R.SERVICE_PRODUCTS.items() for p in ps)
+ORACLES["service_matrix"] = EPD + f""", mx as (select * from (values {MATRIX}) t(service_code, product_code, product_name, safe_drop, signature, atl, partial, no_signature)),
+ a as (select distinct label_id, service, product from dec where m is not null)
+ select label_id, service_code, product_code, any_value(product_name) as product_name, any_value(safe_drop) as safe_drop, any_value(signature) as signature, any_value(atl) as atl, any_value(partial) as partial,
+ any_value(no_signature) as no_signature, bool_or(product = product_code) as selected_cell from a join mx on service = service_code group by 1, 2, 3"""
+ORACLES["unit_permitted"] = STD + f""" select label_id, {QF['unitType']} as unit, {QF['productCode']} as product,
+ {' or '.join(f"({QF['unitType']}={q(u)} and {QF['productCode']} in {inside(ps)})" for u, ps in R.UNIT_PRODUCTS.items())} as permitted from dec where kind='qr' and is_qr"""
+
+# -- batch checks and stream ---------------------------------------------------------------------------------
+ORACLES["duplicate_consignments"] = """with d as (select l_partkey % 500 as consignment_id, l_suppkey as customer_id, datediff('day', date '1990-01-01', cast(l_shipdate as date)) as day from lineitem),
+ g as (select *, day - lag(day) over (partition by consignment_id order by day) as gap from d)
+ select consignment_id, count(*) as uses, bool_or(coalesce(gap,730) < 730) as reused_in_2_years, count(distinct customer_id) as customers from g group by 1 having count(*) > 1"""
+ORACLES["atl_consistency"] = """with d as (select l_orderkey as connote, case when l_linenumber % 3 <> 0 then 'C' || lpad(cast(l_partkey % 5 as string),9,'0') end as a from lineitem)
+ select connote, count(distinct a) as codes, count(a) as labels, min(a) as first_code from d where a is not null group by 1 having count(distinct a) > 1"""
+ORACLES["unit_type_limit"] = """with d as (select l_orderkey % 3000 as connote, 'U' || l_partkey % 40 as u, l_suppkey % 50 = 0 as s from lineitem)
+ select connote, count(distinct u) as unit_types, count(*) as items, bool_or(s) as single_item, count(distinct u) > 12 as too_many_types, bool_or(s) and count(*) > 1 as not_single from d group by 1
+ having count(distinct u) > 12 or (bool_or(s) and count(*) > 1)"""
+ORACLES["item_sequence"] = """with g as (select l_orderkey as connote, l_linenumber as i, count(*) as n from lineitem group by 1, 2)
+ select connote, cast(sum(n) as bigint) as labels, count(*) as distinct_items, max(i) as highest_item, 4 as quantity, count_if(n > 1) as repeated_items, count(*) = 4 and max(i) = 4 and count_if(n > 1) = 0 as complete from g group by 1"""
+ORACLES["location_check"] = """with c as (select c_custkey, c_nationkey as nk, 'NATION_' || (c_nationkey + case when c_custkey % 10 = 0 then 1 else 0 end) as suburb, case when c_custkey % 4 = 0 then 'SYD' else 'MEL' end as depot from customer)
+ select c_custkey, case when n_nationkey is null then 'unknown location' when depot = case when n_regionkey % 2 = 0 then 'SYD' else 'MEL' end then 'match' else 'depot mismatch' end as location_status
+ from c left join nation on n_nationkey = nk and n_name = suburb"""
+
+
+def event_base() -> str:
+    sql = "(select event_id as o_orderkey, user_id as o_custkey, ts from events)"
+    for layer in corpus.EPARCEL_LAYERS:
+        sql = f"(select {', '.join(layer if layer[0] == '*' else [*layer, 'ts'])} from {sql})"
+    return sql
+
+
+ORACLES["stream_audit"] = (
+    f"with base as materialized (select * from {event_base()}), scans_t as (select label_id, 0 as scan_seq, linear_raw as raw_value, 'code_128' as format, '' as kind, ts from base)" + DEC
+    + """ select date_trunc('day', ts) as window_start, case when atype='sscc' then 'sscc' when digit=want then 'valid' when atype is not null then 'check digit mismatch'
+ when reject is not null then 'rejected' else 'no article' end as verdict, count(*) as scans from dec group by 1, 2"""
+)

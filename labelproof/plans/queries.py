@@ -99,7 +99,7 @@ def scan_roles(spark, sf):
 
 REPEATED = [
     "l_orderkey as label_id",
-    "l_linenumber * 1000000 + cast(l_partkey * 7 + l_suppkey as int) as scan_seq",
+    "l_linenumber * 100000000000 + l_partkey * 100000 + l_suppkey as scan_seq",
     "case when l_linenumber % 2 = 0 then 'JDQ 000' else 'JDQ000' end || cast(l_partkey % 3 as string) as raw_value",
     "case when l_linenumber % 3 = 0 then 'code_128' else '' end as format",
     "case when l_partkey % 4 = 0 then cast(l_suppkey as int) end as bar_count",
