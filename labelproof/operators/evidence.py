@@ -5,8 +5,9 @@ network, not their decoded form; decoding runs after the exchange and the per-la
 gathering and the join reuse the same partitioning.
 
 Gathering is bounded: ``scan_seq`` is unique within a label, so the scans with
-``scan_seq < SCAN_BOUND`` are at most that many per label. A label with more scans is cut
-into parts of that size; see ``wide_labels``."""
+``scan_seq < SCAN_BOUND`` are at most that many per label. An entry with more scans is no
+printed label but a corrupt key; it is never gathered or cut short, it is listed whole, with
+its scan count, by ``wide_labels`` and takes no part in the evidence."""
 
 from __future__ import annotations
 
@@ -132,6 +133,14 @@ def gather(scans: DataFrame, carrier: str) -> DataFrame:
     return decoded.groupBy("label_id").agg(F.array_sort(F.collect_list("item")).alias("items"))
 
 
+def wide_labels(scans: DataFrame) -> DataFrame:
+    """Reject table: labels with scans at or beyond SCAN_BOUND. The test is on a stored column,
+    so on parquet it is answered from row-group statistics; counts combine before the shuffle."""
+    wide = scans.filter(F.col("scan_seq") >= SCAN_BOUND).select("label_id").distinct()
+    counts = scans.groupBy("label_id").agg(F.count("*").alias("scans"))
+    return counts.join(wide, "label_id", "left_semi").withColumn("reject_reason", F.lit("too many scans for one label"))
+
+
 def pick(items: Column, field: str) -> Column:
     return F.filter(F.transform(items, lambda s: s[field]), lambda v: v.isNotNull())
 
@@ -158,6 +167,8 @@ def joined(labels: DataFrame, scans: DataFrame, carrier: str) -> tuple[DataFrame
     keep = [c for c in ("filename", "source_page", "payload_id") if c in labels.columns]
     lab = _labels(labels, carrier).select(*HEAD, *keep, "extracted_text", "linear_visible", "datamatrix_visible")
     lab = lab.repartition("label_id")
+    wide = scans.filter(F.col("scan_seq") >= SCAN_BOUND).select("label_id").distinct()
+    lab = lab.join(wide, "label_id", "left_anti")
     if carrier == "startrack":
         names = S.test(F.coalesce("extracted_text", F.lit("")), r"STAR\s*TRACK|STARTRACK", "i")
         lab = X.startrack_facts(lab.withColumn("text_names_carrier", names))
