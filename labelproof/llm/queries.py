@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from labelproof.llm import decontaminate
-from labelproof.llm.common import table
+from labelproof.llm import decontaminate, token_files
+from labelproof.llm.common import arrow_map, shared_path, table
 
 
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,5 +37,15 @@ select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_hit, 0) as big
 from dw left join hit using (doc_id) left join ids using (doc_id)
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op3_benchmark_decontamination": op3_benchmark_decontamination}
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = shared_path(spark, "tokens")
+    token_files.write_tokens(table(spark, sf_dir, "documents", "doc_id", "text"), out)
+    read = token_files.read_tokens(spark, out)
+    return arrow_map(read, token_files.digests, "doc_id long, start long, n_tokens long, ids_crc32 long")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_benchmark_decontamination": op3_benchmark_decontamination,
+    "op4_token_files": op4_token_files,
+}
 ORACLES: dict[str, str] = {"op3_benchmark_decontamination": OP3_SQL}
