@@ -17,6 +17,7 @@ each other. An empty table gives files without rows.
 
 from __future__ import annotations
 
+import os
 import zlib
 from itertools import chain
 
@@ -28,9 +29,9 @@ from pyspark.sql import functions as F
 #: The id that ends each document.
 END_ID = 1
 #: Pieces of text whose ids a worker keeps.
-KEPT_PIECES = 400_000
+KEPT_PIECES = 500_000
 #: Pieces that are encoded in one call.
-CALL_PIECES = 20_000
+CALL_PIECES = 2_000
 STRIPE_BYTES = 16 << 20
 SCHEMA = "doc_id long, part int, local_start long, n_tokens long, ids array<int>"
 ARROW = pa.schema([
@@ -45,30 +46,57 @@ def vocabulary() -> str:
 
 
 class WordEncoder:
-    """Ids of texts, as the library gives them without special tokens, from ids of the pieces between spaces."""
+    """Ids of texts, as the library gives them without special tokens, from ids of the pieces between spaces.
+
+    New pieces are encoded many at a time with an added token between them, which splits a text before anything else
+    does. The first KEPT_PIECES are kept for the life of the worker; later ones for their block of texts.
+    """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the tasks are what runs in parallel
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.mark_id, added = min(self.tokenizer.get_added_tokens_decoder().items())
+        self.mark = added.content
         self.kept: dict[str, bytes] = {"": b""}
 
-    def learn(self, pieces: set[str]) -> None:
-        new = list(pieces.difference(self.kept))
-        if len(self.kept) + len(new) > KEPT_PIECES:
-            self.kept = {"": b""}
-            new = list(pieces - {""})
-        for k in range(0, len(new), CALL_PIECES):
-            part = new[k : k + CALL_PIECES]
-            for piece, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.kept[piece] = np.array(found.ids, "<i4").tobytes()
+    def learned(self, pieces: list[str]) -> dict[str, bytes]:
+        out = {}
+        plain = [p for p in pieces if self.mark not in p]
+        if len(plain) < len(pieces):
+            odd = [p for p in pieces if self.mark in p]
+            out.update((p, np.array(x.ids, "<i4").tobytes()) for p, x in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False), strict=True))
+        for k in range(0, len(plain), CALL_PIECES):
+            part = plain[k : k + CALL_PIECES]
+            ids = np.array(self.tokenizer.encode_batch_fast([self.mark.join(part)], add_special_tokens=False)[0].ids, "<i4")
+            marks = np.flatnonzero(ids == self.mark_id) * 4
+            raw = ids.tobytes()
+            out.update((p, raw[a:b]) for p, a, b in zip(part, [0, *(marks + 4).tolist()], [*marks.tolist(), len(raw)], strict=True))
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
         split = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
-        self.learn(set(chain.from_iterable(split)))
-        get = self.kept.__getitem__
-        return [b"".join(map(get, pieces)) for pieces in split]
+        pieces = set(chain.from_iterable(split))
+        new = self.learned(list(pieces.difference(self.kept)))
+        if len(self.kept) + len(new) <= KEPT_PIECES:
+            self.kept.update(new)
+            get = self.kept.__getitem__
+        else:
+            kept = self.kept
+            get = {p: kept[p] if p in kept else new[p] for p in pieces}.__getitem__
+        return [b"".join(map(get, x)) for x in split]
+
+
+#: One encoder for each file, for the life of the worker process.
+ENCODERS: dict[str, WordEncoder] = {}
+
+
+def encoder_of(path: str) -> WordEncoder:
+    if path not in ENCODERS:
+        ENCODERS[path] = WordEncoder(path)
+    return ENCODERS[path]
 
 
 def blocks(texts: list[str], chars: int = 1 << 20):
@@ -87,7 +115,7 @@ def writer(path: str):
     def run(batches):
         from pyspark import TaskContext
 
-        part, start, encoder, end = TaskContext.get().partitionId(), 0, WordEncoder(path), np.array([END_ID], "<i4").tobytes()
+        part, start, encoder, end = TaskContext.get().partitionId(), 0, encoder_of(path), np.array([END_ID], "<i4").tobytes()
         for batch in batches:
             doc_ids = batch.column(0)
             texts = [x or "" for x in batch.column(1).to_pylist()]
