@@ -108,3 +108,32 @@ def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame
         seen = mark
     stars = links.selectExpr("u as node", "v as root")
     return stars.unionAll(stars.selectExpr("root as node", "root").distinct())
+
+
+class Memo:
+    """Values of different pieces (words, say), learned once: the first `limit` for the life of the worker, later ones for
+    their block, so that the memory stays bounded."""
+
+    def __init__(self, learn, limit: int = 400_000):
+        self.learn, self.limit, self.kept = learn, limit, {}
+
+    def getter(self, pieces: set):
+        """A function from each of the pieces to its value."""
+        kept = self.kept
+        new = {p: self.learn(p) for p in pieces.difference(kept)}
+        if len(kept) + len(new) <= self.limit:
+            kept.update(new)
+            return kept.__getitem__
+        return {p: kept[p] if p in kept else new[p] for p in pieces}.__getitem__
+
+
+def blocks(values: list, chars: int = 1 << 20):
+    """Ranges of texts of about so many characters, so that a block's different pieces stay few."""
+    first, held = 0, 0
+    for k, text in enumerate(values):
+        held += len(text)
+        if held >= chars:
+            yield first, k + 1
+            first, held = k + 1, 0
+    if first < len(values):
+        yield first, len(values)

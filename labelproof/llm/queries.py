@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from labelproof.llm import decontaminate, fingerprints, secrets, simhash, token_files
+from labelproof.llm import decontaminate, fingerprints, secrets, simhash, token_files, toxicity
 from labelproof.llm.common import arrow_map, shared_path, table
 
 
@@ -52,6 +52,10 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return arrow_map(read, token_files.digests, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_report(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "toxic"))
+
+
 def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_pairs(table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -61,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op4_token_files": op4_token_files,
+    "op6_toxicity": op6_toxicity,
     "op7_document_fingerprints": op7_document_fingerprints,
 }
 ORACLES: dict[str, str] = {"op3_benchmark_decontamination": OP3_SQL}
