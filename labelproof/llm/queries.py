@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from labelproof.llm import decontaminate, fingerprints, secrets, simhash, token_files, toxicity
+from labelproof.llm import decontaminate, fingerprints, html_main, secrets, simhash, token_files, toxicity
 from labelproof.llm.common import arrow_map, shared_path, table
 
 
@@ -60,6 +61,11 @@ def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_pairs(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_main.main_texts(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
@@ -67,5 +73,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_files": op4_token_files,
     "op6_toxicity": op6_toxicity,
     "op7_document_fingerprints": op7_document_fingerprints,
+    "op9_html_extraction": op9_html_extraction,
 }
 ORACLES: dict[str, str] = {"op3_benchmark_decontamination": OP3_SQL}
