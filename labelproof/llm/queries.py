@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelproof.llm import decontaminate, fingerprints, html_main, secrets, simhash, token_files, toxicity
+from labelproof.llm import decontaminate, fingerprints, html_main, secrets, sentencepiece_viterbi, simhash, token_files, toxicity
 from labelproof.llm.common import arrow_map, shared_path, table
 
 
@@ -66,6 +66,10 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_viterbi.codec_report(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
@@ -74,5 +78,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_toxicity": op6_toxicity,
     "op7_document_fingerprints": op7_document_fingerprints,
     "op9_html_extraction": op9_html_extraction,
+    "op10_sentencepiece": op10_sentencepiece,
 }
 ORACLES: dict[str, str] = {"op3_benchmark_decontamination": OP3_SQL}
