@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelproof.llm import decontaminate, fingerprints, html_main, secrets, sentencepiece_viterbi, simhash, token_files, toxicity
+from labelproof.llm import decontaminate, fingerprints, html_main, secrets, sentencepiece_viterbi, simhash, token_files, toxicity, url_filter
 from labelproof.llm.common import arrow_map, shared_path, table
 
 
@@ -53,6 +53,10 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return arrow_map(read, token_files.digests, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judged(table(spark, sf_dir, "pages", "page_id", "url"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_report(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "toxic"))
 
@@ -75,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op4_token_files": op4_token_files,
+    "op5_url_filter": op5_url_filter,
     "op6_toxicity": op6_toxicity,
     "op7_document_fingerprints": op7_document_fingerprints,
     "op9_html_extraction": op9_html_extraction,
