@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelproof.llm import decontaminate, fingerprints, html_main, secrets, sentencepiece_viterbi, simhash, token_files, toxicity, url_filter
+from labelproof.llm import decontaminate, fingerprints, html_main, pii, secrets, sentencepiece_viterbi, simhash, token_files, toxicity, url_filter
 from labelproof.llm.common import arrow_map, shared_path, table
 
 
@@ -65,6 +65,10 @@ def op7_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_pairs(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pii_report(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = html_main.main_texts(table(spark, sf_dir, "pages", "page_id", "url", "html"))
     return found.withColumn("n_chars", F.length("text").cast("long"))
@@ -82,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_url_filter": op5_url_filter,
     "op6_toxicity": op6_toxicity,
     "op7_document_fingerprints": op7_document_fingerprints,
+    "op8_pii": op8_pii,
     "op9_html_extraction": op9_html_extraction,
     "op10_sentencepiece": op10_sentencepiece,
 }

@@ -7,7 +7,7 @@ Battery: every maximal run of 20 or more characters of [A-Za-z0-9+/_=-] outside
 is inferred from its characters (decimal, hex, base 32, letters of one case, letters and digits, base 64). Three tests take
 the candidate for random characters of that alphabet: chi-squared of the alphabet's uniformity, runs above and below the
 middle of the alphabet, and serial correlation of neighbours. A fourth value takes it for ordinary text: the chance that
-letters drawn at the corpus's own frequencies come as close to uniformity. That chance falls with length, so short strings
+letters with the index of coincidence of English come as close to uniformity. That chance falls with length, so short strings
 can't pass. A discovery is a candidate that no randomness test rejects (at TEST_LEVEL) and whose chances of being ordinary
 pass a Benjamini-Hochberg step-up at FALSE_DISCOVERIES over all candidates of the same encoding. The ranks come from counts
 on a fixed grid of log-chances, a table of at most GRID rows for each of six encodings.
@@ -42,7 +42,8 @@ TEST_LEVEL = 0.001
 FALSE_DISCOVERIES = 0.01
 #: Steps of the grid of log-chances (a twentieth of a power of ten) and their number.
 STEPS, GRID = 20, 800
-LETTERS = "abcdefghijklmnopqrstuvwxyz"
+#: Fixed value: the index of coincidence of English text (Friedman), the chance that two of its letters are equal.
+COINCIDENCE = 0.0667
 
 
 def located(text: Column, pattern: str, kind: int, least: int, group: int = 0) -> Column:
@@ -88,10 +89,8 @@ def bound(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def battery(token: Column, letters: float) -> Column:
-    """(encoding, random: whether no test rejects randomness, ordinary: log10 of the chance as ordinary text).
-
-    letters: the sum of the squared letter frequencies of the corpus."""
+def battery(token: Column) -> Column:
+    """(encoding, random: whether no test rejects randomness, ordinary: log10 of the chance as ordinary text)."""
 
     def chosen(values: list, e: Column) -> Column:
         return F.element_at(F.array(*[F.lit(v) for v in values]), e + 1)
@@ -127,7 +126,7 @@ def battery(token: Column, letters: float) -> Column:
         variance = F.greatest((expected - 1) * (expected - 2) / (n - 1), F.lit(1e-6))
         p_runs = 2 * upper_tail(F.abs(t["runs"] - expected) / F.sqrt(variance))
         p_serial = 2 * upper_tail(F.abs(t["serial"] / F.greatest(t["spread"], F.lit(1e-6)) + 1 / n) * F.sqrt(n))
-        drift = n * (k * F.greatest(F.lit(letters), 1.5 / k) - 1)  # how far ordinary text lies from uniformity
+        drift = n * (k * F.greatest(F.lit(COINCIDENCE), 1.5 / k) - 1)  # how far ordinary text lies from uniformity
         z = (df + drift - t["chi"]) / F.sqrt(2 * (df + 2 * drift))
         level = F.lit(TEST_LEVEL / 3)
         return F.struct(
@@ -156,29 +155,20 @@ def limits(tested: DataFrame) -> dict[int, float]:
     return out
 
 
-def letter_sum(docs: DataFrame) -> float:
-    """The sum of the squared frequencies of the letters a to z in all texts."""
-    counts = [F.sum(F.length("text") - F.length(F.translate(F.lower("text"), c, ""))) for c in LETTERS]
-    found = [float(x or 0) for x in docs.select(*counts).first()]
-    total = sum(found)
-    return sum((x / total) ** 2 for x in found) if total else 1 / len(LETTERS)
-
-
 def secrets(docs: DataFrame) -> DataFrame:
     """The columns of docs, whose text is in `text`, and base, found: arrays of (start, kind, end) without and with the
-    battery's spans. Two passes: letters and candidates are counted over all texts, then each row is answered alone."""
+    battery's spans. Two passes: candidates are counted over all texts, then each row is answered alone."""
     text = F.coalesce("text", F.lit(""))
-    letters = letter_sum(docs)
     token = lambda c: F.substring(text, c["start"] + 1, c["end"] - c["start"])
     rows = docs.where(text.rlike(CANDIDATE)).select(text.alias("text")).withColumn("base", base_spans(F.col("text")))
     tokens = rows.select("text", F.explode(candidates(F.col("text"), F.col("base"))).alias("c")).select(token(F.col("c")).alias("token"))
-    accepted = limits(tokens.select(battery(F.col("token"), letters).alias("b")).select("b.*"))
+    accepted = limits(tokens.select(battery(F.col("token")).alias("b")).select("b.*"))
 
     def discovered(c: Column) -> Column:
         good = lambda b: b["random"] & F.coalesce(
             F.element_at(F.create_map(*[F.lit(x) for pair in accepted.items() for x in pair]), b["encoding"]) >= b["ordinary"], F.lit(False)
         )
-        return bound(battery(token(c), letters), good)
+        return bound(battery(token(c)), good)
 
     out = docs.withColumn("base", base_spans(text))
     if not accepted:
