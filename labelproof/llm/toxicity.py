@@ -3,7 +3,7 @@
 Learning, from labelled documents whose held-out remainder is not 2: a bounded sample (POSITIVES and NEGATIVES rows, those
 with the smallest hash of doc_id) goes to the driver. Labels are of documents; tokens get theirs by set cover: words and
 word beginnings that occur in toxic documents almost only, taken by how many toxic documents they explain that no earlier
-one does. The field has two tags; a word's features are itself, its beginnings and its end, and neighbours act through the
+one does. The field has two tags; a word's features are itself and its beginnings, and neighbours act through the
 transitions. It is fitted by gradient ascent on the likelihood of the tagged sentences. A logistic curve over the largest
 marginal and the expected number of toxic words turns the marginals of a document into its score.
 
@@ -30,11 +30,13 @@ from pyspark.sql import functions as F
 
 from labelproof.llm.common import Memo, blocks
 
-POSITIVES, NEGATIVES = 3000, 6000
+POSITIVES, NEGATIVES = 2000, 4000
 HELD_OUT = 2
 THRESHOLD = 0.3
 #: A cue occurs in so many toxic documents at least, and in clean ones at most this share of that.
 CUE_DOCS, CUE_NOISE = 3, 0.05
+#: A clean document weighs as much against a cue as so many toxic ones for it.
+CUE_PENALTY = 10.0
 CLEAN_SENTENCES = 20_000
 EPOCHS, RATE, DECAY = 40, 0.3, 1e-5
 EDGE = re.compile(r"^[\W_]+|[\W_]+$")
@@ -55,7 +57,7 @@ def traits(word: str) -> list[str]:
     """The features of a plain word."""
     if not word:
         return []
-    return [f"={word}", *[f"<{word[:k]}" for k in range(3, min(len(word), 8) + 1)], f">{word[-3:]}"]
+    return [f"={word}", *[f"<{word[:k]}" for k in range(4, min(len(word), 8) + 1)]]
 
 
 def cue_traits(word: str) -> set[str]:
@@ -63,13 +65,31 @@ def cue_traits(word: str) -> set[str]:
 
 
 def cues(toxic: list[str], clean: list[str]) -> set[str]:
-    """Traits that explain the toxic documents, by greedy cover over different texts."""
-    found = [{t for w in set(map(plain, text.split())) for t in cue_traits(w)} for text in dict.fromkeys(toxic)]
-    noise = Counter(t for text in dict.fromkeys(clean) for t in {t for w in set(map(plain, text.split())) for t in cue_traits(w)})
-    whole = Counter(chain.from_iterable(found))
+    """Traits that explain the toxic documents, by greedy cover over different texts. Traits are counted one document at
+    a time; only those that can be cues are held for each document."""
+    memo: dict[str, set[str]] = {}
+
+    def of(text: str) -> set[str]:
+        out: set[str] = set()
+        for word in set(text.split()):
+            if word not in memo:
+                if len(memo) > 20_000:
+                    memo.clear()
+                memo[word] = cue_traits(plain(word))
+            out |= memo[word]
+        return out
+
+    toxic, clean = list(dict.fromkeys(toxic)), list(dict.fromkeys(clean))
+    whole = Counter()
+    for text in toxic:
+        whole.update(of(text))
+    whole = {t: n for t, n in whole.items() if n >= CUE_DOCS}
+    noise = Counter()
+    for text in clean:
+        noise.update(of(text) & whole.keys())
     ratio = len(toxic) / max(1, len(clean))
-    good = {t for t, n in whole.items() if n >= CUE_DOCS and noise[t] * ratio <= CUE_NOISE * n}
-    left = {k: x & good for k, x in enumerate(found)}
+    good = {t for t, n in whole.items() if noise[t] * ratio <= CUE_NOISE * n}
+    left = {k: of(text) & good for k, text in enumerate(toxic)}
     gain, holders = Counter(), {}
     for k, x in left.items():
         for t in x:
@@ -77,7 +97,7 @@ def cues(toxic: list[str], clean: list[str]) -> set[str]:
             holders.setdefault(t, []).append(k)
     out: set[str] = set()
     while gain:
-        best = max(gain, key=lambda t: (gain[t], -len(t), t))
+        best = max(gain, key=lambda t: (gain[t] - CUE_PENALTY * noise[t] * ratio, -len(t), t))
         if gain[best] < CUE_DOCS:
             break
         out.add(best)
@@ -88,13 +108,15 @@ def cues(toxic: list[str], clean: list[str]) -> set[str]:
     return out
 
 
-def sentences(text: str) -> list[list[str]]:
-    out: list[list[str]] = [[]]
+def sentences(text: str):
+    held: list[str] = []
     for word in text.split():
-        out[-1].append(word)
+        held.append(word)
         if word.endswith(ENDS):
-            out.append([])
-    return [x for x in out if x]
+            yield held
+            held = []
+    if held:
+        yield held
 
 
 def odds(emission: np.ndarray, starts: np.ndarray, sizes: np.ndarray, t: np.ndarray) -> np.ndarray:
@@ -172,19 +194,36 @@ def train(rows: list[tuple[str, int]]) -> Model:
     if not toxic or not clean:
         return Model(prior=float(bool(toxic)))
     marks = cues(toxic, clean)
-    tagged = [s for text in dict.fromkeys(toxic) for s in sentences(text)]
-    tags = [[bool(cue_traits(plain(w)) & marks) for w in s] for s in tagged]
-    pick = [k for k, x in enumerate(tags) if any(x)]
-    others = [s for text in dict.fromkeys(clean) for s in sentences(text)]
-    others.sort(key=lambda s: zlib.crc32(" ".join(s).encode()))
-    data = [(tagged[k], tags[k]) for k in pick] + [(s, [False] * len(s)) for s in others[:CLEAN_SENTENCES]]
-    seen = Counter(x for s, _ in data for w in s for x in traits(plain(w)))
-    names = {x: k for k, x in enumerate(x for x, n in seen.items() if n > 1)}
-    lists = [[names[x] for x in traits(plain(w)) if x in names] for s, _ in data for w in s]
+    kinds: dict[str, int] = {}  # the different plain words of the training sentences
+    lengths, types, tags = [], [], []
+
+    def add(sentence: list[str], tagged: list[bool]) -> None:
+        lengths.append(len(sentence))
+        tags.extend(tagged)
+        types.extend(kinds.setdefault(plain(w), len(kinds)) for w in sentence)
+
+    cued: dict[str, bool] = {}
+    for text in dict.fromkeys(toxic):
+        for s in sentences(text):
+            for w in s:
+                if w not in cued:
+                    cued[w] = not marks.isdisjoint(cue_traits(plain(w)))
+            if any(cued[w] for w in s):
+                add(s, [cued[w] for w in s])
+    others = list(dict.fromkeys(clean))
+    every = max(1, sum(1 for text in others for _ in sentences(text)) // CLEAN_SENTENCES)
+    for text in others:
+        for s in sentences(text):
+            if zlib.crc32(" ".join(s).encode("utf-8", "surrogatepass")) % every == 0:
+                add(s, [False] * len(s))
+    y = np.array(tags, float)
+    kind = np.array(types, np.int64)
+    seen = Counter(x for word in kinds for x in traits(word))
+    names = {x: k for k, x in enumerate(x for x, n in seen.items() if n > 1 or x[0] == "=")}
+    lists = [[names[x] for x in traits(word) if x in names] for word in kinds]
     token = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
     feature = np.array(list(chain.from_iterable(lists)), np.int64)
-    y = np.array(list(chain.from_iterable(t for _, t in data)), float)
-    sizes = np.array([len(s) for s, _ in data], np.int64)
+    sizes = np.array(lengths, np.int64)
     starts = np.cumsum(sizes) - sizes
     inner = np.ones(len(y), bool)
     inner[starts] = False
@@ -193,7 +232,7 @@ def train(rows: list[tuple[str, int]]) -> Model:
     squares, bias_square, move_square = np.full(len(names), 1e-3), 1e-3, np.full(3, 1e-3)
     y01 = np.array([((1 - y[pairs - 1]) * y[pairs]).sum(), (y[pairs - 1] * (1 - y[pairs])).sum(), (y[pairs - 1] * y[pairs]).sum()])
     for _ in range(EPOCHS):
-        score = bias + np.bincount(token, weights[feature], len(y))
+        score = (bias + np.bincount(token, weights[feature], len(kinds)))[kind]
         emission = np.exp(np.clip(score, -25, 25))
         t = np.exp(np.array([[0.0, moves[0]], [moves[1], moves[2]]]))
         p = odds(emission, starts, sizes, t)
@@ -206,7 +245,7 @@ def train(rows: list[tuple[str, int]]) -> Model:
         else:
             s = 1 + (ratio - 1) * (a + b)
             both = (s - np.sqrt(np.maximum(s * s - 4 * ratio * (ratio - 1) * a * b, 0))) / (2 * (ratio - 1))
-        step = np.bincount(feature, (y - p)[token], len(names)) - DECAY * len(y) * weights / max(1, len(names))
+        step = np.bincount(feature, np.bincount(kind, y - p, len(kinds))[token], len(names)) - DECAY * len(y) * weights / max(1, len(names))
         squares += step**2
         weights += RATE * step / np.sqrt(squares)
         g = float((y - p).sum())
