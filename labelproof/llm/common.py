@@ -78,6 +78,14 @@ def batch_of(schema: pa.Schema, *columns) -> pa.RecordBatch:
     )
 
 
+def fresh(name: str, taken) -> str:
+    """The name, lengthened until no column has it (Spark compares names without case)."""
+    taken = {c.lower() for c in taken}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def texts(column: pa.Array) -> list[str]:
     """The strings of a column; null is the empty text."""
     return [x or "" for x in column.to_pylist()]

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from labelproof.llm.common import fresh
 from labelproof.llm.fm_index import FMIndex
 
 WINDOW = 10
@@ -138,7 +139,8 @@ def searcher(phrases, schema: pa.Schema, n_keep: int):
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, keep: list[str], text: str = "text", size: int = WINDOW) -> DataFrame:
-    """keep columns, the text, and leak: n_words, hits (ranges of words), spans (ranges of code points), items."""
+    """keep columns, the text, and leak: n_words, hits (ranges of words), spans (ranges of code points), items. Where
+    keep has a column leak, the new one has underscores at its end."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     spark = docs.sparkSession
@@ -150,7 +152,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, keep: list[str], text: str
         rows = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(slices)) == k).collect()
         phrases = spark.sparkContext.broadcast(Phrases([tuple(r) for r in rows], size))
         out = out.mapInArrow(searcher(phrases, to_arrow_schema(out.schema), len(keep)), out.schema)
-    return out.toDF(*keep, text, "leak")
+    return out.toDF(*keep, text, fresh("leak", [*keep, text]))
 
 
 def cut(text: Column, spans: Column) -> Column:

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from labelproof.llm.common import components, stored
+from labelproof.llm.common import components, fresh, stored
 
 SEED = 42
 #: Members of a list, or of a block of a longer list.
@@ -342,6 +342,7 @@ def one_of_each(docs: DataFrame, distance: int = 7, words: int = 5, similarity:
     rooted = prints.join(found, prints.id == found.node, "left").select("row", "doc_id", F.coalesce("root", "id").alias("root"))
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")
     stay = stored(rooted.groupBy("root").agg(F.min(order).alias("first")).select(F.col("first.row").alias("_row")), "stay")
-    kept = docs.withColumn("_row", row).join(stay, "_row", "left_semi")
+    name = fresh("row", docs.columns)
+    kept = docs.withColumn(name, row).join(stay.withColumnRenamed("_row", name), name, "left_semi")
     repeated = rooted.groupBy("row").count().where("count > 1").limit(1).count() > 0
-    return (kept.dropDuplicates(["_row"]) if repeated else kept).select(*docs.columns)
+    return (kept.dropDuplicates([name]) if repeated else kept).select(*docs.columns)

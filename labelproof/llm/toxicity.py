@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from labelproof.llm.common import Memo, blocks
+from labelproof.llm.common import Memo, blocks, fresh
 
 POSITIVES, NEGATIVES = 2000, 4000
 HELD_OUT = 2
@@ -322,10 +322,14 @@ def scorer(model, with_spans: bool):
 
 
 def score(docs: DataFrame, model: Model, spans: bool = True) -> DataFrame:
-    """docs, whose last column is the text, with score and, if asked for, spans of offending words (code points)."""
+    """docs, whose last column is the text, with score and, if asked for, spans of offending words (code points).
+    If docs has such columns, the new ones have underscores at their end."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(scorer(shared, spans), f"{kept}, score double" + ", spans array<struct<start:bigint,end:bigint>>" * spans)
+    kinds = [f"k{i} {f.dataType.simpleString()}" for i, f in enumerate(docs.schema.fields)]
+    added = [fresh("score", docs.columns), *([fresh("spans", docs.columns)] if spans else [])]
+    plain_names = docs.toDF(*[f"k{i}" for i in range(len(docs.columns))])
+    found = plain_names.mapInArrow(scorer(shared, spans), f"{', '.join(kinds)}, score double" + ", spans array<struct<start:bigint,end:bigint>>" * spans)
+    return found.toDF(*docs.columns, *added)
 
 
 def toxicity_report(docs: DataFrame, labels: DataFrame) -> DataFrame:
