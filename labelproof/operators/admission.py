@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# Admission limits.
+# The limits of one interactive batch; a bulk audit has no limit of files.
 MAX_FILES_PER_BATCH = 20
 MAX_FILE_BYTES = 50 * 1024 * 1024
 MAX_PAYLOAD_CHARS = 500_000
@@ -13,10 +13,10 @@ MAX_PAGES = 40
 MAX_PIXELS = 50_000_000
 
 
-def with_admission(df: DataFrame, payload_col: str | None = None, max_files: int | None = MAX_FILES_PER_BATCH) -> DataFrame:
+def with_admission(df: DataFrame, payload_col: str | None = None, max_files: int | None = None) -> DataFrame:
     """Adds ``reject_reason`` (null = admitted).
 
-    The per-batch limit keeps the first files of a batch. It is found without windowing whole
+    With ``max_files``, a per-batch limit keeps the first files of a batch. It is found without windowing whole
     batches: each task keeps only its own lowest candidates, so a batch that holds a third of
     all labels sends a handful of rows per task, not its labels."""
     name, kind = F.lower(F.coalesce("filename", F.lit(""))), F.lower(F.coalesce("file_type", F.lit("")))
@@ -48,7 +48,7 @@ def with_admission(df: DataFrame, payload_col: str | None = None, max_files: int
     ).drop("_last")
 
 
-def admit_labels(df: DataFrame, payload_col: str | None = None, max_files: int | None = MAX_FILES_PER_BATCH):
+def admit_labels(df: DataFrame, payload_col: str | None = None, max_files: int | None = None):
     """(accepted, rejected) label tables; every rejected row carries its reason."""
     marked = with_admission(df, payload_col, max_files)
     return marked.filter("reject_reason is null").drop("reject_reason"), marked.filter("reject_reason is not null")

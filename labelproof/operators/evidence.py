@@ -4,10 +4,8 @@ Labels and scans are each hashed once on ``label_id``. Raw scans (tens of bytes)
 network, not their decoded form; decoding runs after the exchange and the per-label
 gathering and the join reuse the same partitioning.
 
-Gathering is bounded: ``scan_seq`` is unique within a label, so the scans with
-``scan_seq < SCAN_BOUND`` are at most that many per label. An entry with more scans is no
-printed label but a corrupt key; it is never gathered or cut short, it is listed whole, with
-its scan count, by ``wide_labels`` and takes no part in the evidence."""
+Every scan of a label takes part, whatever its ``scan_seq``; scans without one come first.
+Decoding runs on scan rows before they are gathered."""
 
 from __future__ import annotations
 
@@ -18,7 +16,6 @@ from labelproof.functions import strings as S
 from labelproof.operators import label_text as X
 from labelproof.operators import scans as N
 
-SCAN_BOUND = 4096
 ASSUMED_SHORT_EDGE_MM = 100
 
 
@@ -52,7 +49,7 @@ def sscc_expectation(df: DataFrame) -> DataFrame:
     ext = F.when(de.startswith("00"), F.substring(de, 3, 1)).otherwise(F.left(de, F.lit(1)))
     ext = F.when(raw_e != "", ext).otherwise("")
     ext_reason = F.when((raw_e != "") & (ext == ""), "Enter the SSCC extension digit, for example 3 or 003.").otherwise("")
-    prefix = F.when(dp.startswith("00"), F.substring(dp, 4, 1000)).otherwise(dp)
+    prefix = F.when(dp.startswith("00"), F.substr(dp, F.lit(4))).otherwise(dp)
     bad_length = (F.length(prefix) < 4) | (F.length(prefix) > 12)
     reason = (
         F.when(raw_p == "", ext_reason)
@@ -126,21 +123,13 @@ def decode_for(df: DataFrame, carrier: str) -> DataFrame:
 
 
 def gather(scans: DataFrame, carrier: str) -> DataFrame:
-    """(label_id, items): a label's scans in reading order, at most SCAN_BOUND of them."""
+    """(label_id, items): all of a label's scans in reading order."""
     cols = ["label_id", "scan_seq", "raw_value", "format", "kind"] + (["bar_count"] if carrier == "startrack" else [])
-    narrow = scans.filter(F.col("scan_seq") < SCAN_BOUND).select(*cols).repartition("label_id")
+    narrow = scans.select(*cols).repartition("label_id")
     decoded = decode_for(narrow, carrier)
     return decoded.groupBy("label_id").agg(F.array_sort(F.collect_list("item")).alias("items"))
 
 
-def wide_labels(scans: DataFrame) -> DataFrame:
-    """Reject table: labels with scans at or beyond SCAN_BOUND. The test is on a stored column,
-    so on parquet it is answered from row-group statistics; counts combine before the shuffle."""
-    wide = scans.filter(F.col("scan_seq") >= SCAN_BOUND).select("label_id").distinct()
-    counts = scans.groupBy("label_id").agg(F.count("*").alias("scans"))
-    return counts.join(wide, "label_id", "left_semi").withColumn("reject_reason", F.lit("too many scans for one label"))
-
-
 def pick(items: Column, field: str) -> Column:
     return F.filter(F.transform(items, lambda s: s[field]), lambda v: v.isNotNull())
 
@@ -167,8 +156,6 @@ def joined(labels: DataFrame, scans: DataFrame, carrier: str) -> tuple[DataFrame
     keep = [c for c in ("filename", "source_page", "payload_id") if c in labels.columns]
     lab = _labels(labels, carrier).select(*HEAD, *keep, "extracted_text", "linear_visible", "datamatrix_visible")
     lab = lab.repartition("label_id")
-    wide = scans.filter(F.col("scan_seq") >= SCAN_BOUND).select("label_id").distinct()
-    lab = lab.join(wide, "label_id", "left_anti")
     if carrier == "startrack":
         names = S.test(F.coalesce("extracted_text", F.lit("")), r"STAR\s*TRACK|STARTRACK", "i")
         lab = X.startrack_facts(lab.withColumn("text_names_carrier", names))

@@ -14,8 +14,6 @@ from labelproof.functions import refdata as R
 from labelproof.functions import strings as S
 
 # Limits, stop words, field names and the id patterns that choose a comparison.
-MAX_LEAVES = 20_000
-MAX_EVIDENCE = 12
 MIN_TOKENS = 3
 STOP_WORDS = [
     "THE", "AND", "FOR", "WITH", "FROM", "TO", "PH", "PHONE", "AU", "AUS", "NSW", "VIC", "QLD", "SA", "WA", "TAS",
@@ -74,7 +72,7 @@ SUPPRESSED = "Get Shipments payload identity did not match this label; secondary
 
 
 def parse_payloads(df: DataFrame) -> DataFrame:
-    """Adds the parsed variant, its error flag and the normalised text.
+    """Adds the JSON text, the parsed variant (null if a key repeats), the error flag and the normalised text.
 
     Text that is not JSON is tried again from its first ``{`` to its last ``}``."""
     df = df.withColumn("raw_text", S.trim(F.coalesce("raw_text", F.lit(""))))
@@ -84,50 +82,77 @@ def parse_payloads(df: DataFrame) -> DataFrame:
         (start > 0) & F.col("raw_text").contains("}") & (end > start),
         F.substring("raw_text", start, end - start + 1),
     )
-    df = df.withColumn("_whole", F.try_parse_json("raw_text"))
-    df = df.withColumn("parsed", F.coalesce("_whole", F.try_parse_json(sliced))).drop("_whole")
+    df = df.withColumn("_slice", sliced)
+    # the variant parser rejects an object that repeats a key; such a text is still JSON, its last value counts
+    df = df.withColumn(
+        "json_text",
+        F.when(F.try_parse_json("raw_text").isNotNull(), F.col("raw_text"))
+        .when(F.try_parse_json("_slice").isNotNull() | F.get_json_object("_slice", "$").isNotNull(), F.col("_slice")),
+    )
+    df = df.withColumn("parsed", F.try_parse_json("json_text")).drop("_slice")
     return df.withColumns(
         {
             "provided": F.col("raw_text") != "",
-            "parse_error": (F.col("raw_text") != "") & F.col("parsed").isNull(),
+            "parse_error": (F.col("raw_text") != "") & F.col("json_text").isNull(),
             "normalized_text": S.alnum_key(F.col("raw_text")),
         }
     )
 
 
-def flatten_payloads(parsed: DataFrame, depth: int = 12) -> DataFrame:
-    """Leaves of each payload as (path, value, type) in document order.
-
-    One lateral explode per level, all in one pass: rows that are already leaves pass
-    through. What lies deeper than ``depth`` is kept as one leaf holding its JSON text."""
-    # text without JSON has a null variant and yields no leaf
-    df = parsed.select(
-        "payload_id", F.length("raw_text").alias("_len"), F.lit("").alias("path"),
-        F.array().cast("array<int>").alias("ord"), F.col("parsed").alias("v"),
-    )
-    for _ in range(depth):
-        df = df.sparkSession.sql(
-            "select payload_id, _len, "
-            "case when t.pos is null then d.path when t.key is null then d.path || '[' || t.pos || ']' "
-            "when d.path = '' then t.key else d.path || '.' || t.key end as path, "
-            "case when t.pos is null then d.ord else array_append(d.ord, t.pos) end as ord, "
-            "case when t.pos is null then d.v else t.value end as v "
-            "from {df} d, lateral variant_explode_outer(d.v) t",
-            df=df,
-        )
-    kind = F.schema_of_variant("v")
-    df = df.filter(~F.is_variant_null("v") & ~kind.isin("OBJECT<>", "ARRAY<VOID>", "VOID"))
-    leaves = df.select(
-        "payload_id", "_len", "ord", "path",
-        F.coalesce(F.try_variant_get("v", "$", "string"), F.to_json("v")).alias("value"),
-        F.when(kind == "BOOLEAN", "boolean").when(kind == "STRING", "string")
-        .when(kind.startswith("OBJECT") | kind.startswith("ARRAY"), "object").otherwise("number").alias("value_type"),
-    )
-    # fewer than 2 * MAX_LEAVES characters cannot hold more than MAX_LEAVES leaves: no shuffle for those
-    small, large = leaves.filter(F.col("_len") < 2 * MAX_LEAVES), leaves.filter(F.col("_len") >= 2 * MAX_LEAVES)
-    rank = F.row_number().over(Window.partitionBy("payload_id").orderBy("ord"))
-    large = large.withColumn("_r", rank).filter(F.col("_r") <= MAX_LEAVES).drop("_r")
-    return small.unionByName(large).select(
+def json_leaves():
+    """A mapInArrow function: (payload_id, JSON text) -> the leaves of each text.
+
+    Built-in functions lose the order of keys and reject repeated ones, so this is Python over Arrow batches. A stack
+    replaces recursion: leaves come in document order, the last value of a repeated key counts, at any depth the parser
+    takes. Self-contained, so that workers need not import this package."""
+
+    def run(batches):
+        import json
+
+        import pyarrow as pa
+
+        def shown(v) -> tuple[str, str]:
+            if isinstance(v, bool):
+                return ("true" if v else "false"), "boolean"
+            if isinstance(v, str):
+                return v, "string"
+            if isinstance(v, float):
+                return (str(int(v)) if v.is_integer() and abs(v) < 1e21 else repr(v)), "number"
+            return str(v), "number"
+
+        schema = pa.schema([
+            ("payload_id", pa.int64()), ("ord", pa.list_(pa.int32())), ("path", pa.string()), ("value", pa.string()), ("value_type", pa.string()),
+        ])
+        for batch in batches:
+            rows = {name: [] for name in schema.names}
+            for payload, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                try:
+                    stack = [((), "", json.loads(text))]
+                except (ValueError, RecursionError):
+                    continue
+                while stack:
+                    order, path, v = stack.pop()
+                    if isinstance(v, dict):
+                        inner = [((*order, k), f"{path}.{key}" if path else key, x) for k, (key, x) in enumerate(v.items())]
+                        stack += reversed(inner)
+                    elif isinstance(v, list):
+                        stack += reversed([((*order, k), f"{path}[{k}]", x) for k, x in enumerate(v)])
+                    elif v is not None:
+                        for name, x in zip(schema.names, (payload, list(order), path, *shown(v)), strict=True):
+                            rows[name].append(x)
+                if len(rows["path"]) >= 10_000:
+                    yield pa.RecordBatch.from_pydict(rows, schema=schema)
+                    rows = {name: [] for name in schema.names}
+            yield pa.RecordBatch.from_pydict(rows, schema=schema)
+
+    return run
+
+
+def flatten_payloads(parsed: DataFrame) -> DataFrame:
+    """All leaves of each payload as (path, value, type) in document order; text without JSON yields none."""
+    texts = parsed.filter(F.col("json_text").isNotNull()).select(F.col("payload_id").cast("bigint").alias("payload_id"), "json_text")
+    leaves = texts.mapInArrow(json_leaves(), "payload_id bigint, ord array<int>, path string, value string, value_type string")
+    return leaves.select(
         "payload_id", "ord", "path", "value", "value_type",
         S.alnum_key(F.col("path")).alias("normalized_path"), S.alnum_key(F.col("value")).alias("normalized_value"),
     )
@@ -151,7 +176,7 @@ def payload_flags(leaves: DataFrame) -> DataFrame:
 def prepare_payloads(payloads: DataFrame) -> DataFrame:
     """Everything a comparison needs from a payload, one row each.
 
-    The gathered leaves are bounded by MAX_LEAVES per payload."""
+    A payload's leaves are gathered into one array; they are no larger than its text, which is one row already."""
     parsed = parse_payloads(payloads)
     leaves = flatten_payloads(parsed)
     listed = leaves.groupBy("payload_id").agg(
@@ -200,7 +225,7 @@ def token_coverage(text: Column, values: Column) -> Column:
 
 
 def evidence_lines(lines: Column) -> Column:
-    return F.array_join(F.slice(S.unique_non_empty(lines), 1, MAX_EVIDENCE), "\n")
+    return F.array_join(S.unique_non_empty(lines), "\n")
 
 
 def shown(leaf: Column, extra: Column | None = None) -> Column:
@@ -209,7 +234,7 @@ def shown(leaf: Column, extra: Column | None = None) -> Column:
 
 
 def evidence_for_values(text: Column, leaves: Column, values: Column) -> Column:
-    """Up to twelve ``path: value`` lines whose value holds, or is held by, a compared value."""
+    """The ``path: value`` lines whose value holds, or is held by, a compared value."""
     cleaned = S.unique_non_empty(values)
     keys = F.filter(F.transform(cleaned, S.alnum_key), lambda k: F.length(k) >= 2)
 
@@ -411,7 +436,7 @@ def label_outcomes(gated: DataFrame, detail: bool = True) -> DataFrame:
         c = F.col(col)
         says = F.concat(
             F.lit(f"{name} token match "), F.size(c["matches"]).cast("string"), F.lit("/"),
-            F.size(c["tokens"]).cast("string"), F.lit(": "), listed(F.slice(c["matches"], 1, 8)))
+            F.size(c["tokens"]).cast("string"), F.lit(": "), listed(c["matches"]))
         return out(kind, c["ok"], F.coalesce(says, F.lit("")),
                    lambda: F.coalesce(evidence_for_tokens(leaves, c["matches"]), F.lit("")))
 

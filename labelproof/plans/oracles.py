@@ -170,7 +170,7 @@ ORACLES["verify_check_digits"] = EP + f""", v as (select label_id, 'article' as
 ORACLES["merge_text_sources"] = """with s as (select conv_id as label_id, turn as source_ord, unnest(string_split(text, chr(10))) as raw, generate_subscripts(string_split(text, chr(10)),1)-1 as line_no from conversations),
  c as (select *, trim(regexp_replace(raw,'\\s+',' ','g')) as line from s), d as (select *, row_number() over (partition by label_id, upper(line) order by source_ord, line_no) as rn from c where line <> '')
  select label_id, source_ord, cast(line_no as int) as line_no, line from d where rn = 1"""
-ORACLES["label_lines"] = """with s as (select doc_id, list_filter(list_transform(string_split(text, chr(10))[1:2000], lambda x: left(trim(x),1000)), lambda x: x <> '') as ls from documents)
+ORACLES["label_lines"] = """with s as (select doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') as ls from documents)
  select doc_id, cast(generate_subscripts(ls,1)-1 as int) as pos, unnest(ls) as line from s"""
 STATES = f"(?:{'|'.join(R.STATES)})"
 OPER = (r"(?i)^(DELIVERY\s+INSTRUCTIONS|Delivery\s+features|Signature\b|Con\s*No\b|Cons\s*No\b|PARCEL\b|AP\s*Article|Postage\s*Paid|Dead\s*weight|Weight\b|Ph\b|PHONE\b)")

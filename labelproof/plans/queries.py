@@ -53,7 +53,7 @@ def evidence(spark, sf, carrier="eparcel"):
 
 @query
 def admit_labels(spark, sf):
-    return admission.with_admission(labels(spark, sf)).select("label_id", "batch_id", "reject_reason")
+    return admission.with_admission(labels(spark, sf), max_files=admission.MAX_FILES_PER_BATCH).select("label_id", "batch_id", "reject_reason")
 
 
 @query

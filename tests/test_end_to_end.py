@@ -139,9 +139,14 @@ def test_startrack_faults_and_exemptions(startrack):
     assert find(startrack[4], "ST-SSC-06")["status"] == "fail"
 
 
-def test_wide_labels_are_listed_whole_and_not_gathered(spark):
-    lab = spark.createDataFrame([label_row(1, "eparcel"), label_row(2, "eparcel")], T.LABELS)
-    sc = spark.range(5000).select(F.lit(1).cast("bigint").alias("label_id"), F.col("id").cast("int").alias("scan_seq"),
-                                  F.lit(LINEAR).alias("raw_value"), F.lit("code_128").alias("format"), F.lit("linear").alias("kind"))
-    assert [r["scans"] for r in E.wide_labels(sc).collect()] == [5000]
-    assert [r["label_id"] for r in E.evidence(lab, sc, "eparcel").select("label_id").collect()] == [2]
+def test_labels_with_many_scans_are_audited_whole(spark):
+    """5,000 scans, a sequence number of 10^11 and none at all: every label and every scan takes part."""
+    lab = spark.createDataFrame([label_row(i, "eparcel") for i in (1, 2, 3, 4)], T.LABELS)
+    scan = lambda df, label, seq: df.select(
+        F.lit(label).cast("bigint").alias("label_id"), seq.cast("bigint").alias("scan_seq"), F.lit(LINEAR).alias("raw_value"),
+        F.lit("code_128").alias("format"), F.lit("linear").alias("kind"))
+    sc = scan(spark.range(5000), 1, F.col("id")).unionAll(scan(spark.range(1), 2, F.lit(10**11))).unionAll(scan(spark.range(2), 3, F.lit(None)))
+    got = {r["label_id"]: r["scan_count"] for r in E.evidence(lab, sc, "eparcel").select("label_id", "scan_count").collect()}
+    assert got == {1: 5000, 2: 1, 3: 2, 4: 0}
+    summary = {r["label_id"]: r for r in A.summaries(lab, sc, "eparcel").collect()}
+    assert set(summary) == {1, 2, 3, 4}

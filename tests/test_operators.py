@@ -76,15 +76,19 @@ def test_rule_directory(spark, tmp_path):
 
 def test_payload_robustness(spark):
     wide = json.dumps({"items": list(range(30000))})
-    rows = [(1, "{{{{{ not json at all"), (2, "[" * 50000 + "1" + "]" * 50000), (3, wide), (4, 'GET {"a":{"b":[null,true,"x"]}} end'), (5, " ")]
+    rows = [(1, "{{{{{ not json at all"), (2, "[" * 50000 + "1" + "]" * 50000), (3, wide), (4, 'GET {"a":{"b":[null,true,"x"]}} end'), (5, " "),
+            (6, '{"z":1,"a":{"k":1.50,"k":2.5},"z":"last"}'), (7, '{"d":' * 40 + '"deep"' + "}" * 40)]
     parsed = P.parse_payloads(spark.createDataFrame(rows, "payload_id bigint, raw_text string"))
     flags = {r["payload_id"]: (r["provided"], r["parse_error"]) for r in parsed.collect()}
     assert flags[1] == (True, True) and flags[4] == (True, False) and flags[5] == (False, False)
     leaves = P.flatten_payloads(parsed)
     counts = {r["payload_id"]: r["count"] for r in leaves.groupBy("payload_id").count().collect()}
-    assert counts[3] == 20000 and 1 not in counts
+    assert counts[3] == 30000 and 1 not in counts and flags[6] == (True, False)
     four = {r["path"]: r["value"] for r in leaves.filter("payload_id = 4").collect()}
     assert four == {"a.b[1]": "true", "a.b[2]": "x"}
+    six = sorted((r["ord"], r["path"], r["value"]) for r in leaves.filter("payload_id = 6").collect())
+    assert six == [([0], "z", "last"), ([1, 0], "a.k", "2.5")]
+    assert [(r["path"], r["value"]) for r in leaves.filter("payload_id = 7").collect()] == [(".".join("d" * 40), "deep")]
 
 
 def test_stream_equals_batch(spark):
