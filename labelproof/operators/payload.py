@@ -284,11 +284,9 @@ def label_values(evidence: DataFrame, carrier: str) -> DataFrame:
         std = F.filter(arts, lambda a: a["type"] != "sscc")
         dm = b["datamatrix"]
         # any parsed article makes the label identifiable, even one the selected format excludes
-        parsed_any = F.when((F.size(F.col("derived.linearArticleIds")) + F.size(F.col("derived.dmArticleIds"))) > 0,
-                            F.array(F.lit("[object Object]"))).otherwise(none())
-        whole = F.flatten(F.transform(b["sscc"]["valid"], lambda s: none()))
+        parsed_any = (F.size(F.col("derived.linearArticleIds")) + F.size(F.col("derived.dmArticleIds"))) > 0
         identities = F.concat(f["articleIds"], f["consignmentIds"], each(arts, "articleId"), each(arts, "sscc"),
-                              each(arts, "consignmentId"), parsed_any, whole)
+                              each(arts, "consignmentId"))
         cols = {
             "article": F.concat(each(arts, "articleId"), each(F.filter(arts, lambda a: a["type"] == "sscc"), "sscc"),
                                 f["articleIds"]),
@@ -303,6 +301,7 @@ def label_values(evidence: DataFrame, carrier: str) -> DataFrame:
         }
         service, dg = F.get(std, F.lit(0))["serviceCode"], f["dangerousGoodsDeclarationPresent"]
     else:
+        parsed_any = F.lit(False)
         qr, fr, rt, ss = b["qr"], b["freight"], b["routing"], b["sscc"]["valid"]
         qf = lambda name: F.transform(qr, lambda q: q["fields"][name])
         full = each(ss, "articleId")
@@ -327,6 +326,7 @@ def label_values(evidence: DataFrame, carrier: str) -> DataFrame:
     return evidence.select(
         "label_id", "payload_id",
         F.filter(S.unique_non_empty(identities), lambda v: F.length(S.alnum_key(v)) >= 6).alias("identities"),
+        F.coalesce(parsed_any, F.lit(False)).alias("identifiable"),
         *[(F.array_distinct(filled(c)) if n == "postcode" else filled(c)).alias(f"{n}_values") for n, c in cols.items()],
         F.concat(f["toBlock"], f["postcodeLines"]).alias("receiver_values"), f["fromBlock"].alias("sender_values"),
         service.alias("service_code"), dg.alias("label_dg"),
@@ -346,7 +346,7 @@ def identity_gate(values: DataFrame, payloads: DataFrame) -> DataFrame:
     df = values.join(payloads, "payload_id")
     return df.withColumns(
         {
-            "gate_applied": F.size("identities") > 0,
+            "gate_applied": (F.size("identities") > 0) | F.col("identifiable"),
             "identity_matches": contains_any(F.col("normalized_text"), F.col("identities")),
         }
     )
@@ -357,7 +357,7 @@ def find_payloads(values: DataFrame, leaves: DataFrame) -> DataFrame:
 
     Distinct keys are taken on both sides first, so one value repeated in a third of the
     leaves is one row per payload, not one per occurrence."""
-    ids = values.select("label_id", F.explode_outer(F.transform("identities", S.alnum_key)).alias("key")).distinct()
+    ids = values.select("label_id", F.explode(F.transform("identities", S.alnum_key)).alias("key")).distinct()
     keys = leaves.filter(F.length("normalized_value") >= 6).select(
         F.col("payload_id").alias("found_payload_id"), F.col("normalized_value").alias("key")).distinct()
     return ids.join(keys, "key").select("label_id", "found_payload_id").distinct()

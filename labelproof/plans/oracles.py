@@ -439,7 +439,9 @@ ORACLES["service_matrix"] = EPD + f""", mx as (select * from (values {MATRIX}) t
  select label_id, service_code, product_code, any_value(product_name) as product_name, any_value(safe_drop) as safe_drop, any_value(signature) as signature, any_value(atl) as atl, any_value(partial) as partial,
  any_value(no_signature) as no_signature, bool_or(product = product_code) as selected_cell from a join mx on service = service_code group by 1, 2, 3"""
 ORACLES["unit_permitted"] = STD + f""" select label_id, {QF['unitType']} as unit, {QF['productCode']} as product,
- {' or '.join(f"({QF['unitType']}={q(u)} and {QF['productCode']} in {inside(ps)})" for u, ps in R.UNIT_PRODUCTS.items())} as permitted from dec where kind='qr' and is_qr"""
+ {' or '.join(f"({QF['unitType']}={q(u)} and ({QF['productCode']} = '' or {QF['productCode']} in {inside(ps)}))" for u, ps in R.UNIT_PRODUCTS.items())} as permitted,
+ case when permitted then 'Unit type ' || unit || ' is permitted' || coalesce(' for ' || nullif(product,''),'') || '.'
+ else 'Unit type ' || coalesce(nullif(unit,''),'blank') || ' could not be confirmed against product ' || coalesce(nullif(product,''),'unknown') || '.' end as message from dec where kind='qr' and is_qr"""
 
 # -- batch checks and stream ---------------------------------------------------------------------------------
 ORACLES["duplicate_consignments"] = """with d as (select l_partkey % 500 as consignment_id, l_suppkey as customer_id, datediff('day', date '1990-01-01', cast(l_shipdate as date)) as day from lineitem),
@@ -450,8 +452,10 @@ ORACLES["atl_consistency"] = """with d as (select l_orderkey as connote, case wh
 ORACLES["unit_type_limit"] = """with d as (select l_orderkey % 3000 as connote, 'U' || l_partkey % 40 as u, l_suppkey % 50 = 0 as s from lineitem)
  select connote, count(distinct u) as unit_types, count(*) as items, bool_or(s) as single_item, count(distinct u) > 12 as too_many_types, bool_or(s) and count(*) > 1 as not_single from d group by 1
  having count(distinct u) > 12 or (bool_or(s) and count(*) > 1)"""
-ORACLES["item_sequence"] = """with g as (select l_orderkey as connote, l_linenumber as i, count(*) as n from lineitem group by 1, 2)
- select connote, cast(sum(n) as bigint) as labels, count(*) as distinct_items, max(i) as highest_item, 4 as quantity, count_if(n > 1) as repeated_items, count(*) = 4 and max(i) = 4 and count_if(n > 1) = 0 as complete from g group by 1"""
+ORACLES["item_sequence"] = STD + f""", g as (select l_orderkey as connote, l_linenumber as i, count(*) as n, any_value(q) as quantity from lineitem
+ join (select label_id, try_cast({QF['consignmentQuantity']} as int) as q from dec where kind='qr' and is_qr) on label_id = l_orderkey group by 1, 2)
+ select connote, cast(sum(n) as bigint) as labels, count(*) as distinct_items, max(i) as highest_item, any_value(quantity) as quantity, count_if(n > 1) as repeated_items,
+ count(*) = any_value(quantity) and max(i) = any_value(quantity) and count_if(n > 1) = 0 as complete from g group by 1"""
 ORACLES["location_check"] = """with c as (select c_custkey, c_nationkey as nk, 'NATION_' || (c_nationkey + case when c_custkey % 10 = 0 then 1 else 0 end) as suburb, case when c_custkey % 4 = 0 then 'SYD' else 'MEL' end as depot from customer)
  select c_custkey, case when n_nationkey is null then 'unknown location' when depot = case when n_regionkey % 2 = 0 then 'SYD' else 'MEL' end then 'match' else 'depot mismatch' end as location_status
  from c left join nation on n_nationkey = nk and n_name = suburb"""

@@ -397,32 +397,29 @@ def _articles(spark, sf):
 
 @query
 def service_product_compatible(spark, sf):
-    a = F.col("article")
     d = _articles(spark, sf)
-    matrix = R.reference_tables(spark)["service_products"].select(
-        F.col("service_code").alias("sc"), F.col("product_code").alias("pc"), F.lit(True).alias("hit"))
-    # eleven services at most: the matrix is a constant table
-    return d.join(F.broadcast(matrix), (a["serviceCode"] == F.col("sc")) & (a["productCode"] == F.col("pc")), "left").select(
-        "label_id", "article_id", a["serviceCode"].alias("service"), a["productCode"].alias("product"),
-        (F.coalesce("hit", F.lit(False)) | R.service_name(a["serviceCode"]).isNull()).alias("compatible"))
+    article = RU.Value(F.col("article"), d.schema["article"].dataType)
+    verdict = RU.service_product_compatible(article, RU.Scope(d.schema), {})
+    return d.select("label_id", "article_id", article.get("serviceCode").col.alias("service"),
+                    article.get("productCode").col.alias("product"), verdict.ok.alias("compatible"))
 
 
 @query
 def route_product_match(spark, sf):
     ev = evidence(spark, sf, "startrack")
-    r = ev.select("label_id", F.col("derived.primaryProductCode").alias("product"), F.posexplode("barcodes.routing").alias("i", "r"))
-    want = R.freight_label_code(S.blank_to_null(F.col("product")))
-    return r.select("label_id", "i", "product", F.col("r.labelCode").alias("label_code"),
-                    (want.isNull() | (want == F.col("r.labelCode"))).alias("matches"))
+    r = ev.select("label_id", "derived", F.posexplode("barcodes.routing").alias("i", "r"))
+    verdict = RU.route_product_match(RU.Value(F.col("r"), r.schema["r"].dataType), RU.Scope(r.schema), {})
+    return r.select("label_id", "i", F.col("derived.primaryProductCode").alias("product"), F.col("r.labelCode").alias("label_code"),
+                    verdict.ok.alias("matches"))
 
 
 @query
 def unit_permitted(spark, sf):
     q = N.decode_qr_scans(scans(spark, sf, "startrack")).filter("kind = 'qr' and qr is not null")
-    unit, product = F.col("qr.fields.unitType"), F.col("qr.fields.productCode")
-    allowed = R.unit_products(unit)
-    return q.select("label_id", unit.alias("unit"), product.alias("product"),
-                    F.coalesce(F.array_contains(allowed, product), F.lit(False)).alias("permitted"))
+    fields = RU.Value(F.col("qr.fields"), q.select("qr.fields").schema[0].dataType)
+    verdict = RU.startrack_unit_permitted(fields, RU.Scope(q.schema), {})
+    return q.select("label_id", fields.get("unitType").col.alias("unit"), fields.get("productCode").col.alias("product"),
+                    verdict.ok.alias("permitted"), verdict.message.alias("message"))
 
 
 # -- fixed checks ---------------------------------------------------------------------------
@@ -510,7 +507,7 @@ def find_payloads(spark, sf):
 def comparable_fields(spark, sf):
     r = _rules(spark, sf, "eparcel")
     return r.groupBy("rule_id").agg(F.count("*").alias("n")).select(
-        "rule_id", P.comparable_field(F.col("rule_id")).alias("field"), P.comparison_kind(F.col("rule_id")).alias("comparison"))
+        "rule_id", P.comparable_field(F.col("rule_id")).alias("field"), P.comparison_kind(F.col("rule_id")).alias("comparison"), "n")
 
 
 def _compared(spark, sf, carrier, detail):
@@ -668,7 +665,9 @@ def unit_type_limit(spark, sf):
 @query
 def item_sequence(spark, sf):
     li = spark.read.parquet(f"{sf}/lineitem.parquet")
-    df = li.select(F.col("l_orderkey").alias("connote"), F.col("l_linenumber").alias("item_no"), F.lit(4).alias("quantity"))
+    qr = N.decode_qr_scans(scans(spark, sf, "startrack")).filter("kind = 'qr' and qr is not null")
+    said = qr.select(F.col("label_id").alias("connote"), F.col("qr.fields.consignmentQuantity").try_cast("int").alias("quantity"))
+    df = li.select(F.col("l_orderkey").alias("connote"), F.col("l_linenumber").alias("item_no")).join(said, "connote")
     return batch_checks.item_sequence(df)
 
 
