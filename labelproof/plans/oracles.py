@@ -473,3 +473,43 @@ ORACLES["stream_audit"] = (
     + """ select date_trunc('day', ts) as window_start, case when atype='sscc' then 'sscc' when digit=want then 'valid' when atype is not null then 'check digit mismatch'
  when reject is not null then 'rejected' else 'no article' end as verdict, count(*) as scans from dec group by 1, 2"""
 )
+
+# -- routing and comparison choices ------------------------------------------------------------------------------
+ORACLES["route_product_match"] = STD + f""", lin as (select * from dec where raw_value <> '' and (regexp_matches(format,'(?i)128|code') or kind='linear')),
+ f as (select label_id, min_by(fproduct, scan_seq) as fp from lin where is_fr group by 1),
+ g as (select label_id, min_by({QF['productCode']}, scan_seq) as qp from dec where is_qr and (regexp_matches(format,'(?i)qr') or kind='qr') group by 1),
+ r as (select label_id, row_number() over (partition by label_id order by scan_seq) - 1 as i, rlabel from lin where is_rt),
+ j as (select r.*, coalesce(fp, qp, '') as product from r left join f using (label_id) left join g using (label_id)),
+ w as (select *, {FLABEL('product')} as want from j)
+ select label_id, cast(i as integer) as i, product, rlabel as label_code, want is null or want = rlabel as matches from w"""
+CASES = lambda table, default: "case " + " ".join(f"when regexp_matches(upper(rule_id), {q(p)}) then {q(n)}" for p, n in table) + f" else {q(default)} end"
+# Written out, not imported: the fields and comparisons that rule ids choose.
+FIELDS = [
+    ("CONSIGNMENT|CONS_NO|CONNOTE|VISIBLE_CONS|ST_CONNOTE|EP-ART-03|EP-ART-07|ST-QR-F03|ST-X-01", "consignment_id"),
+    ("ARTICLE|FREIGHT|VISIBLE_ARTICLE|SSCC|AI91|ST_FREIGHT_BARCODE_PRESENT|DATAMATRIX_PRESENT|GS1_128_PRESENT|EP-ART-0[124568]|EP-LIN|EP-SS-|EP-DM-01|ST-FRT|ST-SSC|ST-X-02|ST-QR-F04", "article_id"),
+    ("PRODUCT|ST_QR_PRODUCT|ST_PRODUCT_KNOWN|EP-SVC-02|EP-SVC-07|ST-PRD|ST-QR-F05", "product_code"),
+    ("SERVICE|SERVICE_PRODUCT_MATCH|EP-SVC-01|EP-SVC-03|EP-RET-01", "service_code"),
+    ("ROUTE|ROUTING|ST_ROUTE|ST-RTE-02A|ST-RTE-03", "routing_code"),
+    ("POSTCODE|DM_POSTCODE|ST_QR_POSTCODE|EP-DM-05|EP-TO-08|ST-QR-F02|ST-RTE-02B|ST-RTE-04", "delivery_postcode"),
+    ("WEIGHT|ST_WEIGHT|ST-QR-F09|ST-ITM-04", "weight"),
+    ("CUBE|CUBIC|ST-ITM-05", "cubic_volume"),
+    ("DG|DANGEROUS|EP-LAY-07|ST-QR-F19", "dangerous_goods"),
+    ("ADDR_TO|RECEIVER|EP-TO-|ST-RCV", "receiver_address"),
+    ("ADDR_FROM|SENDER|LODGE|LODGEMENT|EP-FR-|ST-SND", "lodgement_address"),
+    ("DATE|8008|EP-DM-07|EP-LAY-06|ST-QR-F11", "label_generation_datetime"),
+    ("LABEL_CODE|BRAND|LOGO|HEADER|EP-LAY-05|ST-HDR-0[12]", "label_branding"),
+]
+KINDS_OF = [
+    ("ARTICLE|FREIGHT|VISIBLE_ARTICLE|SSCC|AI91|GS1_PREFIX|DATAMATRIX_PRESENT|GS1_128_PRESENT|ST_FREIGHT_BARCODE_PRESENT|ST_SSCC|EP-ART-0[124568]|EP-LIN|EP-SS-|EP-DM-01|ST-FRT|ST-SSC|ST-X-02|ST-QR-F04", "article"),
+    ("CONSIGNMENT|CONS_NO|CONNOTE|VISIBLE_CONS|ST_CONNOTE|EP-ART-03|EP-ART-07|ST-QR-F03|ST-X-01", "consignment"),
+    ("PRODUCT|SERVICE_KNOWN|SERVICE_PRODUCT_MATCH|ST_QR_PRODUCT|ST_ROUTE_PRODUCT_MATCH|EP-SVC|EP-RET-01|ST-PRD|ST-QR-F05|ST-RTE-03", "product"),
+    ("ROUTE|ROUTING|POSTCODE|DM_POSTCODE|ST_QR_POSTCODE|EP-DM-05|EP-TO-08|ST-QR-F02|ST-RTE", "postcode"),
+    ("WEIGHT|ST_WEIGHT|ST-QR-F09|ST-ITM-04", "weight"),
+    ("CUBE|CUBIC|ST-ITM-05", "cube"),
+    ("DG|DANGEROUS|EP-LAY-07|ST-QR-F19", "dangerous_goods"),
+    ("ADDR_TO|RECEIVER|EP-TO-|ST-RCV", "receiver"),
+    ("ADDR_FROM|SENDER|LODGE|LODGEMENT|EP-FR-|ST-SND", "sender"),
+    ("DATE|8008|EP-DM-07|EP-LAY-06|ST-QR-F11", "date"),
+    ("LABEL_CODE|BRAND|LOGO|HEADER|EP-LAY-05|ST-HDR-0[12]", "branding"),
+]
+ORACLES["comparable_fields"] = EPR + f" select rule_id, {CASES(FIELDS, '')} as field, {CASES(KINDS_OF, 'none')} as comparison, count(*) as n from res group by 1, 2, 3"
