@@ -7,7 +7,6 @@ Columns; nothing runs per row in Python."""
 
 from __future__ import annotations
 
-import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -76,10 +75,6 @@ def blank_to_null(col: Column) -> Column:
     return F.nullif(col, F.lit(""))
 
 
-def quote(text: str) -> str:
-    return re.escape(text)
-
-
 def alnum_key(col: Column) -> Column:
     """Upper case, letters and digits only: the form payload text is compared in."""
     return F.regexp_replace(F.upper(F.coalesce(col, F.lit(""))), "[^A-Z0-9]+", "")

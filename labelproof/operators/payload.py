@@ -65,7 +65,6 @@ IDENTITY_RULES = (
     r"|ST_FREIGHT_BARCODE_PRESENT|ST_SSCC|CONSIGNMENT|CONS_NO|CONNOTE|VISIBLE_CONS|ST_CONNOTE|EP-ART|EP-LIN|EP-SS"
     r"|EP-DM-01|ST-FRT|ST-SSC|ST-X-0[12]|ST-QR-F0[34]"
 )
-SUPPRESSED = "Get Shipments payload identity did not match this label; secondary field comparison suppressed."
 
 
 # -- payload side -----------------------------------------------------------------------

@@ -310,9 +310,7 @@ STARTRACK_PAYLOAD = (
 
 def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey")
-    # a single small file reads as one task; many files already spread and are left alone
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(spark.sparkContext.defaultParallelism)  # a single small file reads as one task
 
 
 def _layered(df: DataFrame, layers: list[list[str]]) -> DataFrame:
