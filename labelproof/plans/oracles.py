@@ -513,3 +513,25 @@ KINDS_OF = [
     ("LABEL_CODE|BRAND|LOGO|HEADER|EP-LAY-05|ST-HDR-0[12]", "branding"),
 ]
 ORACLES["comparable_fields"] = EPR + f" select rule_id, {CASES(FIELDS, '')} as field, {CASES(KINDS_OF, 'none')} as comparison, count(*) as n from res group by 1, 2, 3"
+
+# Written out, not imported: code, name, group and label code of the StarTrack products.
+FREIGHT = [
+    ("TSE", "Tradeshow Express", "Special Services", "TSE"), ("RET", "Express Tail-Lift", "Special Services", "RET"),
+    ("RE2", "Express Tail-Lift 2 man", "Special Services", "RE2"), ("APT", "Premium Tail-Lift", "Special Services", "APT"),
+    ("PRM", "Premium", "Premium services", "PRM"), ("FPP", "1, 3 & 5Kg Fixed Price Premium", "Premium services", "PRM"),
+    ("ARL", "Airlock", "Premium services", "ARL"), ("FPA", "1, 3 & 5Kg Fixed Price Airlock", "Premium services", "ARL"),
+    ("EXP", "Express", "Express services", "EXP"),
+]
+# STD and the text facts of the same labels share their first tables, so the facts are a nested query
+SLIN = """, lin as (select * from dec where raw_value <> '' and (regexp_matches(format,'(?i)128|code') or kind='linear')),
+ qrs as (select * from dec where raw_value <> '' and is_qr and (regexp_matches(format,'(?i)qr') or kind='qr'))"""
+ORACLES["product_matrix"] = STD + SLIN + f""", fp as (select * from (values {', '.join('(' + ', '.join(q(x) for x in row) + ')' for row in FREIGHT)}) t(product_code, product_name, product_group, label_code)),
+ codes as (select label_id, fproduct as p, null as l from lin where is_fr union all select label_id, nullif({QF['productCode']},''), null from qrs
+  union all select label_id, null, rlabel from lin where is_rt union all
+  select label_id, null, coalesce(label_code, rl, {FLABEL('fp1')}, {FLABEL('qp')}, nullif(qp,'')) from ({ORACLES['startrack_facts']})
+   left join (select label_id, min_by(rlabel, scan_seq) as rl from lin where is_rt group by 1) using (label_id)
+   left join (select label_id, min_by(fproduct, scan_seq) as fp1 from lin where is_fr group by 1) using (label_id)
+   left join (select label_id, min_by({QF['productCode']}, scan_seq) as qp from qrs group by 1) using (label_id)),
+ hits as (select label_id, fp.*, true as a, false as b from codes join fp on p = product_code union all select label_id, fp.*, false, true from codes join fp on l = label_code)
+ select label_id, product_code, any_value(product_name) as product_name, any_value(product_group) as product_group, any_value(label_code) as label_code,
+ bool_or(a) as selected_product, bool_or(b) as selected_label_code from hits group by 1, 2"""
