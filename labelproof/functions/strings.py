@@ -7,7 +7,6 @@ Columns; nothing runs per row in Python."""
 
 from __future__ import annotations
 
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
