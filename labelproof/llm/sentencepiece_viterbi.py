@@ -20,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import math
 import zlib
+from array import array
 from itertools import chain
 
 import numpy as np
@@ -31,6 +32,8 @@ from labelproof.llm.common import Memo, blocks
 SPACE = "▁"
 RULED_OUT = -1e8
 UNKNOWN = 10.0
+#: Longer words go through the streaming search.
+WORD_CHARS = 64
 KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()]
 
 
@@ -71,6 +74,12 @@ class Pieces:
         for piece in self.ids:
             self.longest[piece[0]] = max(self.longest.get(piece[0], 1), len(piece))
         self.width = max(self.longest.values(), default=1)
+        self.tree: dict = {}  # characters to branches; "" holds a piece's score and id
+        for piece, k in self.ids.items():
+            node = self.tree
+            for c in piece:
+                node = node.setdefault(c, {})
+            node[""] = (self.scores[piece], k)
         self.by_word = not any(SPACE in piece[1:] for piece in self.ids)
 
     def given(self, piece: str) -> list[int]:
@@ -152,7 +161,35 @@ class Encoder:
         return np.array(self.search.feed(text) + self.search.finish(), "<i4").tobytes()
 
     def word(self, word: str) -> bytes:
-        return self.run(SPACE + word)
+        """The ids of a space and a word, at whose ends all paths meet: the same search over a text that short."""
+        text = SPACE + word
+        n = len(text)
+        if n > WORD_CHARS:
+            return self.run(text)
+        tree, unknown = self.pieces.tree, self.pieces.unknown
+        best, back, ids = [0.0] + [-math.inf] * n, [0] * (n + 1), [-1] * (n + 1)
+        for i in range(n):
+            here, node, j = best[i], tree, i
+            while j < n:
+                node = node.get(text[j])
+                if node is None:
+                    break
+                j += 1
+                if "" in node:
+                    score, k = node[""]
+                    if here + score > best[j]:
+                        best[j], back[j], ids[j] = here + score, i, k
+            if here + unknown > best[i + 1] and text[i] not in self.pieces.ids:
+                best[i + 1], back[i + 1], ids[i + 1] = here + unknown, i, -1
+        out, j = [], n
+        while j > 0:
+            if ids[j] >= 0:
+                out.append(ids[j])
+            else:
+                out += reversed(self.pieces.given(text[back[j] : j]))
+            j = back[j]
+        out.reverse()
+        return array("i", out).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
