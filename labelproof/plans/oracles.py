@@ -535,3 +535,22 @@ ORACLES["product_matrix"] = STD + SLIN + f""", fp as (select * from (values {',
  hits as (select label_id, fp.*, true as a, false as b from codes join fp on p = product_code union all select label_id, fp.*, false, true from codes join fp on l = label_code)
  select label_id, product_code, any_value(product_name) as product_name, any_value(product_group) as product_group, any_value(label_code) as label_code,
  bool_or(a) as selected_product, bool_or(b) as selected_label_code from hits group by 1, 2"""
+
+# -- StarTrack evidence, modes and variants -------------------------------------------------------------------------
+SEV = STD + SLIN + f""", tf as ({ORACLES['startrack_facts']}),
+ qa as (select label_id, count(*) as nq, min_by({QF['productCode']}, scan_seq) as qp, string_agg(distinct nullif({QF['receiverPostcode']},''), '|') as pcs,
+  list(distinct {QF['atlNumber']}) filter (where {QF['atlNumber']} <> '') as qatl, list(nullif({QF['productCode']},'')) as qps from qrs group by 1),
+ la as (select label_id, count_if(is_fr) as nf, count_if(is_rt) as nr, count_if(is_atl) as na, min_by(fproduct, scan_seq) filter (where is_fr) as fp1,
+  min_by(rlabel, scan_seq) filter (where is_rt) as rl, list(fproduct) filter (where is_fr) as fps from lin group by 1),
+ ca as (select label_id, count_if(raw_value <> '') as scan_count, count_if(raw_value <> '' and s18 is not null and swant = right(s18,1)) as nv from dec group by 1),
+ se as (select l.label_id, l.label_format, l.extracted_text, coalesce(nq,0) as nq, coalesce(nf,0) as nf, coalesce(nr,0) as nr, coalesce(na,0) as na, coalesce(nv,0) as nv,
+  coalesce(scan_count,0) as scan_count, coalesce(fp1, qp, '') as product, coalesce(pcs,'') as qr_postcodes, atl_text,
+  list_concat(list_filter(string_split(coalesce(atl_numbers,''), '|'), lambda x: x <> ''), list_filter(coalesce(qatl,[]), lambda x: not list_contains(string_split(coalesce(atl_numbers,''), '|'), x))) as atls,
+  list_concat(coalesce(fps,[]), coalesce(qps,[]), [coalesce(label_code, rl, {FLABEL('fp1')}, {FLABEL('qp')}, nullif(qp,''))]) as codes
+  from labels_t l left join tf using (label_id) left join qa using (label_id) left join la using (label_id) left join ca using (label_id))"""
+ORACLES["startrack_evidence"] = SEV + """ select label_id, cast(nq as int) as qr, cast(nf as int) as freight, cast(nr as int) as routing, cast(na as int) as atl, cast(nv as int) as sscc_valid, product, qr_postcodes,
+ array_to_string(atls,'|') as atl_numbers, atl_text or len(atls) > 0 as atl_expected, label_format='sscc' or (nv > 0 and nf = 0) as sscc_only, cast(scan_count as int) as scan_count from se"""
+ORACLES["detect_mode_and_variant"] = f"""select 'eparcel' as carrier, label_id, {EP_MODE} as detected_carrier, {EP_FMT} as detected_format, variant from ({EPL} select * from lab)
+ union all select 'startrack', label_id, case when nq+nf+nr+na+nv > 0 or regexp_matches(coalesce(extracted_text,''), '(?i)STAR\\s*TRACK') then 'startrack' else 'unknown' end,
+ case when nf > 0 then 'standard' when nv > 0 then 'sscc' else 'unknown' end, case when label_format='sscc' then 'sscc' when list_has_any(codes, ['FPP','FPA']) then 'fpp'
+ when list_has_any(codes, ['PRM','APT','ARL']) then 'premium' when list_has_any(codes, ['EXP','TSE','RET','RE2']) then 'express' else 'base' end from ({SEV} select * from se)"""
