@@ -554,3 +554,15 @@ ORACLES["detect_mode_and_variant"] = f"""select 'eparcel' as carrier, label_id,
  union all select 'startrack', label_id, case when nq+nf+nr+na+nv > 0 or regexp_matches(coalesce(extracted_text,''), '(?i)STAR\\s*TRACK') then 'startrack' else 'unknown' end,
  case when nf > 0 then 'standard' when nv > 0 then 'sscc' else 'unknown' end, case when label_format='sscc' then 'sscc' when list_has_any(codes, ['FPP','FPA']) then 'fpp'
  when list_has_any(codes, ['PRM','APT','ARL']) then 'premium' when list_has_any(codes, ['EXP','TSE','RET','RE2']) then 'express' else 'base' end from ({SEV} select * from se)"""
+MODES = f"""select 'eparcel' as carrier, label_id, {EP_MODE} as dc, {EP_FMT} as df, case when label_format='sscc' then 'sscc' else 'standard' end as sf from ({EPL} select * from lab)
+ union all select 'startrack', label_id, case when nq+nf+nr+na+nv > 0 or regexp_matches(coalesce(extracted_text,''), '(?i)STAR\\s*TRACK') then 'startrack' else 'unknown' end,
+ case when nf > 0 then 'standard' when nv > 0 then 'sscc' else 'unknown' end, case when label_format='sscc' then 'sscc' else 'standard' end from ({SEV} select * from se)"""
+CNAME = lambda c: f"case {c} when 'startrack' then 'StarTrack' when 'eparcel' then 'eParcel' else 'unknown' end"
+FNAME_OF = lambda c: f"case {c} when 'sscc' then 'SSCC article identifier' when 'standard' then 'Standard article format' end"
+ORACLES["audit_mode_checks"] = f"""with m as ({MODES})
+ select carrier, label_id, 'AUDIT_MODE_CARRIER' as id, 'CRITICAL' as severity, 'audit-mode' as category, case when dc = carrier then 'pass' else 'fail' end as status,
+ {CNAME('carrier')} || case when dc = carrier then ' was selected and label evidence matches.' else ' was selected, but decoded/text evidence indicates ' || {CNAME('dc')} || '.' end as message,
+ {CNAME('carrier')} as expected, {CNAME('dc')} as actual from m
+ union all select carrier, label_id, 'AUDIT_MODE_FORMAT', 'CRITICAL', 'audit-mode', case when df = sf then 'pass' else 'fail' end,
+ {FNAME_OF('sf')} || case when df = sf then ' was selected and decoded barcode evidence matches.' else ' was selected, but decoded barcode evidence indicates ' || coalesce({FNAME_OF('df')}, 'unknown format') || '.' end,
+ {FNAME_OF('sf')}, coalesce({FNAME_OF('df')}, 'unknown') from m"""
