@@ -292,9 +292,13 @@ def train(texts: list[str]) -> Field:
 
 
 def fit(docs: DataFrame) -> Field:
-    """Learns from a bounded sample of the texts with digits or "@"."""
-    rows = docs.select("text").where(F.col("text").rlike("[0-9@]")).withColumn("h", F.xxhash64("text")).orderBy("h").limit(SAMPLE).collect()
-    return train([r["text"] for r in rows])
+    """Learns from a bounded sample of the texts with digits or "@". Only hashes are ordered; of copies one text is taken."""
+    rows = docs.select("text", F.xxhash64("text").alias("h")).where(F.col("text").rlike("[0-9@]"))
+    last = rows.select("h").distinct().orderBy("h").limit(SAMPLE).agg(F.max("h")).first()[0]
+    if last is None:
+        return Field()
+    sample = rows.where(F.col("h") <= last).groupBy("h").agg(F.min("text").alias("text")).collect()
+    return train([r["text"] for r in sorted(sample)])
 
 
 def all_spans(text: str, field: Field) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
