@@ -282,7 +282,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("y"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     sample = known.where("y = 1").orderBy(*order).limit(POSITIVES).unionAll(known.where("y = 0").orderBy(*order).limit(NEGATIVES))
-    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(sample), "doc_id").select("text", "y").collect()
+    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(sample), "doc_id")
+    rows = rows.groupBy("doc_id", "y").agg(F.min("text").alias("text")).collect()  # a row for each sampled id
     return train(sorted((r["text"], r["y"]) for r in rows))
 
 
