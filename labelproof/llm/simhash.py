@@ -36,6 +36,8 @@ from labelproof.llm.common import components, fresh, stored
 SEED = 42
 #: Members of a list, or of a block of a longer list.
 LIST = 4096
+#: So many long lists at most are told to all tasks (12 bytes each); more are joined by a shuffle.
+FEW = 100_000
 #: What a candidate and a probe cost, in candidates.
 PROBE_COST = 60.0
 SKETCH_WORDS = 8
@@ -302,12 +304,20 @@ def links(nodes: DataFrame, distance: int, similarity: float | None = None) -> D
         lister(plan), "key long, probe byte, " + ", ".join(f"{c} {kinds[c]}" for c in names)
     )
     long = listed("fp").groupBy("key").count().where(F.col("count") > LIST).select("key", F.ceil(F.col("count") / LIST).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    pair = lambda x: F.least(own, x) * F.col("blocks") + F.greatest(own, x)
-    salts = F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(
-        F.array_distinct(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), pair))
-    )
-    dealt = listed(*columns).join(long, "key", "left").select("key", F.explode(salts).alias("salt"), "probe", *columns)
+    long = stored(long, "long")
+    count = long.count()
+    rows = listed(*columns)
+    if count == 0:
+        dealt = rows.withColumn("salt", F.lit(0))
+    else:
+        own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+        pair = lambda x: F.least(own, x) * F.col("blocks") + F.greatest(own, x)
+        salts = F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(
+            F.array_distinct(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), pair))
+        )
+        # without the hint a join would deal all lists by key once more
+        few = F.broadcast(long) if count <= FEW else long
+        dealt = rows.join(few, "key", "left").select("key", F.explode(salts).alias("salt"), "probe", *columns)
     ordered = dealt.repartition("key", "salt").sortWithinPartitions("key", "salt", "probe")
     return ordered.mapInArrow(verifier(distance, similarity), "a long, b long")
 
