@@ -13,8 +13,11 @@ Equal fingerprints are one node, so copies cost one row. A list longer than LIST
 pair of blocks in a group of its own: none is dropped and no task gets more than two blocks. A task emits a spanning
 forest of the links it finds, never all pairs. Components are found by rounds over written tables.
 
-With a sketch, links are also held to a similarity: a longer SimHash of distinct shingles estimates the angle, and the
-numbers of shingles turn it into a Jaccard similarity.
+Near copies by Jaccard similarity (one_of_each) can't be found within a few bits of a fingerprint: at 0.8, fingerprints of
+shingles differ in 10 of 64 bits on average. They are searched by a prefix filter instead (Chaudhuri et al., 2006): with
+shingles in one order, rare ones first, two documents of similarity t share one of the first n - ceil(t n) + 1 of each. Pairs
+that share one and whose short SimHashes are not far too apart are candidates; all pairs within a group of candidates are
+then decided by their shingles. The order only moves work: shingles are ranked by how many fall into their bucket.
 
 Null and empty texts have no words: fingerprint zero. A null doc_id is not counted as the smallest; a component of null
 ids only has id null. Rows that repeat are all kept in the results.
@@ -22,6 +25,7 @@ ids only has id null. Rows that repeat are all kept in the results.
 
 from __future__ import annotations
 
+import itertools
 import math
 from dataclasses import dataclass
 
@@ -40,7 +44,15 @@ LIST = 4096
 FEW = 100_000
 #: What a candidate and a probe cost, in candidates.
 PROBE_COST = 60.0
-SKETCH_WORDS = 8
+#: Documents of a group of candidates, or of a block of a larger group.
+GROUP = 1024
+#: Ranks of shingles come from counts of so many buckets of hashes.
+BUCKETS = 1 << 18
+#: Words of the SimHash that passes candidates, and by how many standard errors it may miss the similarity.
+SKETCH_WORDS = 2
+MARGIN = 4.5
+#: Documents with fewer shingles pass without it.
+FEW_SHINGLES = 16
 #: Odd 64-bit multipliers, one for each word of a sketch.
 MIX = np.array([(0x9E3779B97F4A7C15 * (2 * k + 1)) % (1 << 64) | 1 for k in range(SKETCH_WORDS)], np.uint64)
 MIX2 = np.uint64(0xBF58476D1CE4E5B9)
@@ -80,31 +92,29 @@ def sketch(h: np.ndarray) -> bytes:
     return majority(x ^ (x >> np.uint64(32))).tobytes()
 
 
-def printer(words: int, distinct: bool, sketch_words: int):
-    """A batch function: text is the last column and gives way to fp (and sketch, n)."""
+def split(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+
+
+def printer(words: int, distinct: bool):
+    """A batch function: text is the last column and gives way to fp."""
 
     def run(batches):
         for batch in batches:
-            prints, sketches, sizes = [], [], []
-            for text in batch.column(batch.num_columns - 1).to_pylist():
-                split = (text or "").encode("utf-8", "surrogatepass").lower().split()
-                prints.append(majority(hashes(split, words, distinct)[:, None]))
-                if sketch_words:
-                    h = hashes(split, sketch_words, True)
-                    sketches.append(sketch(h))
-                    sizes.append(len(h))
-            columns = {"fp": pa.array(np.concatenate(prints).view("<i8") if prints else np.zeros(0, np.int64))}
-            if sketch_words:
-                columns |= {"sketch": pa.array(sketches, pa.binary()), "n": pa.array(sizes, pa.int32())}
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns.values()], names=[*batch.schema.names[:-1], *columns])
+            prints = [majority(hashes(split(text), words, distinct)[:, None]) for text in batch.column(batch.num_columns - 1).to_pylist()]
+            fp = pa.array(np.concatenate(prints).view("<i8") if prints else np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], fp], names=[*batch.schema.names[:-1], "fp"])
 
     return run
 
 
-def fingerprints(docs: DataFrame, words: int, distinct: bool = False, sketch_words: int = 0) -> DataFrame:
-    """The columns before the last, text, and fp; with sketch_words also sketch and n (distinct shingles)."""
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields[:-1])
-    return docs.mapInArrow(printer(words, distinct, sketch_words), f"{kept}, fp long" + ", sketch binary, n int" * bool(sketch_words))
+def kept_columns(docs: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields[:-1])
+
+
+def fingerprints(docs: DataFrame, words: int, distinct: bool = False) -> DataFrame:
+    """The columns before the last, text, and fp."""
+    return docs.mapInArrow(printer(words, distinct), f"{kept_columns(docs)}, fp long")
 
 
 @dataclass
@@ -246,8 +256,13 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ends[moved], ends[root[moved]]
 
 
-def verifier(distance: int, similarity: float | None):
-    """Sorted lists -> links (a, b). Columns: key, salt, probe, id, fp (and sketch, n)."""
+def differing(words: np.ndarray, x, y) -> np.ndarray:
+    """In how many bits the words at x and y differ (as unsigned words: the count is of the absolute value)."""
+    return np.bitwise_count((words[x] ^ words[y]).view(np.uint64))
+
+
+def verifier(columns: list[str], near):
+    """Sorted lists -> links (a, b) of the pairs that near(table, x, y) holds for. Columns: key, salt, probe, id and those named."""
 
     def linked(t: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         same = np.concatenate((np.cumsum(np.concatenate(([0], (np.diff(t["key"]) != 0) | (np.diff(t["salt"]) != 0)))), [-1]))
@@ -257,16 +272,11 @@ def verifier(distance: int, similarity: float | None):
             live = live[live + lag < len(same) - 1]
             live = live[same[live + lag] == same[live]]
             other = live + lag
-            near = np.bitwise_count(t["fp"][live] ^ t["fp"][other]) <= distance
-            x, y = live[near], other[near]
-            if similarity is not None and len(x):
-                apart = np.bitwise_count(t["sketch"][x] ^ t["sketch"][y]).sum(1)
-                na, nb = t["n"][x], t["n"][y]
-                shared = np.cos(np.pi * apart / (64 * SKETCH_WORDS)) * np.sqrt(na * nb)
-                good = (shared >= similarity * (na + nb - shared)) | (apart == 0)
-                x, y = x[good], y[good]
-            if len(x):
-                found.append((t["id"][x], t["id"][y]))
+            good = near(t, live, other)
+            if good.any():
+                found.append((t["id"][live[good]], t["id"][other[good]]))
+                if len(found) > 256:
+                    found = [forest(*(np.concatenate(side) for side in zip(*found, strict=True)))]
         if not found:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         return forest(*(np.concatenate(side) for side in zip(*found, strict=True)))
@@ -274,10 +284,7 @@ def verifier(distance: int, similarity: float | None):
     def run(batches):
         held: dict[str, np.ndarray] = {}
         for batch in batches:
-            new = {c: batch.column(c).to_numpy() for c in ("key", "salt", "probe", "id")} | {"fp": batch.column("fp").to_numpy().view(np.uint64)}
-            if similarity is not None:
-                flat = b"".join(batch.column("sketch").to_pylist())
-                new |= {"sketch": np.frombuffer(flat, np.uint64).reshape(-1, SKETCH_WORDS), "n": batch.column("n").to_numpy().astype(float)}
+            new = {c: batch.column(c).to_numpy() for c in ("key", "salt", "probe", "id", *columns)}
             held = {c: np.concatenate((held[c], x)) for c, x in new.items()} if held else new
             n = len(held["key"])
             if not n:
@@ -295,31 +302,36 @@ def verifier(distance: int, similarity: float | None):
     return run
 
 
-def links(nodes: DataFrame, distance: int, similarity: float | None = None) -> DataFrame:
-    """(a, b): a spanning forest's links of the nodes (fp, id, and with a similarity sketch, n); ids are unique."""
-    plan = allotted(*bit_table(nodes), distance)
-    columns = ["fp", "id", *(["sketch", "n"] if similarity is not None else [])]
-    kinds = {"fp": "long", "id": "long", "sketch": "binary", "n": "int"}
-    listed = lambda *names: nodes.select(*names).mapInArrow(
-        lister(plan), "key long, probe byte, " + ", ".join(f"{c} {kinds[c]}" for c in names)
-    )
-    long = listed("fp").groupBy("key").count().where(F.col("count") > LIST).select("key", F.ceil(F.col("count") / LIST).cast("int").alias("blocks"))
+def dealt(rows: DataFrame, keys: DataFrame, size: int) -> DataFrame:
+    """rows, of which key and id are columns, with a salt: a list longer than `size` is dealt by pairs of blocks of its members.
+
+    keys holds the key of each row, to count by.
+    """
+    long = keys.groupBy("key").count().where(F.col("count") > size).select("key", F.ceil(F.col("count") / size).cast("int").alias("blocks"))
     long = stored(long, "long")
     count = long.count()
-    rows = listed(*columns)
     if count == 0:
-        dealt = rows.withColumn("salt", F.lit(0))
-    else:
-        own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-        pair = lambda x: F.least(own, x) * F.col("blocks") + F.greatest(own, x)
-        salts = F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(
-            F.array_distinct(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), pair))
-        )
-        # without the hint a join would deal all lists by key once more
-        few = F.broadcast(long) if count <= FEW else long
-        dealt = rows.join(few, "key", "left").select("key", F.explode(salts).alias("salt"), "probe", *columns)
-    ordered = dealt.repartition("key", "salt").sortWithinPartitions("key", "salt", "probe")
-    return ordered.mapInArrow(verifier(distance, similarity), "a long, b long")
+        return rows.withColumn("salt", F.lit(0))
+    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    pair = lambda x: F.least(own, x) * F.col("blocks") + F.greatest(own, x)
+    salts = F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(
+        F.array_distinct(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), pair))
+    )
+    # without the hint a join would deal all lists by key once more
+    few = F.broadcast(long) if count <= FEW else long
+    return rows.join(few, "key", "left").select(*rows.columns, F.explode(salts).alias("salt"))
+
+
+def links(nodes: DataFrame, distance: int) -> DataFrame:
+    """(a, b): a spanning forest's links of the nodes (fp, id); ids are unique."""
+    plan = allotted(*bit_table(nodes), distance)
+    listed = lambda *names: nodes.select(*names).mapInArrow(
+        lister(plan), "key long, probe byte, " + ", ".join(f"{c} long" for c in names)
+    )
+    rows = dealt(listed("fp", "id"), listed("fp"), LIST)
+    ordered = rows.repartition("key", "salt").sortWithinPartitions("key", "salt", "probe")
+    near = lambda t, x, y: differing(t["fp"], x, y) <= distance
+    return ordered.mapInArrow(verifier(["fp"], near), "a long, b long")
 
 
 def near_groups(prints: DataFrame, distance: int) -> DataFrame:
@@ -338,17 +350,128 @@ def simhash_components(docs: DataFrame, words: int = 3, distance: int = 3) -> Da
     return near_groups(prints, distance).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, distance: int = 7, words: int = 5, similarity: float = 0.8) -> DataFrame:
+def ranks(docs: DataFrame, words: int) -> np.ndarray:
+    """A rank for each bucket of hashes: eight times the logarithm of the number of shingles of all texts in it."""
+
+    def run(batches):
+        total = np.zeros(BUCKETS, np.int64)
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            for k in range(0, len(texts), 1000):
+                h = np.concatenate([hashes(split(x), words, True) for x in texts[k : k + 1000]])
+                total += np.bincount((h % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["bucket", "n"])
+
+    rows = docs.select("text").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    total = np.zeros(BUCKETS)
+    total[rows["bucket"].to_numpy()] = rows["n"].to_numpy()
+    return np.minimum(8 * np.log2(total + 1), 255).astype(np.uint8)
+
+
+def rare(h: np.ndarray, rank: np.ndarray, similarity: float) -> np.ndarray:
+    """The first shingles in the order of ranks, of which documents of the similarity share one."""
+    if not len(h):
+        return h
+    order = np.lexsort((h, rank[(h % np.uint64(BUCKETS)).astype(np.int64)]))
+    return h[order[: len(h) - math.ceil(similarity * len(h) - 1e-9) + 1]]
+
+
+def candidates(similarity: float):
+    """A test of pairs: sizes that allow the similarity, and SimHashes that don't rule it out."""
+    chance = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    bits = 64 * SKETCH_WORDS
+    limit = bits * chance + MARGIN * math.sqrt(bits * chance * (1 - chance))
+
+    def near(t, x, y):
+        low, high = np.minimum(t["n"][x], t["n"][y]), np.maximum(t["n"][x], t["n"][y])
+        apart = sum(differing(t[f"s{k}"], x, y).astype(np.int64) for k in range(SKETCH_WORDS))
+        return (low >= similarity * high - 1e-9) & ((apart <= limit) | (high < FEW_SHINGLES))
+
+    return near
+
+
+def shingler(words: int, rank: np.ndarray | None, similarity: float):
+    """A batch function: text is the last column and gives way to s0, s1 and n, and with ranks to id (of the set of shingles)
+    and the rare shingles, without ranks to all of them as bytes."""
+
+    def run(batches):
+        for batch in batches:
+            found = [hashes(split(x), words, True) for x in batch.column(batch.num_columns - 1).to_pylist()]
+            marks = np.array([np.frombuffer(sketch(h), np.int64) for h in found], np.int64).reshape(-1, SKETCH_WORDS)
+            columns = {f"s{k}": pa.array(np.ascontiguousarray(marks[:, k])) for k in range(SKETCH_WORDS)} | {"n": pa.array([len(h) for h in found], pa.int32())}
+            if rank is None:
+                columns["shingles"] = pa.array([h.tobytes() for h in found], pa.binary())
+            else:
+                ids = np.array([xxhash.xxh64_intdigest(h.tobytes(), SEED) for h in found], np.uint64).view(np.int64)
+                columns |= {"id": pa.array(ids), "rare": pa.array([rare(h, rank, similarity).view(np.int64) for h in found], pa.list_(pa.int64()))}
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns.values()], names=[*batch.schema.names[:-1], *columns])
+
+    return run
+
+
+def exact_links(ids: np.ndarray, t: dict[str, np.ndarray], sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links that span the pairs of at least the similarity; pairs that are linked already are not looked at again."""
+    near, root, found = candidates(similarity), np.arange(len(ids)), []
+    for k, own in enumerate(sets[:-1]):
+        others = np.arange(k + 1, len(ids))
+        others = others[root[others] != root[k]]
+        others = others[near(t, np.full(len(others), k), others)]
+        for first in range(0, len(others), 64):
+            part = others[first : first + 64]
+            part = part[root[part] != root[k]]
+            if not len(part):
+                continue
+            sizes = t["n"][part].astype(np.int64)
+            joined = np.concatenate([sets[j] for j in part])
+            hit = own[np.minimum(np.searchsorted(own, joined), len(own) - 1)] == joined
+            shared = np.add.reduceat(hit.astype(np.int64), np.cumsum(sizes) - sizes)
+            for j in part[shared >= similarity * (len(own) + sizes - shared) - 1e-9]:
+                if root[j] != root[k]:
+                    found.append((ids[k], ids[j]))
+                    root[root == root[j]] = root[k]
+    return found
+
+
+def decider(similarity: float):
+    """Rows sorted by key and salt -> links (a, b) by the shingles of all pairs of a group."""
+
+    def linked(rows: list[dict]) -> pa.RecordBatch:
+        kinds = {"n": np.int32} | {f"s{k}": np.int64 for k in range(SKETCH_WORDS)}
+        t = {c: np.array([r[c] for r in rows], kind) for c, kind in kinds.items()}
+        sets = [np.frombuffer(r["shingles"], np.uint64) for r in rows]
+        found = np.array(exact_links(np.array([r["id"] for r in rows], np.int64), t, sets, similarity), np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy())], names=["a", "b"])
+
+    def run(batches):
+        for _, rows in itertools.groupby((r for batch in batches for r in batch.to_pylist()), lambda r: (r["key"], r["salt"])):
+            yield linked(list(rows))
+
+    return run
+
+
+def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """The documents without near copies of one that stays (the smallest doc_id; of equal rows one).
 
-    Search fingerprints are of distinct words, which edits move little (7 bits hold 98 % of the pairs at similarity 0.8);
-    links need an estimated Jaccard similarity of the distinct shingles of `words` words of at least `similarity`. The
-    estimate's standard error at 0.8 is 0.036.
+    Links are pairs whose distinct shingles of `words` words have a Jaccard similarity of at least `similarity`, whatever
+    the edit; it is computed from the shingles, not estimated.
     """
     row = F.xxhash64("doc_id", "text")
-    prints = stored(fingerprints(docs.select(row.alias("row"), "doc_id", "text"), 1, True, words).withColumn("id", F.xxhash64("fp", "sketch", "n")), "prints")
-    nodes = stored(prints.groupBy("id").agg(*[F.any_value(c).alias(c) for c in ("fp", "sketch", "n")]), "nodes")
-    found = components(links(nodes, distance, similarity))
+    own = docs.select(row.alias("row"), "doc_id", "text")
+    marks = "".join(f"s{k} long, " for k in range(SKETCH_WORDS)) + "n int"
+    prints = own.mapInArrow(shingler(words, ranks(docs, words), similarity), f"{kept_columns(own)}, {marks}, id long, rare array<long>")
+    prints = stored(prints, "prints")
+    fields = [*(f"s{k}" for k in range(SKETCH_WORDS)), "n"]
+    # equal sets of shingles are one node; any of its rows has the text to take them from
+    nodes = stored(prints.groupBy("id").agg(*[F.any_value(c).alias(c) for c in (*fields, "rare")], F.min("row").alias("row")), "nodes")
+    listed = nodes.select(F.explode("rare").alias("key"), F.lit(0).cast("byte").alias("probe"), "id", *fields)
+    listed = dealt(listed, nodes.select(F.explode("rare").alias("key")), LIST).repartition("key", "salt").sortWithinPartitions("key", "salt")
+    near = components(listed.mapInArrow(verifier(fields, candidates(similarity)), "a long, b long"))
+    near = stored(near.join(nodes.select("id", "row"), near.node == F.col("id")).select("row", "id", F.col("root").alias("key")), "near")
+    taken = own.select("row", "text").join(near, "row").groupBy("row", "id", "key").agg(F.any_value("text").alias("text")).select("key", "id", "text")
+    sets = dealt(taken.mapInArrow(shingler(words, None, similarity), f"key long, id long, {marks}, shingles binary"), near.select("key"), GROUP)
+    sets = sets.repartition("key", "salt").sortWithinPartitions("key", "salt")
+    found = components(sets.mapInArrow(decider(similarity), "a long, b long"))
     rooted = prints.join(found, prints.id == found.node, "left").select("row", "doc_id", F.coalesce("root", "id").alias("root"))
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")
     stay = stored(rooted.groupBy("root").agg(F.min(order).alias("first")).select(F.col("first.row").alias("_row")), "stay")

@@ -139,6 +139,45 @@ def test_one_of_each(spark, docs):
     assert [d for null, d in left if not null] == [1, 3, 7, 2**40] and sum(null for null, _ in left) == 1
 
 
+def edited(words: list[str], kind: str, similarity: float, rng) -> list[str]:
+    """The least edited copy whose five-word shingles still have at least the similarity."""
+    new = lambda n: ["".join(rng.choice("klmnopqrst") for _ in range(6)) for _ in range(n)]
+    best, at = words, rng.sample(range(len(words)), len(words))
+    for n in range(1, len(words)):
+        if kind == "appended":
+            copy = words + (extra := new(n) if n == 1 else extra + new(1))
+        elif kind == "cut off":
+            copy = words[:-n]
+        elif kind == "replaced":
+            copy = words[:20] + new(n) + words[20 + n :]
+        else:
+            copy = [f"x{w}" if k in at[:n] else w for k, w in enumerate(words)]
+        if jaccard(words, copy) < similarity:
+            return best
+        best = copy
+    return best
+
+
+def jaccard(a: list[str], b: list[str]) -> float:
+    x, y = ({tuple(t[k : k + 5]) for k in range(len(t) - 4)} for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def test_near_copies_of_each_kind_of_edit(spark):
+    """All copies at similarity 0.80, 0.85 and 0.90 and just over go, whether words are appended, cut off, replaced or scattered."""
+    rng, rows, near = random.Random(4), [], {}
+    for n in (60, 120, 300):
+        for kind in ("appended", "cut off", "replaced", "scattered"):
+            for similarity in (0.80, 0.85, 0.90):
+                for _ in range(6):
+                    words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
+                    near[len(rows) + 1] = n, kind, similarity
+                    rows += [(len(rows), " ".join(words)), (len(rows) + 1, " ".join(edited(words, kind, similarity, rng)))]
+    kept = {r["doc_id"] for r in simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [near[k] for k in sorted(kept & near.keys())] == []
+    assert set(range(0, len(rows), 2)) <= kept
+
+
 def test_fm_index_and_decontamination(spark, docs):
     rng = np.random.default_rng(3)
     tokens = rng.integers(0, 4, 400)
