@@ -178,6 +178,22 @@ def test_near_copies_of_each_kind_of_edit(spark):
     assert set(range(0, len(rows), 2)) <= kept
 
 
+def test_links_are_decided_by_the_shingles(spark):
+    """Pairs at 0.8 are near copies, pairs from 0.74 to just under 0.8 are not; no estimate has the last word."""
+    rng, rows, near = random.Random(5), [], set()
+    for k in range(120):
+        words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(104)]
+        # 100 shingles; n words appended give 100 / (100 + n)
+        n = 25 if k % 2 else rng.randint(26, 35)
+        copy = words + ["".join(rng.choice("klmnopqrst") for _ in range(6)) for _ in range(n)]
+        assert (jaccard(words, copy) >= 0.8) == (n == 25)
+        if n == 25:
+            near.add(2 * k + 1)
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(copy))]
+    kept = {r["doc_id"] for r in simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == set(range(len(rows))) - near
+
+
 def test_fm_index_and_decontamination(spark, docs):
     rng = np.random.default_rng(3)
     tokens = rng.integers(0, 4, 400)
