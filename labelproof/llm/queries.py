@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from labelproof.llm import decontaminate, fingerprints, html_main, pii, secrets, sentencepiece_viterbi, simhash, token_files, toxicity, url_filter
+from labelproof.llm import (
+    decontaminate, fingerprints, html_main, importance_resampling, periodic_runs, pii, prefix_counts, secrets, sentencepiece_viterbi, simhash,
+    token_files, toxicity, url_filter,
+)
 from labelproof.llm.common import arrow_map, shared_path, table
 
 
@@ -78,6 +81,44 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_viterbi.codec_report(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.run_report(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, target = table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "text")
+    return importance_resampling.resampled(docs, target).select("doc_id", "n_features", "weight", "score", "rank")
+
+
+#: crc32 of a word by its definition: each byte is xored in, then eight shifts; -1 in the list stands for a shift.
+OP12_SQL = r"""
+with texts as (select 0 as side, doc_id, coalesce(text, '') as text from documents union all select 1, null, coalesce(text, '') from benchmark),
+w as (
+  select side, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) as w from texts),
+spelled as (select w, hex(encode(w)) as x from (select distinct w from w)),
+hashed as (
+  select w, xor(4294967295, list_reduce(list_concat([4294967295], flatten(list_transform(range(0, len(x) // 2),
+    lambda i: [cast('0x' || substr(x, 2 * i + 1, 2) as bigint), -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda c, v: case when v >= 0 then xor(c, v) else xor(c >> 1, 3988292384 * (c & 1)) end)) % 10000 as bucket from spelled),
+counts as (select bucket, count(*) filter (side = 0) as s, count(*) filter (side = 1) as t from w join hashed using (w) group by bucket),
+gain as (
+  select bucket, floor(1000 * ln(((t + 1.0::double) * ((select sum(s) from counts)::double + 10000)) / ((s + 1.0::double) * ((select sum(t) from counts)::double + 10000)))) as gain
+  from counts),
+doc as (select doc_id, count(*) as n, sum(gain) as weight from w join hashed using (w) join gain using (bucket) where side = 0 group by doc_id),
+scored as (
+  select d.doc_id, cast(coalesce(n, 0) as bigint) as n_features, cast(coalesce(weight, 0) as bigint) as weight,
+    cast(coalesce(weight, 0) + floor(-1000 * ln(-ln((cast('0x' || substr(sha256('2024:' || d.doc_id), 1, 8) as bigint) + 0.5::double) / 4294967296))) as bigint) as score
+  from documents d left join doc using (doc_id)),
+placed as (select *, row_number() over (order by n_features < 20, score desc, doc_id) as place, count(*) filter (n_features >= 20) over () as able from scored)
+select doc_id, n_features, weight, score, case when place <= 10 * able // 100 then place end as rank from placed
+"""
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_counts.count_report(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_simhash_near_dedup": op2_simhash_near_dedup,
@@ -89,5 +130,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_html_extraction": op9_html_extraction,
     "op10_sentencepiece": op10_sentencepiece,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_importance_resampling": op12_importance_resampling,
+    "op13_token_counts": op13_token_counts,
 }
-ORACLES: dict[str, str] = {"op3_benchmark_decontamination": OP3_SQL}
+ORACLES: dict[str, str] = {"op3_benchmark_decontamination": OP3_SQL, "op12_importance_resampling": OP12_SQL}
