@@ -1,9 +1,9 @@
 """Reconciles label results with shipment payloads behind an identity check.
 
-A payload is parsed and normalised once, before any join. Labels meet their payload in one
-equi-join on ``payload_id``; looking for the payload of a label that names none is an
-equi-join of exploded ids with normalised leaf values. Text containment is only ever tested
-between a label and the payload it was joined to."""
+A payload is parsed and normalised once, before any join. What a label looks for in its payload (ids, codes, words)
+is listed in one array of needles; `containment` answers which of them lie in the text, and the label goes on with that
+list (``found``), never with the text or its leaves. Looking for the payload of a label that names none is an
+equi-join of exploded ids with normalised leaf values."""
 
 from __future__ import annotations
 
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from labelproof.functions import refdata as R
 from labelproof.functions import strings as S
+from labelproof.operators import containment
 
 # Limits, stop words, field names and the id patterns that choose a comparison.
 MIN_TOKENS = 3
@@ -172,18 +173,19 @@ def payload_flags(leaves: DataFrame) -> DataFrame:
     return leaves.groupBy("payload_id").agg(*aggs)
 
 
-def prepare_payloads(payloads: DataFrame) -> DataFrame:
-    """Everything a comparison needs from a payload, one row each.
-
-    A payload's leaves are gathered into one array; they are no larger than its text, which is one row already."""
+def prepare_payloads(payloads: DataFrame, leaves: bool = False) -> DataFrame:
+    """One row for each payload: its normalised text, its flags, and with `leaves` its leaves in one array, which is no
+    larger than its text."""
     parsed = parse_payloads(payloads)
-    leaves = flatten_payloads(parsed)
-    listed = leaves.groupBy("payload_id").agg(
-        F.array_sort(F.collect_list(F.struct("ord", "path", "value", "normalized_value"))).alias("leaves"))
-    return (
-        parsed.select("payload_id", "provided", "parse_error", "normalized_text", F.upper("raw_text").alias("upper_text"))
-        .join(listed, "payload_id", "left").join(payload_flags(leaves), "payload_id", "left")
-    )
+    rows = flatten_payloads(parsed)
+    out = parsed.select("payload_id", "provided", "parse_error", "normalized_text", F.upper("raw_text").alias("upper_text"))
+    out = out.join(payload_flags(rows), "payload_id", "left")
+    if not leaves:
+        return out
+    listed = rows.groupBy("payload_id").agg(
+        F.array_sort(F.collect_list(F.struct("ord", "path", "value", "normalized_value"))).alias("leaves"),
+        evidence_for_paths(FLAG_PATHS["dangerous_goods"]).alias("dg_evidence"))
+    return out.join(listed, "payload_id", "left")
 
 
 # -- containment ----------------------------------------------------------------------
@@ -195,10 +197,15 @@ def contains_value(text: Column, value: Column) -> Column:
     return F.when(F.length(key) >= 2, text.contains(key))
 
 
-def contains_any(text: Column, values: Column) -> Column:
-    """Null without values, otherwise whether any value is inside the payload text."""
+def keys_of(values: Column) -> Column:
+    """The normalised forms that can be looked for: two characters or more."""
+    return F.filter(F.transform(values, S.alnum_key), lambda k: F.length(k) >= 2)
+
+
+def contains_any(found: Column, values: Column) -> Column:
+    """Null without values, otherwise whether any value is among the needles found in the payload."""
     cleaned = F.filter(values, lambda v: S.trim(F.coalesce(v, F.lit(""))) != "")
-    return F.when(F.size(cleaned) > 0, F.exists(cleaned, lambda v: F.coalesce(contains_value(text, v), F.lit(False))))
+    return F.when(F.size(cleaned) > 0, F.arrays_overlap(keys_of(cleaned), found))
 
 
 def tokens(values: Column) -> Column:
@@ -210,12 +217,12 @@ def tokens(values: Column) -> Column:
     return F.array_distinct(F.filter(words, lambda w: ~F.array_contains(stop, w) & ~w.rlike(r"^0+\z")))
 
 
-def token_coverage(text: Column, values: Column) -> Column:
+def token_coverage(found: Column, values: Column) -> Column:
     """(ok, tokens, matches); null when there are no tokens."""
     toks = tokens(values)
 
     def judge(ts: Column) -> Column:
-        matches = F.filter(ts, lambda t: text.contains(t))
+        matches = F.filter(ts, lambda t: F.array_contains(found, t))
         codes = F.filter(ts, lambda t: t.rlike(r"^\d{4}\z"))
         ok = (F.size(matches) >= MIN_TOKENS) & ((F.size(codes) == 0) | F.arrays_overlap(codes, matches))
         return F.when(F.size(ts) > 0, F.struct(ok.alias("ok"), ts.alias("tokens"), matches.alias("matches")))
@@ -227,44 +234,55 @@ def evidence_lines(lines: Column) -> Column:
     return F.array_join(S.unique_non_empty(lines), "\n")
 
 
-def shown(leaf: Column, extra: Column | None = None) -> Column:
-    base = F.concat(F.when(leaf["path"] == "", "(root)").otherwise(leaf["path"]), F.lit(": "), leaf["value"])
-    return base if extra is None else F.concat(base, extra)
+#: What a leaf and a needle have to do with each other: `inside` where the needle lies in the leaf, else the leaf in the needle.
+HIT = "array<struct<ord: array<int>, line: string, needle: string, inside: boolean>>"
 
 
-def evidence_for_values(text: Column, leaves: Column, values: Column) -> Column:
-    """The ``path: value`` lines whose value holds, or is held by, a compared value."""
-    cleaned = S.unique_non_empty(values)
-    keys = F.filter(F.transform(cleaned, S.alnum_key), lambda k: F.length(k) >= 2)
+def shown(path: Column, value: Column) -> Column:
+    return F.concat(F.when(path == "", "(root)").otherwise(path), F.lit(": "), value)
 
-    def judge(ks: Column) -> Column:
-        hits = F.filter(
-            leaves,
-            lambda lf: F.exists(ks, lambda k: lf["normalized_value"].contains(k)
-                                | (k.contains(lf["normalized_value"]) & (F.length(lf["normalized_value"]) >= 3))),
-        )
-        return evidence_lines(F.transform(hits, lambda lf: shown(lf)))
 
-    found = S.bind(keys, judge)
+def hits_in(leaves: Column, needles: Column) -> Column:
+    """Which leaves hold, or are held by, which needles."""
+
+    def of(leaf: Column) -> Column:
+        value = leaf["normalized_value"]
+        near = F.filter(needles, lambda n: value.contains(n) | (n.contains(value) & (F.length(value) >= 3)))
+        return F.transform(near, lambda n: F.struct(
+            leaf["ord"].alias("ord"), shown(leaf["path"], leaf["value"]).alias("line"), n.alias("needle"), value.contains(n).alias("inside")))
+
+    return F.flatten(F.transform(leaves, of))
+
+
+def evidence_for_values(found: Column, hits: Column, values: Column) -> Column:
+    """The ``path: value`` lines whose value holds, or is held by, a compared value."""
+    cleaned = S.unique_non_empty(values)
+    lines = S.bind(keys_of(cleaned), lambda ks: evidence_lines(
+        F.transform(F.filter(hits, lambda h: F.array_contains(ks, h["needle"])), lambda h: h["line"])))
     raw = F.when(
-        F.coalesce(contains_any(text, cleaned), F.lit(False)),
+        F.coalesce(contains_any(found, cleaned), F.lit(False)),
         F.concat(F.lit("raw_payload: contains "), F.array_join(cleaned, ", ")),
     ).otherwise("")
-    return F.coalesce(S.blank_to_null(found), raw)
+    return F.coalesce(S.blank_to_null(lines), raw)
+
 
+def evidence_for_paths(pattern: str) -> Column:
+    """Over leaf rows: the lines whose path fits, in document order."""
+    line = shown(F.col("path"), F.col("value"))
+    hit = F.when(F.col("path").rlike(f"(?i){pattern}"), F.struct("ord", line.alias("line")))
+    return evidence_lines(F.transform(F.array_sort(F.collect_list(hit)), lambda h: h["line"]))
 
-def evidence_for_paths(leaves: Column, pattern: str) -> Column:
-    return evidence_lines(F.transform(F.filter(leaves, lambda lf: lf["path"].rlike(f"(?i){pattern}")), lambda lf: shown(lf)))
 
+def evidence_for_tokens(hits: Column, matches: Column) -> Column:
+    near = F.filter(hits, lambda h: h["inside"] & F.array_contains(matches, h["needle"]))
+    leaves = F.array_distinct(F.transform(near, lambda h: F.struct(h["ord"].alias("ord"), h["line"].alias("line"))))
 
-def evidence_for_tokens(leaves: Column, matches: Column) -> Column:
-    def line(lf: Column) -> Column:
-        hit = F.filter(matches, lambda t: lf["normalized_value"].contains(t))
-        return F.when(F.size(hit) > 0, shown(lf, F.concat(F.lit("  [matched: "), F.array_join(hit, ", "), F.lit("]"))))
+    def line(leaf: Column) -> Column:
+        of = F.filter(matches, lambda t: F.exists(near, lambda h: (h["needle"] == t) & (h["ord"] == leaf["ord"])))
+        return F.concat(leaf["line"], F.lit("  [matched: "), F.array_join(of, ", "), F.lit("]"))
 
-    lines = F.filter(F.transform(leaves, line), lambda v: v.isNotNull())
-    return F.when(F.size(matches) == 0, "").otherwise(
-        F.coalesce(S.blank_to_null(evidence_lines(lines)), F.concat(F.lit("matched_tokens: "), F.array_join(matches, ", "))))
+    return F.when(F.size(matches) == 0, "").otherwise(F.coalesce(
+        S.blank_to_null(evidence_lines(F.transform(leaves, line))), F.concat(F.lit("matched_tokens: "), F.array_join(matches, ", "))))
 
 
 # -- label side -------------------------------------------------------------------------
@@ -337,20 +355,68 @@ def label_identities(evidence: DataFrame, carrier: str) -> DataFrame:
     return out.filter(F.col("identity").isNotNull())
 
 
-def identity_gate(values: DataFrame, payloads: DataFrame) -> DataFrame:
+def label_needles() -> Column:
+    """All that a label of `label_values` looks for in its payload, normalised."""
+    compared = [F.col(f"{n}_values") for n in ("article", "consignment", "product", "postcode", "cube", "date", "branding")]
+    words = F.concat(tokens(F.col("receiver_values")), tokens(F.col("sender_values")))
+    return F.array_distinct(F.concat(keys_of(F.concat("identities", *compared, weight_spellings(F.col("weight_values")))), words))
+
+
+#: What a comparison needs to know of a payload besides its text.
+FLAGS = ("authority_to_leave", "allow_partial_delivery", "safe_drop_enabled", "dangerous_goods")
+
+
+def identity_gate(values: DataFrame, payloads: DataFrame, own: DataFrame | None = None) -> DataFrame:
     """Does the payload a label names belong to it? Null verdict when the label has no ids.
 
-    One equi-join on ``payload_id``. Many labels may share one payload: Spark's skew-join
-    splitting applies because nothing after the join needs its partitioning."""
-    df = values.join(payloads, "payload_id")
-    return df.withColumns(
+    values: of `label_values`; payloads: of `prepare_payloads`, or payload_id, provided and normalized_text; own: label_id
+    and own_values (array), more that labels look for. Adds the payload's other columns, gate_applied, identity_matches and
+    found, the needles of the label that its payload holds, and where payloads have leaves, hits, the leaves they are in."""
+    needles = label_needles()
+    if own is not None:
+        values = values.join(own, "label_id", "left")
+        needles = F.array_distinct(F.concat(needles, keys_of(F.coalesce("own_values", none()))))
+    rows = values.withColumn("needles", needles).withColumnRenamed("payload_id", "text_id")
+    about = [c for c in payloads.columns if c not in ("payload_id", "normalized_text", "upper_text", "leaves")]
+    texts = payloads.select(F.col("payload_id").alias("text_id"), F.col("normalized_text").alias("text"), *about)
+    rows = containment.with_found(rows, texts, "label_id").withColumnRenamed("text_id", "payload_id")
+    if "leaves" in payloads.columns:
+        rows = with_hits(rows, payloads)
+    return rows.drop("needles", "own_values").withColumns(
         {
             "gate_applied": (F.size("identities") > 0) | F.col("identifiable"),
-            "identity_matches": contains_any(F.col("normalized_text"), F.col("identities")),
+            "identity_matches": contains_any(F.col("found"), F.col("identities")),
         }
     )
 
 
+def with_hits(rows: DataFrame, payloads: DataFrame, short: int = containment.SHORT) -> DataFrame:
+    """Adds hits. Payloads of short text meet their labels; of long ones each leaf is a part of its payload's index, and the
+    substrings of a needle meet the leaves that are equal to them."""
+    size = F.length("normalized_text")
+    empty = F.array().cast(HIT)
+    brief = payloads.where(size <= short).select("payload_id", "leaves")
+    met = rows.join(brief, "payload_id").withColumn("hits", F.coalesce(hits_in(F.col("leaves"), F.col("needles")), empty)).drop("leaves")
+    long = payloads.where(size > short).select("payload_id", F.explode("leaves").alias("leaf"))
+    if long.isEmpty():
+        return met
+    leaves = long.select(F.col("payload_id").alias("text_id"), F.col("leaf.ord").alias("part_no"), F.col("leaf.normalized_value").alias("part"),
+                         shown(F.col("leaf.path"), F.col("leaf.value")).alias("line"))
+    far = rows.join(leaves.select(F.col("text_id").alias("payload_id")).distinct(), "payload_id", "left_semi")
+    asked = far.select("label_id", F.col("payload_id").alias("text_id"), F.explode("needles").alias("needle"))
+    pairs = asked.select("text_id", "needle").distinct()
+    inside = containment.places(pairs, leaves.select("text_id", "part_no", "part")).withColumn("inside", F.lit(True))
+    sizes = F.sequence(F.lit(3), F.greatest(F.length("needle") - 1, F.lit(3)))  # shorter than the needle: equal ones are inside
+    pieces = F.flatten(F.transform(sizes, lambda k: containment.substrings(F.col("needle"), k)))
+    around = pairs.where(F.length("needle") > 3).select("text_id", "needle", F.explode(F.array_distinct(pieces)).alias("part")).join(
+        leaves.select("text_id", "part_no", "part"), ["text_id", "part"]).select("text_id", "needle", "part_no", F.lit(False).alias("inside"))
+    near = inside.unionByName(around).join(leaves.select("text_id", "part_no", "line"), ["text_id", "part_no"])
+    listed = near.groupBy("text_id", "needle").agg(
+        F.collect_list(F.struct(F.col("part_no").alias("ord"), "line", "needle", "inside")).alias("near"))
+    found = containment.spread(asked, listed, ["text_id", "needle"]).groupBy("label_id").agg(F.array_sort(F.flatten(F.collect_list("near"))).alias("hits"))
+    return met.unionByName(far.join(found, "label_id", "left").withColumn("hits", F.coalesce("hits", empty)))
+
+
 def find_payloads(values: DataFrame, leaves: DataFrame) -> DataFrame:
     """(label_id, payload_id) pairs found by id: an equi-join on normalised id = leaf value.
 
@@ -406,17 +472,17 @@ def weight_spellings(values: Column) -> Column:
 def label_outcomes(gated: DataFrame, detail: bool = True) -> DataFrame:
     """Every comparison that depends on the label alone, once per label: rows of
     (label_id, comparison, match, detail, evidence)."""
-    text = F.col("normalized_text")
-    leaves = F.coalesce("leaves", F.array().cast(gated.schema["leaves"].dataType))
+    found = F.col("found")
+    hits = F.col("hits") if detail else F.array().cast(HIT)
     listed = lambda c: F.array_join(c, ", ")
     said = lambda name, c: F.when(F.size(c) > 0, F.concat(F.lit(f"Compared {name} values: "), listed(c))).otherwise("")
     gated = gated.withColumns(
         {
             "_flags": service_flags_match(F.col("service_code")),
-            "_receiver": token_coverage(text, F.col("receiver_values")),
-            "_sender": token_coverage(text, F.col("sender_values")),
+            "_receiver": token_coverage(found, F.col("receiver_values")),
+            "_sender": token_coverage(found, F.col("sender_values")),
             "_weights": weight_spellings(F.col("weight_values")),
-            "_any_product": contains_any(text, F.col("product_values")),
+            "_any_product": contains_any(found, F.col("product_values")),
         }
     )
 
@@ -429,7 +495,7 @@ def label_outcomes(gated: DataFrame, detail: bool = True) -> DataFrame:
     def by_values(kind: str, name: str, compare: Column | None = None) -> Column:
         vals = F.col(f"{kind}_values")
         compare = vals if compare is None else compare
-        return out(kind, contains_any(text, compare), said(name, vals), lambda: evidence_for_values(text, leaves, compare))
+        return out(kind, contains_any(found, compare), said(name, vals), lambda: evidence_for_values(found, hits, compare))
 
     def by_tokens(kind: str, col: str, name: str) -> Column:
         c = F.col(col)
@@ -437,7 +503,7 @@ def label_outcomes(gated: DataFrame, detail: bool = True) -> DataFrame:
             F.lit(f"{name} token match "), F.size(c["matches"]).cast("string"), F.lit("/"),
             F.size(c["tokens"]).cast("string"), F.lit(": "), listed(c["matches"]))
         return out(kind, c["ok"], F.coalesce(says, F.lit("")),
-                   lambda: F.coalesce(evidence_for_tokens(leaves, c["matches"]), F.lit("")))
+                   lambda: F.coalesce(evidence_for_tokens(hits, c["matches"]), F.lit("")))
 
     any_product, flags = F.col("_any_product"), F.col("_flags")
     product = F.when(flags.isNull(), any_product).otherwise(F.coalesce(any_product, F.lit(False)) & flags)
@@ -449,14 +515,14 @@ def label_outcomes(gated: DataFrame, detail: bool = True) -> DataFrame:
         out("product", product,
             F.concat(F.lit("Compared product_code/service_code/label_code values: "),
                      F.coalesce(S.blank_to_null(listed(products)), F.lit("none")), F.lit(".")),
-            lambda: evidence_for_values(text, leaves, products)),
+            lambda: evidence_for_values(found, hits, products)),
         by_values("postcode", "delivery_postcode"),
         by_values("weight", "weight", F.col("_weights")),
         by_values("cube", "cubic_volume"),
         out("dangerous_goods", dg_match,
             F.coalesce(F.concat(F.lit("API dangerous_goods="), F.col("dangerous_goods").cast("string"),
                                 F.lit("; label dangerous_goods="), F.col("label_dg").cast("string"), F.lit(".")), F.lit("")),
-            lambda: F.when(dg_match.isNotNull(), evidence_for_paths(leaves, FLAG_PATHS["dangerous_goods"])).otherwise("")),
+            lambda: F.when(dg_match.isNotNull(), F.coalesce("dg_evidence", F.lit(""))).otherwise("")),
         by_tokens("receiver", "_receiver", "receiver_address"),
         by_tokens("sender", "_sender", "lodgement_address"),
         by_values("branding", "label_branding"),
@@ -470,31 +536,37 @@ def match_status(match: Column) -> Column:
     return F.when(match, "match").when(~match, "mismatch").otherwise("na")
 
 
-def compare_results(results: DataFrame, gated: DataFrame, detail: bool = True) -> DataFrame:
+def own_values(results: DataFrame) -> DataFrame:
+    """(label_id, own_values): what result rows that compare their own value look for, for `identity_gate`."""
+    dated = results.filter((comparison_kind(F.col("id")) == "date") & (F.coalesce("actual", F.lit("")) != ""))
+    return dated.groupBy("label_id").agg(F.collect_set("actual").alias("own_values"))
+
+
+def compare_results(results: DataFrame, values: DataFrame, payloads: DataFrame, detail: bool = True) -> DataFrame:
     """Adds payload_status, payload_field, payload_detail and payload_evidence to result rows.
 
-    Label-wide comparisons are made once per label and joined on (label_id, comparison). Only
-    rows that compare their own value (dates) are joined with the payload text itself."""
+    values: of `label_values`; payloads: of `prepare_payloads` (with leaves for detail). Comparisons that depend on the label
+    alone are made once for each label; rows that compare their own value (dates) look it up in the label's found needles."""
+    gated = identity_gate(values, payloads, own_values(results)).filter("provided")
     r = results.withColumns(
         {"comparison": comparison_kind(F.col("id")), "payload_field": comparable_field(F.col("id"))})
-    outcomes = label_outcomes(gated.filter("provided"), detail)
-    plain = r.filter("comparison <> 'date'").join(outcomes, ["label_id", "comparison"], "left")
-    dated = r.filter("comparison = 'date'").join(
-        gated.filter("provided").select(
-            "label_id", "normalized_text", "leaves", "date_values",
-            (F.col("gate_applied") & ~F.coalesce("identity_matches", F.lit(True))).alias("gate_closed")),
-        "label_id", "left",
-    )
-    own = F.filter(F.concat(F.array(F.col("actual")), F.col("date_values")), lambda v: F.coalesce(v, F.lit("")) != "")
-    dated = dated.withColumn("_vals", own)
-    vals, text = F.col("_vals"), F.col("normalized_text")
-    says = F.when(F.size(vals) > 0, F.concat(F.lit("Compared label_generation_datetime values: "), F.array_join(vals, ", "))).otherwise("")
-    cols = {"match": contains_any(text, vals)}
+    outcomes = label_outcomes(gated, detail)
+    outcomes = outcomes.groupBy("label_id").agg(
+        F.any_value("gate_closed").alias("gate_closed"),
+        F.map_from_entries(F.collect_list(F.struct("comparison", F.struct(*[c for c in outcomes.columns if c not in ("label_id", "gate_closed")])))).alias("by_kind"))
+    label = gated.select("label_id", "found", "date_values", *(["hits"] if detail else [])).join(outcomes, "label_id")
+    both = r.join(label, "label_id", "left").withColumn("_out", F.try_element_at("by_kind", F.col("comparison")))
+    own = F.filter(F.concat(F.array(F.col("actual")), F.coalesce("date_values", none())), lambda v: F.coalesce(v, F.lit("")) != "")
+    both = both.withColumn("_vals", own)
+    vals, found, dated = F.col("_vals"), F.col("found"), F.col("comparison") == "date"
+    cols = {"match": F.when(dated, contains_any(found, vals)).otherwise(F.col("_out.match"))}
     if detail:
-        leaves = F.coalesce("leaves", F.array().cast(gated.schema["leaves"].dataType))
-        cols |= {"detail": says, "payload_evidence": evidence_for_values(text, leaves, vals)}
-    dated = dated.withColumns(cols).drop("_vals", "normalized_text", "leaves", "date_values")
-    both = plain.unionByName(dated)
+        says = F.when(F.size(vals) > 0, F.concat(F.lit("Compared label_generation_datetime values: "), F.array_join(vals, ", "))).otherwise("")
+        cols |= {
+            "detail": F.when(dated, says).otherwise(F.col("_out.detail")),
+            "payload_evidence": F.when(dated, evidence_for_values(found, F.col("hits"), vals)).otherwise(F.col("_out.payload_evidence")),
+        }
+    both = both.withColumns(cols)
     closed = F.coalesce("gate_closed", F.lit(False)) & ~F.col("id").rlike(IDENTITY_RULES)
     # a label without a payload is not compared at all
     compared = F.col("gate_closed").isNotNull()
@@ -513,25 +585,35 @@ def compare_results(results: DataFrame, gated: DataFrame, detail: bool = True) -
     return out.select(*results.columns, *extra)
 
 
-def matrix_payload(cells: DataFrame, gated: DataFrame) -> DataFrame:
+def matrix_needles(cells: DataFrame, columns: list[str], gated: DataFrame, payloads: DataFrame) -> DataFrame:
+    """Cells of labels with a payload, with closed (the gate) and found: which codes of the label's cells, flag words and truth
+    values its payload's raw text holds in upper case."""
+    label = gated.filter("provided").select(
+        "label_id", "payload_id", (F.col("gate_applied") & ~F.coalesce("identity_matches", F.lit(True))).alias("closed"))
+    words = F.array(*[F.lit(w) for w in (*(f.upper() for f in FLAGS[:3]), "TRUE", "FALSE")])
+    asked = cells.groupBy("label_id").agg(F.array_distinct(F.flatten(F.collect_set(F.array(*columns)))).alias("codes"))
+    rows = asked.join(label, "label_id").select(
+        "label_id", F.col("payload_id").alias("text_id"), "closed", F.concat(words, "codes").alias("needles"))
+    found = containment.with_found(rows, payloads.select(F.col("payload_id").alias("text_id"), F.col("upper_text").alias("text")), "label_id")
+    return cells.join(found.select("label_id", "closed", "found"), "label_id")
+
+
+def matrix_payload(cells: DataFrame, gated: DataFrame, payloads: DataFrame) -> DataFrame:
     """Selected service-matrix cells against the raw payload text: Match / Does not match / N/A."""
-    text = F.col("upper_text")
-    checks = text.contains(F.col("service_code")) & text.contains(F.col("product_code"))
-    for flag in ("authority_to_leave", "allow_partial_delivery", "safe_drop_enabled"):
+    has = lambda c: F.array_contains("found", c)
+    checks = has(F.col("service_code")) & has(F.col("product_code"))
+    for flag in FLAGS[:3]:
         want = F.upper(R.service_flag(F.col("service_code"), flag).cast("string"))
-        checks = checks & F.when(text.contains(flag.upper()), text.contains(want)).otherwise(True)
-    g = gated.filter("provided").select("label_id", "upper_text", "gate_applied", "identity_matches")
-    closed = F.col("gate_applied") & ~F.coalesce("identity_matches", F.lit(True))
-    return cells.join(g, "label_id").select(
+        checks = checks & F.when(has(F.lit(flag.upper())), has(want)).otherwise(True)
+    rows = matrix_needles(cells, ["service_code", "product_code"], gated, payloads)
+    return rows.select(
         *cells.columns,
-        F.when(closed | ~F.col("selected_cell"), "N/A").when(checks, "Match").otherwise("Does not match").alias("payload_match"),
+        F.when(F.col("closed") | ~F.col("selected_cell"), "N/A").when(checks, "Match").otherwise("Does not match").alias("payload_match"),
     )
 
 
-def product_payload(cells: DataFrame, gated: DataFrame) -> DataFrame:
+def product_payload(cells: DataFrame, gated: DataFrame, payloads: DataFrame) -> DataFrame:
     """Selected StarTrack product rows against the raw payload text."""
-    g = gated.filter("provided").select("label_id", "upper_text", "gate_applied", "identity_matches")
-    closed = F.col("gate_applied") & ~F.coalesce("identity_matches", F.lit(True))
-    hit = F.col("upper_text").contains(F.col("product_code")) | F.col("upper_text").contains(F.col("label_code"))
-    return cells.join(g, "label_id").select(
-        *cells.columns, F.when(closed, "N/A").when(hit, "Match").otherwise("Does not match").alias("payload_match"))
+    rows = matrix_needles(cells, ["product_code", "label_code"], gated, payloads)
+    hit = F.array_contains("found", F.col("product_code")) | F.array_contains("found", F.col("label_code"))
+    return rows.select(*cells.columns, F.when(F.col("closed"), "N/A").when(hit, "Match").otherwise("Does not match").alias("payload_match"))

@@ -479,9 +479,10 @@ def payload_flags(spark, sf):
     return P.payload_flags(P.flatten_payloads(P.parse_payloads(corpus.payloads(spark, sf))))
 
 
-def _gated(spark, sf, carrier="eparcel"):
-    ev = evidence(spark, sf, carrier)
-    return P.identity_gate(P.label_values(ev, carrier), P.prepare_payloads(corpus.payloads(spark, sf, carrier)))
+def _gated(spark, sf, carrier="eparcel", leaves=False):
+    """(labels with what their payload holds of them, payloads)"""
+    payloads = P.prepare_payloads(corpus.payloads(spark, sf, carrier), leaves)
+    return P.identity_gate(P.label_values(evidence(spark, sf, carrier), carrier), payloads), payloads
 
 
 @query
@@ -512,9 +513,8 @@ def comparable_fields(spark, sf):
 
 def _compared(spark, sf, carrier, detail):
     ev = evidence(spark, sf, carrier)
-    gated = P.identity_gate(P.label_values(ev, carrier), P.prepare_payloads(corpus.payloads(spark, sf, carrier)))
     results = RU.apply_rules(ev, RS.built_in(spark, carrier), True)
-    return P.compare_results(results, gated, detail)
+    return P.compare_results(results, P.label_values(ev, carrier), P.prepare_payloads(corpus.payloads(spark, sf, carrier), detail), detail)
 
 
 @query
@@ -529,17 +529,21 @@ def compare_results_startrack(spark, sf):
 
 @query
 def token_coverage(spark, sf):
-    g = P.label_values(evidence(spark, sf), "eparcel").join(
-        P.parse_payloads(corpus.payloads(spark, sf)).filter("provided").select("payload_id", "normalized_text"), "payload_id")
-    c = P.token_coverage(F.col("normalized_text"), F.col("receiver_values"))
-    return g.select("label_id", c.alias("c")).select(
-        "label_id", F.col("c.ok").alias("ok"), F.size("c.tokens").alias("tokens"), joined("c.matches").alias("matches"))
+    """Words of the receiver's and the sender's block that the payload holds, both carriers."""
+    out = []
+    for carrier in ("eparcel", "startrack"):
+        g = _gated(spark, sf, carrier)[0].filter("provided")
+        for side in ("receiver", "sender"):
+            c = P.token_coverage(F.col("found"), F.col(f"{side}_values"))
+            out.append(g.select(F.lit(carrier).alias("carrier"), F.lit(side).alias("side"), "label_id", c.alias("c")).select(
+                "carrier", "side", "label_id", F.col("c.ok").alias("ok"), F.size("c.tokens").alias("tokens"), joined("c.matches").alias("matches")))
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3])
 
 
 @query
 def payload_evidence(spark, sf):
-    o = P.label_outcomes(_gated(spark, sf).filter("provided"))
-    return o.filter(F.col("comparison").isin("article", "dangerous_goods", "receiver")).select(
+    """All comparisons of every label, with detail and evidence lines."""
+    return P.label_outcomes(_gated(spark, sf, leaves=True)[0].filter("provided")).select(
         "label_id", "comparison", "match", "detail", "payload_evidence")
 
 
@@ -556,7 +560,7 @@ def payload_containment(spark, sf):
 @query
 def service_matrix_payload(spark, sf):
     cells = Q.service_matrix(spark, _articles(spark, sf))
-    return P.matrix_payload(cells, _gated(spark, sf)).select("label_id", "service_code", "product_code", "payload_match")
+    return P.matrix_payload(cells, *_gated(spark, sf)).select("label_id", "service_code", "product_code", "payload_match")
 
 
 def _codes(spark, sf):
@@ -575,7 +579,7 @@ def _codes(spark, sf):
 @query
 def product_matrix_payload(spark, sf):
     cells = Q.product_matrix(spark, _codes(spark, sf))
-    return P.product_payload(cells, _gated(spark, sf, "startrack")).select("label_id", "product_code", "payload_match")
+    return P.product_payload(cells, *_gated(spark, sf, "startrack")).select("label_id", "product_code", "payload_match")
 
 
 # -- reports --------------------------------------------------------------------------------
