@@ -119,20 +119,41 @@ def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame
 
 
 class Memo:
-    """Values of different pieces (words, say), learned once: the first `limit` for the life of the worker, later ones for
-    their block, so that the memory stays bounded."""
+    """Values of different pieces (words, say), learned once while they recur: the pieces of a block join the young half; when
+    that holds limit / 2 it becomes the old half, and what the old half held is forgotten. Pieces that come back stay, those
+    seen once go, and the memory is bounded by the limit and the largest block."""
 
     def __init__(self, learn, limit: int = 400_000):
-        self.learn, self.limit, self.kept = learn, limit, {}
+        """learn: from a list of pieces to the list of their values."""
+        self.learn, self.limit, self.young, self.old = learn, limit, {}, {}
+
+    def find(self, piece):
+        """The value of a piece, None where it isn't held."""
+        value = self.young.get(piece)
+        return self.old.get(piece) if value is None else value
+
+    def values(self, pieces) -> list:
+        """The values of different pieces, in their order."""
+        out = list(map(self.young.get, pieces))
+        missing = [k for k, v in enumerate(out) if v is None]
+        if missing and self.old:
+            pieces = pieces if isinstance(pieces, list) else list(pieces)
+            for k in missing:
+                out[k] = self.old.get(pieces[k])
+            missing = [k for k in missing if out[k] is None]
+        if missing:
+            pieces = pieces if isinstance(pieces, list) else list(pieces)
+            for k, value in zip(missing, self.learn([pieces[k] for k in missing]), strict=True):
+                out[k] = value
+        self.young.update(zip(pieces, out, strict=True))
+        if len(self.young) > self.limit // 2:
+            self.young, self.old = {}, self.young
+        return out
 
     def getter(self, pieces: set):
         """A function from each of the pieces to its value."""
-        kept = self.kept
-        new = {p: self.learn(p) for p in pieces.difference(kept)}
-        if len(kept) + len(new) <= self.limit:
-            kept.update(new)
-            return kept.__getitem__
-        return {p: kept[p] if p in kept else new[p] for p in pieces}.__getitem__
+        pieces = list(pieces)
+        return dict(zip(pieces, self.values(pieces), strict=True)).__getitem__
 
 
 def blocks(values: list, chars: int = 1 << 20):

@@ -42,7 +42,7 @@ class Hasher:
 
     def __init__(self, n: int, buckets: int):
         self.n, self.buckets = n, buckets
-        self.memo = Memo(self.bucket, KEPT_WORDS)
+        self.memo = Memo(lambda features: list(map(self.bucket, features)), KEPT_WORDS)
 
     def bucket(self, feature: bytes) -> int:
         return zlib.crc32(feature) % self.buckets

@@ -8,7 +8,7 @@ each alive from its own merge until the next swallows it; if two that are alive
 first, the seam would be crossed.
 
 The vocabulary's pattern splits a text into pieces that are encoded on their own; a table of counts at each character of a
-piece is learned once for each different piece, the first KEPT_PIECES for the life of a worker. Counts of a text are sums
+piece is learned once for each different piece of a block, and kept in the worker while it comes back. Counts of a text are sums
 over its pieces. A prefix that ends inside a piece counts as the library counts it, with three things to mind: a run of
 white space at a prefix's end is one piece, a contraction that is cut short ('r of 're) falls into two pieces, and the
 special string counts as one token only where it is whole. Counts don't always grow with the prefix: the longest prefix
@@ -84,7 +84,7 @@ class PrefixCounter:
         # the pieces that end (begin) each token, from its byte up, each with the rank of the merge that swallows it
         self.ends = [self.spine(made, t, 2) for t in range(len(self.number))]
         self.begins = [self.spine(made, t, 1) for t in range(len(self.number))]
-        self.memo = Memo(self.table, KEPT_PIECES)
+        self.memo = Memo(lambda pieces: list(map(self.table, pieces)), KEPT_PIECES)
         self.stand_ins: dict[str, str | None] = {}
 
     def spine(self, made: dict, token: int, side: int) -> list[tuple[int, int]]:
@@ -135,7 +135,7 @@ class PrefixCounter:
 
     def known(self, piece: str) -> array:
         """The table of a piece, from those that are kept or made anew."""
-        return self.memo.kept.get(piece) or self.table(piece)
+        return self.memo.find(piece) or self.table(piece)
 
     def plain(self, text: str) -> str:
         """The text for the pattern: characters that it would class differently give way to others of their class."""

@@ -155,7 +155,7 @@ class Encoder:
     def __init__(self, path: str):
         self.pieces = Pieces(path)
         self.search = StreamingViterbi(self.pieces)
-        self.memo = Memo(self.word, 500_000)
+        self.memo = Memo(lambda words: list(map(self.word, words)), 500_000)
 
     def run(self, text: str) -> bytes:
         return np.array(self.search.feed(text) + self.search.finish(), "<i4").tobytes()

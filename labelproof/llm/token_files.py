@@ -8,8 +8,9 @@ row indexes; doc_id has a Bloom filter, so that readers skip stripes by their me
 Reading: `read_tokens` reads stripes in parallel; a document's place among all ids is its range's base, from one small
 table with a row for each range, plus local_start. `lookup` pushes doc_id = x down to the row indexes and Bloom filters.
 
-Texts are encoded by words: white space ends a token in this vocabulary, so a piece of text between spaces is encoded by
-the tokenizers library once and its ids are kept in a table of bounded size.
+Texts are encoded by words: white space ends a token in this vocabulary, so Arrow splits a block of texts at ASCII white
+space and numbers its different pieces; each of those is encoded by the tokenizers library once, its ids are kept in a
+table of bounded size, and the ids of the texts are gathered by piece number. Python touches a block's different pieces only.
 
 A null text is empty and holds the end id alone. Null doc_ids come first; rows that repeat a doc_id are all kept, next to
 each other. An empty table gives files without rows.
@@ -18,20 +19,31 @@ each other. An empty table gives files without rows.
 from __future__ import annotations
 
 import os
+import re
 import zlib
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from labelproof.llm.common import Memo
+
 #: The id that ends each document.
 END_ID = 1
 #: Pieces of text whose ids a worker keeps.
 KEPT_PIECES = 500_000
 #: Pieces that are encoded in one call.
 CALL_PIECES = 2_000
+#: Rare characters, the first of which with an id of its own stands between pieces.
+SEPARATORS = "\U0001f389\U0001f381\u2600\u2764"
+#: Bytes of text that are encoded together.
+BLOCK_BYTES = 8 << 20
+#: Pieces of letters, digits and punctuation that the vocabulary's pattern splits as WORDS does: no apostrophes, no special
+#: strings, nothing that normalisation could join.
+SIMPLE = re.compile("[!-&(-;=-~À-ÖØ-öø-ÿ]+").fullmatch
+WORDS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[^A-Za-zÀ-ÖØ-öø-ÿ0-9]+").findall
 STRIPE_BYTES = 16 << 20
 SCHEMA = "doc_id long, part int, local_start long, n_tokens long, ids array<int>"
 ARROW = pa.schema([
@@ -48,8 +60,8 @@ def vocabulary() -> str:
 class WordEncoder:
     """Ids of texts, as the library gives them without special tokens, from ids of the pieces between spaces.
 
-    New pieces are encoded many at a time with an added token between them, which splits a text before anything else
-    does. The first KEPT_PIECES are kept for the life of the worker; later ones for their block of texts.
+    New pieces are encoded many at a time: simple ones with a space between them, cut apart after as many word ends as they
+    have words, others with a character between them that has an id of its own; pieces with that character alone. Pieces that come back are kept, KEPT_PIECES at most.
     """
 
     def __init__(self, path: str):
@@ -57,36 +69,66 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.mark_id, added = min(self.tokenizer.get_added_tokens_decoder().items())
-        self.mark = added.content
-        self.kept: dict[str, bytes] = {"": b""}
-
-    def learned(self, pieces: list[str]) -> dict[str, bytes]:
-        out = {}
-        plain = [p for p in pieces if self.mark not in p]
-        if len(plain) < len(pieces):
-            odd = [p for p in pieces if self.mark in p]
-            out.update((p, np.array(x.ids, "<i4").tobytes()) for p, x in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False), strict=True))
-        for k in range(0, len(plain), CALL_PIECES):
-            part = plain[k : k + CALL_PIECES]
-            ids = np.array(self.tokenizer.encode_batch_fast([self.mark.join(part)], add_special_tokens=False)[0].ids, "<i4")
+        self.mark, self.mark_id = self.separator()
+        names = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(names.values()) + 1, bool)
+        self.closes[[k for name, k in names.items() if name.endswith("</w>")]] = True
+        self.memo = Memo(self.learned, KEPT_PIECES)
+
+    def separator(self) -> tuple[str, int]:
+        """A character with an id of its own (an id of whole bytes that no other character has), and the id."""
+        for c in SEPARATORS:
+            ids = self.tokenizer.encode(c, add_special_tokens=False).ids
+            if len(ids) == 1:
+                return c, ids[0]
+        raise ValueError("the vocabulary has none of the separators as an id of its own")
+
+    def learned(self, pieces: list[str]) -> list[bytes]:
+        """Little-endian 32-bit ids of each piece."""
+        out: list[bytes] = [b""] * len(pieces)
+        simple = [k for k, p in enumerate(pieces) if SIMPLE(p)]
+        other = [k for k, p in enumerate(pieces) if not SIMPLE(p) and self.mark not in p]
+        odd = [k for k, p in enumerate(pieces) if self.mark in p]
+        for k, found in zip(odd, self.tokenizer.encode_batch_fast([pieces[k] for k in odd], add_special_tokens=False), strict=True):
+            out[k] = np.array(found.ids, "<i4").tobytes()
+        for part, ids in self.called(simple, pieces, " "):
+            ends = np.flatnonzero(self.closes[ids]) + 1  # of words, of which a piece has as many as the pattern counts
+            cuts = ends[np.cumsum(np.fromiter((len(WORDS(pieces[k])) for k in part), np.int64, len(part))) - 1] * 4
+            raw = ids.tobytes()
+            for k, first, end in zip(part, [0, *cuts[:-1].tolist()], cuts.tolist(), strict=True):
+                out[k] = raw[first:end]
+        for part, ids in self.called(other, pieces, f" {self.mark} "):
             marks = np.flatnonzero(ids == self.mark_id) * 4
             raw = ids.tobytes()
-            out.update((p, raw[a:b]) for p, a, b in zip(part, [0, *(marks + 4).tolist()], [*marks.tolist(), len(raw)], strict=True))
+            for k, first, end in zip(part, [0, *(marks + 4).tolist()], [*marks.tolist(), len(raw)], strict=True):
+                out[k] = raw[first:end]
         return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        split = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
-        pieces = set(chain.from_iterable(split))
-        new = self.learned(list(pieces.difference(self.kept)))
-        if len(self.kept) + len(new) <= KEPT_PIECES:
-            self.kept.update(new)
-            get = self.kept.__getitem__
-        else:
-            kept = self.kept
-            get = {p: kept[p] if p in kept else new[p] for p in pieces}.__getitem__
-        return [b"".join(map(get, x)) for x in split]
+    def called(self, chosen: list[int], pieces: list[str], between: str):
+        """(numbers of some pieces, the ids of these joined)."""
+        for a in range(0, len(chosen), CALL_PIECES):
+            part = chosen[a : a + CALL_PIECES]
+            joined = between.join([pieces[k] for k in part])
+            yield part, np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<i4")
+
+    def table(self, pieces: list[str]) -> pa.ListArray:
+        """The ids of each piece."""
+        raw = self.memo.values(pieces)
+        offsets = np.zeros(len(raw) + 1, np.int32)
+        np.cumsum(np.fromiter(map(len, raw), np.int32, len(raw)) // 4, out=offsets[1:])
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(raw), "<i4").astype(np.int32, copy=False)))
+
+    def encode(self, texts: pa.Array) -> pa.ListArray:
+        """The ids of each text, and the end id."""
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))  # the vocabulary has no upper case
+        numbered = lists.flatten().dictionary_encode()
+        pieces = numbered.dictionary.to_pylist()
+        table = pa.concat_arrays([self.table(pieces), pa.array([[END_ID]], pa.list_(pa.int32()))])
+        ends = np.cumsum(pc.list_value_length(lists).to_numpy())
+        words = np.insert(numbered.indices.to_numpy(), ends, len(pieces))  # the end id is one more piece
+        found = table.take(pa.array(words))
+        text_ends = ends + np.arange(1, ends.size + 1)
+        return pa.ListArray.from_arrays(pa.array(found.offsets.to_numpy()[np.concatenate(([0], text_ends))]), found.values)
 
 
 #: One encoder for each file, for the life of the worker process.
@@ -99,36 +141,27 @@ def encoder_of(path: str) -> WordEncoder:
     return ENCODERS[path]
 
 
-def blocks(texts: list[str], chars: int = 1 << 20):
-    """Slices of texts of about so many characters, so that a block's pieces stay few."""
-    first, held = 0, 0
-    for k, text in enumerate(texts):
-        held += len(text)
-        if held >= chars:
-            yield first, k + 1
-            first, held = k + 1, 0
-    if first < len(texts):
-        yield first, len(texts)
+def text_blocks(texts: pa.Array):
+    """Ranges of texts of about BLOCK_BYTES."""
+    sizes = pc.binary_length(texts).to_numpy()
+    cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // BLOCK_BYTES)) + 1
+    return zip([0, *cuts.tolist()], [*cuts.tolist(), len(texts)], strict=True) if len(texts) else ()
 
 
 def writer(path: str):
     def run(batches):
         from pyspark import TaskContext
 
-        part, start, encoder, end = TaskContext.get().partitionId(), 0, encoder_of(path), np.array([END_ID], "<i4").tobytes()
+        part, start, encoder = TaskContext.get().partitionId(), 0, encoder_of(path)
         for batch in batches:
-            doc_ids = batch.column(0)
-            texts = [x or "" for x in batch.column(1).to_pylist()]
-            for a, b in blocks(texts):
-                ids = [x + end for x in encoder.encode(texts[a:b])]
-                sizes = np.array([len(x) // 4 for x in ids], np.int64)
+            texts = pc.fill_null(batch.column(1), "")
+            for a, b in text_blocks(texts):
+                ids = encoder.encode(texts.slice(a, b - a))
+                sizes = np.diff(ids.offsets.to_numpy()).astype(np.int64)
                 before = start + np.cumsum(sizes) - sizes
                 start += int(sizes.sum())
-                offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
-                values = pa.array(np.frombuffer(b"".join(ids), "<i4"))
                 yield pa.RecordBatch.from_arrays(
-                    [doc_ids.slice(a, b - a), pa.array(np.full(b - a, part, np.int32)), pa.array(before), pa.array(sizes),
-                     pa.ListArray.from_arrays(pa.array(offsets), values)], schema=ARROW)
+                    [batch.column(0).slice(a, b - a), pa.array(np.full(b - a, part, np.int32)), pa.array(before), pa.array(sizes), ids], schema=ARROW)
 
     return run
 

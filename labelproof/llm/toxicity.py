@@ -256,7 +256,7 @@ def train(rows: list[tuple[str, int]]) -> Model:
         moves += RATE * gm / np.sqrt(move_square)
     kept = {x: float(weights[k]) for x, k in names.items() if abs(weights[k]) > 1e-4}
     model = Model(kept, bias, np.exp(np.array([[0.0, moves[0]], [moves[1], moves[2]]])))
-    memo, parts = Memo(model.emission), []
+    memo, parts = Memo(lambda tokens: list(map(model.emission, tokens))), []
     texts = toxic + clean
     for i, j in blocks(texts):
         parts.append(model.features(*model.marginals([x.encode("utf-8", "surrogatepass").split() for x in texts[i:j]], memo)))
@@ -295,7 +295,7 @@ def scorer(model, with_spans: bool):
 
     def run(batches):
         net: Model = model.value
-        memo = Memo(net.emission)
+        memo = Memo(lambda tokens: list(map(net.emission, tokens)))
         for batch in batches:
             texts = [x or "" for x in batch.column(batch.num_columns - 1).to_pylist()]
             scores, spans = [], []
