@@ -24,6 +24,7 @@ empty table gives an empty result; other columns are kept whatever their names.
 from __future__ import annotations
 
 import json
+import re
 from array import array
 from itertools import accumulate
 
@@ -35,7 +36,9 @@ from pyspark.sql import functions as F
 from labelproof.llm.common import Memo, blocks, fresh, texts
 
 #: Pieces whose tables a worker keeps.
-KEPT_PIECES = 300_000
+KEPT_PIECES = 600_000
+#: Pairs of tokens of which a worker keeps whether one can follow the other.
+KEPT_PAIRS = 1_000_000
 BLOCK = 1 << 20
 #: The pattern of byte-level BPE vocabularies of this family; a fixed value.
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -85,6 +88,8 @@ class PrefixCounter:
         self.ends = [self.spine(made, t, 2) for t in range(len(self.number))]
         self.begins = [self.spine(made, t, 1) for t in range(len(self.number))]
         self.memo = Memo(lambda pieces: list(map(self.table, pieces)), KEPT_PIECES)
+        self.pairs: dict[int, bool] = {}
+        self.latin = re.compile(self.latin_pattern())
         self.stand_ins: dict[str, str | None] = {}
 
     def spine(self, made: dict, token: int, side: int) -> list[tuple[int, int]]:
@@ -97,6 +102,15 @@ class PrefixCounter:
 
     def follows(self, u: int, v: int) -> bool:
         """The joined bytes of the tokens u and v encode as u, v."""
+        pair = u << 20 | v
+        known = self.pairs.get(pair)
+        if known is None:
+            if len(self.pairs) >= KEPT_PAIRS:
+                self.pairs.clear()
+            known = self.pairs[pair] = self.seam_holds(u, v)
+        return known
+
+    def seam_holds(self, u: int, v: int) -> bool:
         left, right = self.ends[u], self.begins[v]
         i = j = 0
         while True:
@@ -114,14 +128,17 @@ class PrefixCounter:
 
     def byte_counts(self, raw: bytes) -> list[int]:
         """Tokens of the first 0, 1, ... bytes of a piece."""
-        number, longest, follows = self.number, self.longest, self.follows
-        last, counts = [0] * (len(raw) + 1), [0] * (len(raw) + 1)
+        number, longest, follows = self.number.get, self.longest.get, self.follows
+        last, counts, start = [0] * (len(raw) + 1), [0] * (len(raw) + 1), 0
         for end in range(1, len(raw) + 1):
-            for at in range(max(0, end - longest.get(raw[max(0, end - 2) : end], 1)), end):
-                token = number.get(raw[at:end])
-                if token is not None and (not at or follows(last[at], token)):
-                    last[end], counts[end] = token, counts[at] + 1
-                    break
+            # only one token can end here, so any order finds it; often it is the one before with a byte more
+            token = number(raw[start:end])
+            if token is None or (start and not follows(last[start], token)):
+                for start in range(max(0, end - longest(raw[max(0, end - 2) : end], 1)), end):
+                    token = number(raw[start:end])
+                    if token is not None and (not start or follows(last[start], token)):
+                        break
+            last[end], counts[end] = token, counts[start] + 1
         return counts
 
     def table(self, piece: str) -> array:
@@ -133,6 +150,15 @@ class PrefixCounter:
             return array("I", counts[1:])
         return array("I", [counts[k] for k in accumulate(len(c.encode()) for c in piece)])
 
+    def latin_pattern(self) -> str:
+        """The pattern for texts of the first 256 characters, with the classes that the tokenizer itself gives them."""
+        kinds: dict[str, str] = {"a": "", "1": "", "!": "", " ": ""}
+        for c in map(chr, range(256)):
+            joins = [k for k in "a1!" if len(self.splitter.pre_tokenize_str(f"x{k}{c}"[k == "a" :])) == (1 if k == "a" else 2)]
+            kinds[joins[0] if joins else " "] += f"\\x{ord(c):02x}"
+        letters, digits, others, spaces = (kinds[k] for k in "a1! ")
+        return f"'s|'t|'re|'ve|'m|'ll|'d| ?[{letters}]+| ?[{digits}]+| ?[{others}]+|[{spaces}]+(?![^{spaces}])|[{spaces}]+"
+
     def known(self, piece: str) -> array:
         """The table of a piece, from those that are kept or made anew."""
         return self.memo.find(piece) or self.table(piece)
@@ -154,19 +180,48 @@ class PrefixCounter:
 
     def pieces(self, text: str) -> list[str]:
         """The pieces of a text without special strings."""
+        try:
+            text.encode("latin-1")
+            return self.latin.findall(text)
+        except UnicodeEncodeError:
+            pass
         plain = self.plain(text)
         if plain is text:
             return PATTERN.findall(text)
         return [text[a:b] for a, b in (m.span() for m in PATTERN.finditer(plain))]
 
+    def answers(self, values: list[str], limit: int | None = None) -> tuple[list[int], list[int]]:
+        """(tokens of each text, characters of the longest prefix of each with at most `limit` tokens)."""
+        split = [[self.pieces(p) for p in self.special.split(v)] if self.special.search(v) else [self.pieces(v)] for v in values]
+        different = list({x for mine in split for p in mine for x in p})
+        total = {x: t[-1] for x, t in zip(different, self.memo.values(different), strict=True)}.__getitem__
+        tokens = [len(mine) - 1 + sum(sum(map(total, p)) for p in mine) for mine in split]
+        if limit is None:
+            return tokens, []
+        return tokens, [
+            len(v) if n <= limit else self.cut(mine[0], total, limit) if len(mine) == 1 else self.fitting(v, limit)
+            for v, n, mine in zip(values, tokens, split, strict=True)
+        ]
+
     def totals(self, values: list[str]) -> list[int]:
         """Tokens of each text."""
-        parts = [self.special.split(v) for v in values]
-        split = [[self.pieces(p) for p in mine] for mine in parts]
-        different = {x for mine in split for p in mine for x in p}
-        get = self.memo.getter(different)
-        last = {x: get(x)[-1] for x in different}
-        return [len(mine) - 1 + sum(sum(map(last.__getitem__, p)) for p in mine) for mine in split]
+        return self.answers(values)[0]
+
+    def cut(self, pieces: list[str], total, limit: int) -> int:
+        """Characters of the longest prefix with at most `limit` tokens of a text given by its pieces, which has more.
+
+        The counts up to each piece say where the limit is passed; only there are prefixes looked at, from the last piece on
+        that begins after a character that isn't white space."""
+        base, end, at, safe = 0, 0, 0, (0, 0, 0)  # safe: piece number, characters and tokens before it
+        while base <= limit:
+            if not at or not pieces[at - 1][-1].isspace():
+                safe = (at, end, base)
+            base, end, at = base + total(pieces[at]), end + len(pieces[at]), at + 1
+        first, before, tokens = safe
+        while at < len(pieces) and pieces[at - 1][-1].isspace():
+            at += 1  # a run of white space is counted whole
+        counts = self.part_counts("".join(pieces[first:at]), limit - tokens)
+        return before + max(k for k, c in enumerate(counts) if c <= limit - tokens)
 
     def part_counts(self, text: str, limit: int | None = None) -> list[int]:
         """Tokens of the first 0, 1, ... characters of a text without special strings; with a limit, at least as far as
@@ -264,8 +319,7 @@ def token_counts(docs: DataFrame, limit: int, text: str = "text", path: str | No
 
     def answers(values):
         counter = counter_of(path)
-        totals = counter.totals(values)
-        return totals, [len(v) if n <= limit else counter.fitting(v, limit) for v, n in zip(values, totals, strict=True)]
+        return counter.answers(values, limit)
 
     return answered(docs, text, answers, [("n_tokens", "long", pa.int64()), ("fitting_chars", "long", pa.int64())])
 
