@@ -35,7 +35,7 @@ RESULT = T.StructType([
     T.StructField("n_words", T.LongType()),
     T.StructField("hits", T.ArrayType(T.StructType([T.StructField("from", T.LongType()), T.StructField("to", T.LongType())]))),
     T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))),
-    T.StructField("items", T.ArrayType(T.LongType())),
+    T.StructField("items", T.ArrayType(T.StringType())),
 ])
 
 
@@ -144,7 +144,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, keep: list[str], text: str
     from pyspark.sql.pandas.types import to_arrow_schema
 
     spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("long").alias("i"), F.col("text").alias("t")).where("i is not null and t is not null")
+    items = benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").alias("t")).where("i is not null and t is not null")
     total = items.agg(F.sum(F.length("t"))).first()[0] or 0
     slices = max(1, math.ceil(total / SLICE_CHARS))
     out = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.col(text).alias("t"), F.lit(None).cast(RESULT).alias("leak"))

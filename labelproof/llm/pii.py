@@ -41,8 +41,15 @@ MARGIN = 2.0
 EPOCHS, RATE = 12, 0.3
 CHUNK = re.compile(r"[^ \t\n\r\x0b\x0c]+")
 TRIGGER = re.compile(r"[0-9]{2}|@|[(\[][aA][tT][)\]]|\s[dD][oO][tT]\s")
-ACTIVE = re.compile(r"[0-9]|@|^(?:at|dot|\(at\)|\[at\]|\(dot\)|\[dot\])$", re.I)
-OUTER = re.compile(r"^[\"'<\[{,;:!?]+|[\"'>\]},;:!?.]+$")
+ACTIVE = re.compile(r"[0-9]|@|[(\[](?:at|dot)[)\]]|^(?:at|dot)$", re.I)
+#: An address with "at" or "dot" in words; up to MAX_SPELLED chunks, that is five labels in words.
+SPELLED = re.compile(
+    r"[A-Za-z0-9._%+-]+(?:\s*[(\[]at[)\]]\s*|\s+at\s+(?!(?:the|an?|this|that|our|their|his|her)\s)|@)[A-Za-z0-9-]+(?:(?:\s*[(\[]dot[)\]]\s*|\s+dot\s+|\.)[A-Za-z0-9-]+)+", re.I)
+SPELLED_AT = re.compile(r"[(\[]at[)\]]|\sat\s|@", re.I)
+MAX_SPELLED = 11
+GOES_ON = re.compile(r"[(\[]?dot[)\]]?", re.I)
+#: Punctuation around a chunk that belongs to the sentence.
+OPENING, CLOSING = "\"'<[{,;:!?", "\"'>]},;:!?."
 
 
 def luhn(digits: str) -> bool:
@@ -88,11 +95,10 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def trimmed(text: str, a: int, b: int) -> tuple[int, int]:
     piece = text[a:b]
-    for m in OUTER.finditer(piece):
-        if m.start() == 0 and m.end() < len(piece):
-            a += m.end()
-        elif m.start():
-            b -= m.end() - m.start()
+    inner = piece.lstrip(OPENING)
+    if inner:
+        a += len(piece) - len(inner)
+        b -= len(inner) - len(inner.rstrip(CLOSING)) if inner.rstrip(CLOSING) else 0
     piece = text[a:b]
     if piece.startswith("(") and ")" not in piece:
         a += 1
@@ -101,11 +107,15 @@ def trimmed(text: str, a: int, b: int) -> tuple[int, int]:
     return a, b
 
 
+def bare(chunk: str) -> str:
+    return chunk.lstrip(OPENING).rstrip(CLOSING)
+
+
 def stretches(text: str):
     """Lists of (start, end, active) of chunks: those around a trigger, with two plain ones on either side."""
     if not TRIGGER.search(text):
         return
-    chunks = [(*m.span(), bool(ACTIVE.search(m[0]) or ACTIVE.search(OUTER.sub("", m[0])))) for m in CHUNK.finditer(text)]
+    chunks = [(*m.span(), bool(ACTIVE.search(m[0]) or ACTIVE.search(bare(m[0])))) for m in CHUNK.finditer(text)]
     k, n = 0, len(chunks)
     while k < n:
         if not chunks[k][2]:
@@ -162,20 +172,25 @@ class Field:
         self.weights = weights or {}
 
     def segments(self, text: str, chunks: list[tuple[int, int, bool]]):
-        """(first, last + 1, start, end, features) of the candidate entities; none starts or ends with a plain chunk
-        unless it spells an address."""
+        """(first, last + 1, start, end, features) of the candidate entities: up to MAX_CHUNKS chunks, of which the first and the
+        last and all but two are active, or up to MAX_SPELLED that spell an address."""
         n = len(chunks)
+        spelled = n > 0 and SPELLED_AT.search(text, chunks[0][0], chunks[-1][1]) is not None
         for i in range(n):
-            for j in range(i + 1, min(n, i + MAX_CHUNKS) + 1):
-                inside = chunks[i:j]
-                live = sum(c[2] for c in inside)
-                if not live or live < (j - i) - 1 - (j - i > 2) or (j - i == 1 and not inside[0][2]):
+            live = 0
+            for j in range(i + 1, min(n, i + (MAX_SPELLED if spelled else MAX_CHUNKS)) + 1):
+                live += chunks[j - 1][2]
+                if not live:
                     continue
-                if j - i > 1 and not (inside[0][2] and inside[-1][2]) and not re.search(r"(?:\s|\()at(?:\s|\))|\[at\]", text[inside[0][0] : inside[-1][1]], re.I):
+                a, b = trimmed(text, chunks[i][0], chunks[j - 1][1])
+                usual = j - i <= MAX_CHUNKS and live >= (j - i) - 1 - (j - i > 2) and chunks[i][2] and chunks[j - 1][2]
+                if not usual and not (spelled and SPELLED.fullmatch(text, a, b)):
                     continue
-                a, b = trimmed(text, inside[0][0], inside[-1][1])
                 before = text[chunks[i - 1][0] : chunks[i - 1][1]].strip(".,:;").lower() if i else ""
-                yield i, j, a, b, traits(text, a, b, j - i, before if before in CONTEXT else "")
+                features = traits(text, a, b, j - i, before if before in CONTEXT else "")
+                if j < n and GOES_ON.fullmatch(text, *chunks[j][:2]):
+                    features.append("goes-on")
+                yield i, j, a, b, features
 
     def score(self, kind: int, features: list[str]) -> float:
         get = self.weights.get
@@ -211,7 +226,7 @@ class Field:
         squares: dict[tuple[int, str], float] = defaultdict(lambda: 1e-2)
         data = []
         for text, spans in examples:
-            chunks = [(*m.span(), bool(ACTIVE.search(m[0]) or ACTIVE.search(OUTER.sub("", m[0])))) for m in CHUNK.finditer(text)]
+            chunks = [(*m.span(), bool(ACTIVE.search(m[0]) or ACTIVE.search(bare(m[0])))) for m in CHUNK.finditer(text)]
             segments = list(self.segments(text, chunks))
             gold = {(a, b): k for k, a, b in spans}
             if sum((s[2], s[3]) in gold for s in segments) >= len(gold):
@@ -256,8 +271,12 @@ def spellings(kind: int, found: str) -> list[tuple[int, str]]:
     digits = "".join(DIGITS.findall(found))
     if kind == 0:
         name, _, domain = found.partition("@")
-        dotted = domain.replace(".", " dot ")
-        return [(0, f"{name} at {dotted}"), (0, f"{name} [at] {domain}"), (0, f"{name}(at){domain}"), (-1, f"{name}@"), (-1, f"@{name}"), (-1, f"{name} at {name}")]
+        out = [(-1, f"{name}@"), (-1, f"@{name}"), (-1, f"{name} at {name}")]
+        # also without the digits, and with as few labels as can be, that a sample's addresses may happen to have
+        for n, d in [(name, domain), (re.sub("[0-9]", "", name) or name, ".".join(re.sub("[0-9]", "", domain).split(".")[-2:]))]:
+            dotted, boxed = d.replace(".", " dot "), d.replace(".", " [dot] ")
+            out += [(0, f"{n} at {dotted}"), (0, f"{n} [at] {d}"), (0, f"{n}(at){d}"), (0, f"{n} [at] {boxed}"), (0, f"{n} (at) {d.replace('.', ' (dot) ')}")]
+        return out
     if kind == 1:
         parts = found.split(".")
         return [(-1, ".".join(parts[:3])), (-1, ".".join([str(int(parts[0][-2:]) + 300), *parts[1:]])), (-1, f"{digits[:2]}.{digits[2:4]}"), (-1, f"20{digits[:2]}-0{digits[2:3]}-1{digits[3:4]}")]

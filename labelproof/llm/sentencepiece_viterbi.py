@@ -6,19 +6,21 @@ that can still be extended meet in one boundary, the ids before it are given out
 
 Scores: the public model file is a merge model, whose "scores" are ranks. As log-probabilities they would favour many short
 pieces; here a piece of rank r counts log(1 / (r + 1)) (Zipf's law), up to a constant. Of the pieces that the file rules out
-(score under RULED_OUT), single characters count as the lowest rank and longer ones are not used. A character without a piece costs the lowest score less UNKNOWN and becomes the ids
+(score under RULED_OUT), single characters and runs of spaces count as the lowest rank and others are not used. A character without a piece costs the lowest score less UNKNOWN and becomes the ids
 of its bytes. The text gets a space in front and spaces become U+2581, as the file's normalizer says; nothing else changes.
 
-No usable piece of this vocabulary holds U+2581 after its first character, so all paths meet before each space; ids of words
-are therefore kept in a table of bounded size. With another vocabulary whole texts go through the search.
+Where paths meet is known of a vocabulary beforehand: no usable piece of this one goes on with U+2581 after another
+character, so the paths of all positions meet before each run of spaces. The stretch between two such boundaries (spaces and
+a word) is searched once while it recurs and its ids are kept in a table of bounded size; long stretches, and whole texts
+under a vocabulary without such boundaries, go through the window as they come.
 
 Null and empty texts have no ids. Decoding gives the text back, with U+2581 as a space.
 """
 
 from __future__ import annotations
 
-import hashlib
 import math
+import re
 import zlib
 from array import array
 from itertools import chain
@@ -26,6 +28,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from labelproof.llm.common import Memo, blocks
 
@@ -34,7 +37,8 @@ RULED_OUT = -1e8
 UNKNOWN = 10.0
 #: Longer words go through the streaming search.
 WORD_CHARS = 64
-KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()]
+#: Stretches between boundaries: spaces and what follows them up to the next.
+STRETCH = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
 
 
 def vocabulary() -> str:
@@ -64,7 +68,7 @@ class Pieces:
                 self.raw[k] = piece.replace(SPACE, " ").encode()
                 if model.get_score(k) > RULED_OUT:
                     self.scores[piece] = -math.log(1.0 - model.get_score(k))
-                elif len(piece) > 1:
+                elif len(piece) > 1 and piece.strip(SPACE):
                     continue
                 self.ids[piece] = k
         lowest = min(self.scores.values(), default=0.0)
@@ -80,7 +84,7 @@ class Pieces:
             for c in piece:
                 node = node.setdefault(c, {})
             node[""] = (self.scores[piece], k)
-        self.by_word = not any(SPACE in piece[1:] for piece in self.ids)
+        self.by_word = not any(SPACE in piece.lstrip(SPACE) for piece in self.ids)
 
     def given(self, piece: str) -> list[int]:
         k = self.ids.get(piece)
@@ -161,8 +165,8 @@ class Encoder:
         return np.array(self.search.feed(text) + self.search.finish(), "<i4").tobytes()
 
     def word(self, word: str) -> bytes:
-        """The ids of a space and a word, at whose ends all paths meet: the same search over a text that short."""
-        text = SPACE + word
+        """The ids of spaces and a word, at whose ends all paths meet: the same search over a text that short."""
+        text = word
         n = len(text)
         if n > WORD_CHARS:
             return self.run(text)
@@ -195,7 +199,7 @@ class Encoder:
         """Little-endian 32-bit ids of each text."""
         if not self.pieces.by_word:
             return [self.run(SPACE + t.replace(" ", SPACE)) if t else b"" for t in texts]
-        split = [t.replace(SPACE, " ").split(" ") if t else [] for t in texts]
+        split = [STRETCH(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
         get = self.memo.getter(set(chain.from_iterable(split)))
         return [b"".join(map(get, x)) for x in split]
 
@@ -250,19 +254,23 @@ def decoded(rows: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def codec_report(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """Per document: n_ids, ids_crc32, n_chars, decoded_sha256, round_trip (whether decoding gives the text)."""
+    """doc_id, ids and the text decoded from them of doc_id, text, with n_ids, ids_crc32 (little-endian 32-bit ids) and round_trip
+    (whether decoding gives the text)."""
     path = path or vocabulary()
 
     def run(batches):
         encoder = encoder_of(path)
         for batch in batches:
             texts = [x or "" for x in batch.column(1).to_pylist()]
-            rows = []
             for a, b in blocks(texts):
-                for text, ids in zip(texts[a:b], encoder.encode(texts[a:b]), strict=True):
-                    back = encoder.decode(ids)
-                    rows.append((len(ids) // 4, zlib.crc32(ids), len(text), hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest(), back == text))
-            columns = [pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), KINDS, strict=True)] if rows else [pa.array([], k) for k in KINDS]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "n_ids", "ids_crc32", "n_chars", "decoded_sha256", "round_trip"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_ids long, ids_crc32 long, n_chars long, decoded_sha256 string, round_trip boolean")
+                ids = encoder.encode(texts[a:b])
+                offsets = np.concatenate(([0], np.cumsum([len(x) // 4 for x in ids]))).astype(np.int32)
+                back = [encoder.decode(x) for x in ids]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), "<i4"))),
+                     pa.array(back, pa.string()), pa.array(list(map(zlib.crc32, ids)), pa.int64()), pa.array([x == y for x, y in zip(back, texts[a:b], strict=True)])],
+                    names=["doc_id", "ids", "decoded", "ids_crc32", "round_trip"],
+                )
+
+    rows = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>, decoded string, ids_crc32 long, round_trip boolean")
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids_crc32", "round_trip", "ids", "decoded")

@@ -39,7 +39,6 @@ CUE_DOCS, CUE_NOISE = 3, 0.05
 CUE_PENALTY = 10.0
 CLEAN_SENTENCES = 20_000
 EPOCHS, RATE, DECAY = 40, 0.3, 1e-5
-EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 WORD = re.compile(r"[^ \t\n\r\x0b\x0c]+")
 ENDS = (".", "!", "?", '."', '!"', '?"')
 
@@ -50,7 +49,13 @@ def split_of(doc_id: Column) -> Column:
 
 
 def plain(word: str) -> str:
-    return EDGE.sub("", word).lower()
+    """The word from its first to its last letter or digit, in lower case."""
+    first, last = 0, len(word)
+    while first < last and not word[first].isalnum():
+        first += 1
+    while last > first and not word[last - 1].isalnum():
+        last -= 1
+    return word[first:last].lower()
 
 
 def traits(word: str) -> list[str]:
