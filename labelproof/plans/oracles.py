@@ -432,6 +432,26 @@ ORACLES["payload_flags"] = PAY + """ select payload_id, js->>'$.authority_to_lea
 ORACLES["payload_containment"] = PAY + """ select payload_id, contains(norm_text, postcode) as postcode, contains(norm_text, article) as article, contains(norm_text, b.state) as state,
  cast(null as boolean) as nothing from pay join base b on b.k = payload_id where provided"""
 
+KEY = lambda c: f"regexp_replace(upper({c}),'[^A-Z0-9]+','','g')"
+# what identifies a label, one row for each distinct value
+WANTED = "atype = case when fmt='sscc' then 'sscc' else 'eparcel-standard' end"
+EP_IDS = EPL + PAY[len(EP):] + f""", iv as (select label_id, unnest(aids) as v from lab union all select label_id, cons from lab union all select label_id, cand from art where {WANTED}
+ union all select label_id, consid from art where {WANTED}), ids as (select distinct label_id, trim(v) as identity from iv where len({KEY('v')}) >= 6),
+ named as (select label_id, payload_id, len(lids) + len(dids) > 0 as parsed from lab)"""
+ORACLES["identity_gate"] = EP_IDS + f""", g as (select n.label_id, any_value(parsed) as parsed, count(identity) as k, bool_or(contains(norm_text, {KEY('identity')})) as hit
+ from named n join pay using (payload_id) left join ids using (label_id) where provided group by 1) select label_id, k > 0 or parsed as gate_applied, hit as identity_matches from g"""
+ORACLES["find_payloads"] = EP_IDS + f""", lv as (select distinct payload_id as found_payload_id, {KEY('value')} as key from ({LEAVES}) where len({KEY('value')}) >= 6)
+ select distinct label_id, found_payload_id from ids join lv on key = {KEY('identity')}"""
+
+# -- reading order of positioned text: anchors are found by recursion, one after the other
+ORACLES["lines_from_items"] = """with recursive it as (select distinct l_orderkey as label_id, cast(l_partkey * 1000 + l_suppkey * 10 + l_linenumber as int) as item_seq, 'W' || l_partkey as t,
+ cast(l_partkey % 500 as double) as x, cast((l_suppkey * 13 + l_linenumber) % 90 as double) as y from lineitem),
+ ch as (select label_id, max(y) as a from it group by 1 union all select label_id, a from (select it.label_id, max(it.y) as a from ch join it on it.label_id = ch.label_id and ch.a - it.y > 3.5 group by it.label_id, ch.a)),
+ an as (select it.*, (select min(a) from ch where ch.label_id = it.label_id and a >= it.y) as a from it),
+ pc as (select *, lag(x) over w as px, lag(t) over w as pt from an window w as (partition by label_id, a order by x, -y, item_seq, t)),
+ ln as (select label_id, a, trim(regexp_replace(string_agg(case when px is null then '' when x - (px + length(pt) * 5) > 18 then '     ' else ' ' end || t, '' order by x, -y, item_seq, t), '\\s{4,}', '   ', 'g')) as line from pc group by 1, 2)
+ select label_id, cast(row_number() over (partition by label_id order by a desc) as int) as line_no, a as y, line from ln where line <> ''"""
+
 # -- matrices ----------------------------------------------------------------------------------------------
 MATRIX = ", ".join(f"({q(s)}, {q(p)}, {q(R.WINE_PRODUCT_NAME if s in R.WINE_SERVICES else R.PRODUCTS[p])}, {', '.join(str(x).lower() for x in R.SERVICE_FLAGS[s])})" for s, ps in R.SERVICE_PRODUCTS.items() for p in ps)
 ORACLES["service_matrix"] = EPD + f""", mx as (select * from (values {MATRIX}) t(service_code, product_code, product_name, safe_drop, signature, atl, partial, no_signature)),
@@ -566,3 +586,8 @@ ORACLES["audit_mode_checks"] = f"""with m as ({MODES})
  union all select carrier, label_id, 'AUDIT_MODE_FORMAT', 'CRITICAL', 'audit-mode', case when df = sf then 'pass' else 'fail' end,
  {FNAME_OF('sf')} || case when df = sf then ' was selected and decoded barcode evidence matches.' else ' was selected, but decoded barcode evidence indicates ' || coalesce({FNAME_OF('df')}, 'unknown format') || '.' end,
  {FNAME_OF('sf')}, coalesce({FNAME_OF('df')}, 'unknown') from m"""
+
+ORACLES["label_identities"] = f"""select 'eparcel' as carrier, label_id, identity from ({EP_IDS} select * from ids) union all
+ select 'startrack', label_id, identity from ({SEV}, iv as (select label_id, unnest([article_ids, connote]) as v from tf union all select label_id, unnest([bare, left(bare,12)]) from lin where is_fr
+ union all select label_id, unnest([{QF['freightItemNumber']}, {QF['connoteNumber']}]) from qrs union all select label_id, unnest(['00' || s18, s18]) from dec where raw_value <> '' and swant = right(s18,1))
+ select distinct label_id, trim(v) as identity from iv where len({KEY('v')}) >= 6)"""
