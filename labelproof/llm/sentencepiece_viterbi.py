@@ -37,6 +37,8 @@ RULED_OUT = -1e8
 UNKNOWN = 10.0
 #: Longer words go through the streaming search.
 WORD_CHARS = 64
+#: Stretches whose ids a worker keeps.
+KEPT_STRETCHES = 200_000
 #: Stretches between boundaries: spaces and what follows them up to the next.
 STRETCH = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
 
@@ -159,7 +161,7 @@ class Encoder:
     def __init__(self, path: str):
         self.pieces = Pieces(path)
         self.search = StreamingViterbi(self.pieces)
-        self.memo = Memo(lambda words: list(map(self.word, words)), 500_000)
+        self.memo = Memo(lambda words: list(map(self.word, words)), KEPT_STRETCHES)
 
     def run(self, text: str) -> bytes:
         return np.array(self.search.feed(text) + self.search.finish(), "<i4").tobytes()
@@ -218,8 +220,8 @@ def encoder_of(path: str) -> Encoder:
     return ENCODERS[path]
 
 
-def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """docs, whose last column is the text, with ids (array of int)."""
+def encoded(docs: DataFrame, path: str | None = None, back: bool = False) -> DataFrame:
+    """docs, whose last column is the text, with ids (array of int), and with `back` decoded, the text decoded from them."""
     path = path or vocabulary()
 
     def run(batches):
@@ -229,12 +231,12 @@ def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
             for a, b in blocks(texts):
                 ids = encoder.encode(texts[a:b])
                 offsets = np.concatenate(([0], np.cumsum([len(x) // 4 for x in ids]))).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), "<i4")))
-                part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([*part.columns, lists], names=[*part.schema.names, "ids"])
+                part, lists = batch.slice(a, b - a), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), "<i4")))
+                more = [pa.array(list(map(encoder.decode, ids)), pa.string())] if back else []
+                yield pa.RecordBatch.from_arrays([*part.columns, lists, *more], names=[*part.schema.names, "ids", *(["decoded"] if back else [])])
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{kept}, ids array<int>")
+    return docs.mapInArrow(run, f"{kept}, ids array<int>" + (", decoded string" if back else ""))
 
 
 def decoded(rows: DataFrame, path: str | None = None) -> DataFrame:

@@ -38,6 +38,8 @@ CUE_DOCS, CUE_NOISE = 3, 0.05
 #: A clean document weighs as much against a cue as so many toxic ones for it.
 CUE_PENALTY = 10.0
 CLEAN_SENTENCES = 20_000
+#: Words whose scores a worker keeps.
+KEPT_WORDS = 120_000
 EPOCHS, RATE, DECAY = 40, 0.3, 1e-5
 WORD = re.compile(r"[^ \t\n\r\x0b\x0c]+")
 ENDS = (".", "!", "?", '."', '!"', '?"')
@@ -261,7 +263,7 @@ def train(rows: list[tuple[str, int]]) -> Model:
         moves += RATE * gm / np.sqrt(move_square)
     kept = {x: float(weights[k]) for x, k in names.items() if abs(weights[k]) > 1e-4}
     model = Model(kept, bias, np.exp(np.array([[0.0, moves[0]], [moves[1], moves[2]]])))
-    memo, parts = Memo(lambda tokens: list(map(model.emission, tokens))), []
+    memo, parts = Memo(lambda tokens: list(map(model.emission, tokens)), KEPT_WORDS), []
     texts = toxic + clean
     for i, j in blocks(texts):
         parts.append(model.features(*model.marginals([x.encode("utf-8", "surrogatepass").split() for x in texts[i:j]], memo)))
@@ -300,7 +302,7 @@ def scorer(model, with_spans: bool):
 
     def run(batches):
         net: Model = model.value
-        memo = Memo(lambda tokens: list(map(net.emission, tokens)))
+        memo = Memo(lambda tokens: list(map(net.emission, tokens)), KEPT_WORDS)
         for batch in batches:
             texts = [x or "" for x in batch.column(batch.num_columns - 1).to_pylist()]
             scores, spans = [], []
