@@ -591,3 +591,53 @@ ORACLES["label_identities"] = f"""select 'eparcel' as carrier, label_id, identit
  select 'startrack', label_id, identity from ({SEV}, iv as (select label_id, unnest([article_ids, connote]) as v from tf union all select label_id, unnest([bare, left(bare,12)]) from lin where is_fr
  union all select label_id, unnest([{QF['freightItemNumber']}, {QF['connoteNumber']}]) from qrs union all select label_id, unnest(['00' || s18, s18]) from dec where raw_value <> '' and swant = right(s18,1))
  select distinct label_id, trim(v) as identity from iv where len({KEY('v')}) >= 6)"""
+
+# -- SSCC options and rows, summaries of the whole audit -------------------------------------------------------------
+
+
+def sscc_rows(carrier: str, gate: str = "true") -> str:
+    """Rows of the SSCC option checks over lx (a label's expectation, vids, vext, vser, vs18, ireason, iraw)."""
+    prefix, cat = ("SSCC_EXPECTED", "sscc") if carrier == "eparcel" else ("ST_SSCC_EXPECTED", "startrack-sscc")
+    use = f"{gate} and provided and reason = ''"
+    kept = lambda test: f"array_to_string(list_filter(list_transform(range(1, len(vids) + 1), lambda k: case when {test} then vids[k] end), lambda v: v is not null), ', ')"
+    ext, co = kept("vext[k] = extensionDigit"), kept("starts_with(vser[k], companyPrefix) or starts_with(vs18[k], companyPrefix)")
+    head = lambda ident, sev: f"select label_id, '{prefix}_{ident}' as id, '{sev}' as severity, '{cat}' as category, "
+    return " union all ".join([
+        head("PREFIX_INPUT", "ERROR") + f"'fail' as status, reason as message, '' as expected, coalesce(raw,'') as actual from lx where {gate} and provided and reason <> ''",
+        head("DECODED", "CRITICAL") + f"""case when len(vids) > 0 then 'pass' else 'fail' end, case when len(vids) > 0 then len(vids) || ' valid AI 00 SSCC barcode(s) decoded.'
+ else coalesce(ireason, 'SSCC assessment was selected, but no valid AI 00 SSCC barcode was decoded.') end,
+ case when len(vids) > 0 then '' when companyPrefix <> '' then 'AI 00 SSCC with GS1 Company Prefix ' || companyPrefix else 'AI 00 SSCC' end,
+ case when len(vids) > 0 then array_to_string(vids, ', ') else coalesce(nullif(iraw,''), 'not decoded') end from lx where {use}""",
+        head("EXTENSION_DIGIT", "ERROR") + f"""case when {ext} <> '' then 'pass' else 'fail' end, case when {ext} <> '' then 'Decoded SSCC extension digit matches ' || extensionDigit || '.'
+ else 'No decoded SSCC uses extension digit ' || extensionDigit || '.' end, extensionDigit, case when {ext} <> '' then {ext} else array_to_string(vext, ', ') end
+ from lx where {use} and len(vids) > 0 and extensionDigit <> ''""",
+        head("COMPANY_PREFIX", "ERROR") + f"""case when {co} <> '' then 'pass' else 'fail' end, case when {co} <> '' then 'Decoded SSCC company prefix matches ' || companyPrefix || '.'
+ else 'No decoded SSCC starts with GS1 Company Prefix ' || companyPrefix || '.' end, companyPrefix, case when {co} <> '' then {co} else array_to_string(vs18, ', ') end
+ from lx where {use} and len(vids) > 0 and companyPrefix <> ''""",
+    ])
+
+
+SGOOD, SBAD = "raw_value <> '' and s18 is not null and swant = right(s18,1)", "raw_value <> '' and s18 is not null and swant <> right(s18,1)"
+SREASON = "'SSCC check digit mismatch. Expected ' || swant || ', got ' || right(s18,1) || '.'"
+SLISTS = XS + f""", lists as (select label_id, list('00' || s18 order by scan_seq) filter ({SGOOD}) as vids, list(left(s18,1) order by scan_seq) filter ({SGOOD}) as vext,
+ list(substr(s18,2,16) order by scan_seq) filter ({SGOOD}) as vser, list(s18 order by scan_seq) filter ({SGOOD}) as vs18, min_by({SREASON}, scan_seq) filter ({SBAD}) as ireason,
+ string_agg(raw_value, ', ' order by scan_seq) filter ({SBAD}) as iraw from dec group by 1),
+ lx as (select label_id, label_format, {XCOLS}, coalesce(vids,[]) as vids, coalesce(vext,[]) as vext, coalesce(vser,[]) as vser, coalesce(vs18,[]) as vs18, ireason, iraw from xs left join lists using (label_id))"""
+EP_SSCC = EPD + SLISTS + """, au as (select label_id, cand, min(scan_seq) as s0 from dec where raw_value <> '' and atype = 'sscc' group by 1, 2) """ + sscc_rows("eparcel") + """
+ union all select label_id, 'SSCC_' || (row_number() over (partition by label_id order by s0) - 1), 'INFO', 'sscc', 'pass',
+ 'SSCC detected: ' || cand || '. Embedded product/service/check-digit validation does not apply.', '', cand from au join labels_t using (label_id) where label_format = 'sscc'"""
+ST_SSCC = SEV + SLISTS.replace("lx as (select label_id,", "lx as (select label_id, se.label_format='sscc' or (nv > 0 and nf = 0) as sonly,").replace(
+    "label_format, label_format=", "xs.label_format, xs.label_format=").replace("from xs left join", "from xs join se using (label_id) left join") + " " + sscc_rows("startrack", "sonly") + f"""
+ union all select label_id, 'ST_SSCC_' || (row_number() over (partition by label_id order by scan_seq) - 1), 'INFO', 'startrack-sscc', 'pass', 'Valid AI 00 SSCC detected: 00' || s18 || '.', '', '00' || s18
+ from dec join lx using (label_id) where sonly and {SGOOD}
+ union all select label_id, 'ST_SSCC_INVALID_' || (row_number() over (partition by label_id order by scan_seq) - 1), 'CRITICAL', 'startrack-sscc', 'fail', {SREASON}, swant, right(s18,1) from dec join lx using (label_id) where sonly and {SBAD}
+ union all select label_id, 'ST_SSCC_PRODUCT_RULE', 'INFO', 'startrack-sscc', 'pass',
+ 'SSCC freight labels encode AI 00 SSCC data. StarTrack product may be supplied by QR/routing data, but it is not embedded in the SSCC article identifier.', '', '' from lx where sonly and label_format <> 'sscc'"""
+ORACLES["sscc_checks"] = f"select *, 'eparcel' as carrier from ({EP_SSCC}) union all select *, 'startrack' from ({ST_SSCC})"
+ALL_ROWS = f"""with au as (select label_id, severity, status from ({ORACLES['rules_eparcel']}) union all select label_id, severity, status from ({ORACLES['label_fact_checks']})
+ union all select label_id, severity, status from ({ORACLES['audit_mode_checks']}) where carrier = 'eparcel' union all select label_id, severity, status from ({EP_SSCC})),
+ su as (select label_id, {SUMMARY} from au group by 1), fl as (select l.label_id, batch_id, scan_count from ({ORACLES['eparcel_evidence']}) join ({EP} select * from labels_t) l using (label_id))"""
+ORACLES["audit_flagship"] = ALL_ROWS + " select * from su join fl using (label_id)"
+ORACLES["summarize_batch"] = ALL_ROWS + """ select batch_id, case when bool_or(overall_status='FAIL') then 'FAIL' when bool_or(overall_status='REVIEW') then 'REVIEW' else 'PASS' end as overall_status,
+ count(*) as label_count, cast(sum(scan_count) as bigint) as decoded, cast(sum(total) as bigint) as total, cast(sum(passed) as bigint) as passed, cast(sum(failed) as bigint) as failed,
+ cast(sum(manual_review) as bigint) as manual_review from su join fl using (label_id) group by 1"""
