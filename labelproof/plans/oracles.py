@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from labelproof.functions import refdata as R
 from labelproof.functions.codes import LETTER_DIGITS, LETTERS, QR_FIELDS
+from labelproof.operators.payload import COMPARISONS, FIELD_PATTERNS, IDENTITY_RULES, STOP_WORDS
 from labelproof.operators.reports import PANELS, SECTION_OF
 from labelproof.sources import corpus
 
@@ -641,3 +642,39 @@ ORACLES["audit_flagship"] = ALL_ROWS + " select * from su join fl using (label_i
 ORACLES["summarize_batch"] = ALL_ROWS + """ select batch_id, case when bool_or(overall_status='FAIL') then 'FAIL' when bool_or(overall_status='REVIEW') then 'REVIEW' else 'PASS' end as overall_status,
  count(*) as label_count, cast(sum(scan_count) as bigint) as decoded, cast(sum(total) as bigint) as total, cast(sum(passed) as bigint) as passed, cast(sum(failed) as bigint) as failed,
  cast(sum(manual_review) as bigint) as manual_review from su join fl using (label_id) group by 1"""
+
+# -- payload text: matrices and word coverage ---------------------------------------------------------------------------
+PAY_TAIL = PAY[len(EP):]
+CLOSED = "gate_applied and not coalesce(identity_matches, true)"
+FLAG_TEXT = lambda word, col: f"case when contains(ut, '{word}') then contains(ut, upper(cast({col} as varchar))) else true end"
+ORACLES["service_matrix_payload"] = f"""with m as ({ORACLES['service_matrix']}), g as ({ORACLES['identity_gate']}),
+ pl as ({EP}{PAY_TAIL} select label_id, upper(raw_text) as ut from labels_t join pay using (payload_id))
+ select label_id, service_code, product_code, case when ({CLOSED}) or not selected_cell then 'N/A' when contains(ut, service_code) and contains(ut, product_code)
+ and {FLAG_TEXT('AUTHORITY_TO_LEAVE', 'atl')} and {FLAG_TEXT('ALLOW_PARTIAL_DELIVERY', 'partial')} and {FLAG_TEXT('SAFE_DROP_ENABLED', 'safe_drop')} then 'Match' else 'Does not match' end as payload_match
+ from m join g using (label_id) join pl using (label_id)"""
+ST_GATE = f"""{ST}{PAY_TAIL}, ids as (select label_id, identity from ({ORACLES['label_identities']}) where carrier = 'startrack')
+ select label_id, count(identity) > 0 as gate_applied, bool_or(contains(norm_text, {KEY('identity')})) as identity_matches, any_value(upper(raw_text)) as ut
+ from labels_t join pay using (payload_id) left join ids using (label_id) where provided group by 1"""
+ORACLES["product_matrix_payload"] = f"""with m as ({ORACLES['product_matrix']}), g as ({ST_GATE})
+ select label_id, product_code, case when {CLOSED} then 'N/A' when contains(ut, product_code) or contains(ut, label_code) then 'Match' else 'Does not match' end as payload_match from m join g using (label_id)"""
+WORDS = lambda v: expand(f"list_filter(ordered_distinct(flatten(list_transform({v}, lambda x: regexp_extract_all(upper(x), '([A-Z0-9]{{3,}})', 1)))), lambda x: x not in {inside(STOP_WORDS)} and not regexp_matches(x, '^0+$'))")
+
+
+def covered(carrier: str, side: str, source: str) -> str:
+    """source: label_id, norm_text, vals."""
+    return f"""select '{carrier}' as carrier, '{side}' as side, label_id, case when len(ts) > 0 then len(ms) >= 3 and (len(cs) = 0 or list_has_any(cs, ms)) end as ok,
+ case when len(ts) > 0 then cast(len(ts) as int) end as tokens, case when len(ts) > 0 then array_to_string(ms, '|') end as matches
+ from (select *, list_filter(ts, lambda t: contains(norm_text, t)) as ms, list_filter(ts, lambda t: regexp_matches(t, '^\\d{{4}}$')) as cs from (select label_id, norm_text, {WORDS('vals')} as ts from ({source})))"""
+
+
+EP_BLOCKS = lambda vals: f"{EPT}{PAY_TAIL} select label_id, norm_text, {vals} as vals from tx join pay using (payload_id) where provided"
+SPACED = f"trim({QF['receiverSuburb']} || ' ' || {QF['receiverPostcode']})"
+QLIST = expand(f"ordered_distinct(list_filter([{QF['receiverName1']}, {QF['receiverName2']}, {QF['receiverAddress1']}, {QF['receiverAddress2']}, {SPACED}], lambda x: x <> ''))")
+ST_BLOCKS = lambda vals: (
+    f"{STD}{SLIN}{TXT}{PAY_TAIL}, q1 as (select label_id, min_by({QLIST}, scan_seq) as recv, min_by(case when {QF['receiverPostcode']} <> '' then [{SPACED}] else [] end, scan_seq) as pl from qrs group by 1)"
+    f" select label_id, norm_text, {vals} as vals from tx join pay using (payload_id) left join q1 using (label_id) where provided")
+ORACLES["token_coverage"] = " union all ".join([
+    covered("eparcel", "receiver", EP_BLOCKS("list_concat(to_b, plines)")), covered("eparcel", "sender", EP_BLOCKS("from_b")),
+    covered("startrack", "receiver", ST_BLOCKS("list_concat(case when len(to_b) > 0 then to_b else coalesce(recv,[]) end, case when len(plines) > 0 then plines else coalesce(pl,[]) end)")),
+    covered("startrack", "sender", ST_BLOCKS("from_b")),
+])
