@@ -646,11 +646,12 @@ ORACLES["summarize_batch"] = ALL_ROWS + """ select batch_id, case when bool_or(o
 # -- payload text: matrices and word coverage ---------------------------------------------------------------------------
 PAY_TAIL = PAY[len(EP):]
 CLOSED = "gate_applied and not coalesce(identity_matches, true)"
-FLAG_TEXT = lambda word, col: f"case when contains(ut, '{word}') then contains(ut, upper(cast({col} as varchar))) else true end"
+SERVICE_SAYS = lambda svc, flag: decode(svc, {c: str(v[("authority_to_leave", "allow_partial_delivery", "safe_drop_enabled").index(flag) + 2]).lower() for c, v in R.SERVICES.items()})
+FLAG_TEXT = lambda flag: f"case when contains(ut, '{flag.upper()}') then contains(ut, upper({SERVICE_SAYS('service_code', flag)})) else true end"
 ORACLES["service_matrix_payload"] = f"""with m as ({ORACLES['service_matrix']}), g as ({ORACLES['identity_gate']}),
  pl as ({EP}{PAY_TAIL} select label_id, upper(raw_text) as ut from labels_t join pay using (payload_id))
  select label_id, service_code, product_code, case when ({CLOSED}) or not selected_cell then 'N/A' when contains(ut, service_code) and contains(ut, product_code)
- and {FLAG_TEXT('AUTHORITY_TO_LEAVE', 'atl')} and {FLAG_TEXT('ALLOW_PARTIAL_DELIVERY', 'partial')} and {FLAG_TEXT('SAFE_DROP_ENABLED', 'safe_drop')} then 'Match' else 'Does not match' end as payload_match
+ and {FLAG_TEXT('authority_to_leave')} and {FLAG_TEXT('allow_partial_delivery')} and {FLAG_TEXT('safe_drop_enabled')} then 'Match' else 'Does not match' end as payload_match
  from m join g using (label_id) join pl using (label_id)"""
 ST_GATE = f"""{ST}{PAY_TAIL}, ids as (select label_id, identity from ({ORACLES['label_identities']}) where carrier = 'startrack')
  select label_id, count(identity) > 0 as gate_applied, bool_or(contains(norm_text, {KEY('identity')})) as identity_matches, any_value(upper(raw_text)) as ut
@@ -678,3 +679,27 @@ ORACLES["token_coverage"] = " union all ".join([
     covered("startrack", "receiver", ST_BLOCKS("list_concat(case when len(to_b) > 0 then to_b else coalesce(recv,[]) end, case when len(plines) > 0 then plines else coalesce(pl,[]) end)")),
     covered("startrack", "sender", ST_BLOCKS("from_b")),
 ])
+
+# -- result rows against payloads -----------------------------------------------------------------------------------------
+CHAIN = lambda table, default: "case " + " ".join(f"when regexp_matches(id, '(?i){p}') then '{n}'" for p, n in table) + f" else '{default}' end"
+ANY = lambda vals: (
+    f"case when len(list_filter({vals}, lambda v: trim(coalesce(v,'')) <> '')) > 0 then len(list_filter({vals}, lambda v: len({KEY('v')}) >= 2 and contains(norm_text, {KEY('v')}))) > 0 end")
+AGREES = {n: f"(cast({n} as varchar) = {SERVICE_SAYS('svc', n)})" for n in ("authority_to_leave", "allow_partial_delivery", "safe_drop_enabled")}
+COVER = lambda side: f"select label_id, ok as {side} from ({ORACLES['token_coverage']}) where carrier = 'eparcel' and side = '{side}'"
+ORACLES["compare_results"] = f"""with r as (select label_id, id, {CHAIN(COMPARISONS, 'none')} as kind, {CHAIN(FIELD_PATTERNS, '')} as field, regexp_matches(id, '{IDENTITY_RULES}') as own from ({ORACLES['rules_eparcel']})),
+ pf as ({ORACLES['payload_flags']}), g as ({ORACLES['identity_gate']}), rc as ({COVER('receiver')}), sn as ({COVER('sender')}),
+ lv as ({EPL}{PAY_TAIL}, a2 as (select label_id, list(cand) as cands, list(consid) filter (atype <> 'sscc') as cids, list(product) filter (atype <> 'sscc') as prods, list(service) filter (atype <> 'sscc') as svcs,
+   min_by(service, s0) filter (atype <> 'sscc') as svc from art where {WANTED} group by 1),
+  d2 as (select label_id, list(postcode) as dpc, list(stamp) as stamps from dec where raw_value <> '' and is_dm group by 1)
+  select label_id, payload_id, norm_text, svc, dg, mmdd, list_concat(coalesce(cands,[]), aids) as article, list_concat([cons], coalesce(cids,[])) as consignment, list_concat(coalesce(prods,[]), coalesce(svcs,[])) as product,
+   list_concat(flatten(list_transform(plines, lambda x: regexp_extract_all(x, '\\b(\\d{{4}})\\b', 1))), coalesce(dpc,[])) as postcode, coalesce(stamps,[]) as stamps, ltype,
+   case when wt is not null then [trim(wt), regexp_replace(trim(wt),'\\.0+$',''), regexp_replace(trim(wt),'\\.0+$','') || 'KG', trim(wt) || 'KG'] else [] end as weight
+  from lab join pay using (payload_id) left join a2 using (label_id) left join d2 using (label_id) where provided),
+ o as (select label_id, norm_text, stamps, mmdd, {CLOSED} as closed, {ANY('article')} as article, {ANY('consignment')} as consignment, {ANY('product')} as anyp, {ANY('postcode')} as postcode, {ANY('weight')} as weight,
+  {ANY("[ltype, 'Australia Post']")} as branding, dg = dangerous_goods as dangerous_goods, receiver, sender,
+  case when svc in {inside(R.SERVICES)} and coalesce({', '.join(AGREES.values())}) is not null then {' and '.join(f'coalesce({c}, true)' for c in AGREES.values())} end as flags
+  from lv join g using (label_id) left join pf using (payload_id) left join rc using (label_id) left join sn using (label_id)),
+ j as (select r.*, o.label_id is not null as compared, closed, case kind when 'article' then article when 'consignment' then consignment when 'product' then case when flags is null then anyp else coalesce(anyp,false) and flags end
+  when 'postcode' then postcode when 'weight' then weight when 'dangerous_goods' then dangerous_goods when 'receiver' then receiver when 'sender' then sender when 'branding' then branding
+  when 'date' then {ANY("list_concat(case when id = 'EP-LAY-06' then [case when mmdd is null then '0 entries' else '1 entries' end] else [] end, stamps)")} end as m from r left join o using (label_id))
+ select label_id, id, case when compared then case when closed and not own then 'na' when m then 'match' when not m then 'mismatch' else 'na' end end as payload_status, field as payload_field from j"""
