@@ -703,3 +703,12 @@ ORACLES["compare_results"] = f"""with r as (select label_id, id, {CHAIN(COMPARIS
   when 'postcode' then postcode when 'weight' then weight when 'dangerous_goods' then dangerous_goods when 'receiver' then receiver when 'sender' then sender when 'branding' then branding
   when 'date' then {ANY("list_concat(case when id = 'EP-LAY-06' then [case when mmdd is null then '0 entries' else '1 entries' end] else [] end, stamps)")} end as m from r left join o using (label_id))
  select label_id, id, case when compared then case when closed and not own then 'na' when m then 'match' when not m then 'mismatch' else 'na' end end as payload_status, field as payload_field from j"""
+
+# -- saved evidence and stored tables ---------------------------------------------------------------------------------------
+FRESH = "trim(sscc_company_prefix) as p, trim(sscc_extension_digit) as e"
+ORACLES["reaudit"] = f"""select label_id, id, severity, status from ({ORACLES['rules_eparcel']}) union all select label_id, id, severity, status from ({ORACLES['label_fact_checks']})
+ union all select label_id, id, severity, status from ({ORACLES['audit_mode_checks']}) where carrier = 'eparcel'
+ union all select label_id, id, severity, status from ({EP_SSCC.replace(FRESH, "'9315345' as p, '3' as e")})"""
+ORACLES["reaudit_payloads"] = ORACLES["compare_results"]
+ORACLES["stored_audit"] = ALL_ROWS + " select * from su"
+

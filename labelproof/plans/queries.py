@@ -19,6 +19,7 @@ from labelproof.operators import reports as Q
 from labelproof.operators import rules as RU
 from labelproof.operators import scans as N
 from labelproof.plans import audit as A
+from labelproof.session import shared_path
 from labelproof.sources import corpus
 from labelproof.sources import rules as RS
 from labelproof.sources import tables as T
@@ -629,12 +630,37 @@ def label_header(spark, sf):
 
 @query
 def reaudit(spark, sf):
-    """Fresh SSCC options on existing evidence: only the SSCC option checks change."""
-    ev = evidence(spark, sf)
+    """Evidence that was saved and read again, audited with fresh SSCC options: all its result rows."""
+    path = shared_path(spark, "evidence")
+    T.save_evidence(evidence(spark, sf), path)
+    ev = T.read_evidence(spark, path)
     options = labels(spark, sf).select(
         "label_id", F.lit("9315345").alias("sscc_company_prefix"), F.lit("3").alias("sscc_extension_digit"))
     r = A.reaudit(ev, "eparcel", options=options)
-    return r.filter(F.col("id").startswith("SSCC_EXPECTED")).select("label_id", "id", "status")
+    return r.select("label_id", "id", "severity", "status")
+
+
+@query
+def reaudit_payloads(spark, sf):
+    """Evidence that was saved and read again, compared with payloads that were stored as a table."""
+    ev_path, pay_path = shared_path(spark, "evidence"), shared_path(spark, "payloads")
+    T.save_evidence(evidence(spark, sf), ev_path)
+    T.conform(corpus.payloads(spark, sf), T.PAYLOADS).write.parquet(pay_path)
+    ev, rule_sets = T.read_evidence(spark, ev_path), RS.built_in(spark, "eparcel")
+    results = RU.apply_rules(ev, rule_sets, True)
+    payloads = P.prepare_payloads(T.read_payloads(spark, pay_path))
+    return P.compare_results(results, P.label_values(ev, "eparcel"), payloads, False).select("label_id", "id", "payload_status", "payload_field")
+
+
+@query
+def stored_audit(spark, sf):
+    """Labels and scans from stored tables, audited; the results written by carrier, read again and summed up by label."""
+    label_path, scan_path, out = (shared_path(spark, n) for n in ("labels", "scans", "results"))
+    T.conform(labels(spark, sf), T.LABELS).write.parquet(label_path)
+    T.conform(scans(spark, sf), T.SCANS).write.parquet(scan_path)
+    results = A.audit(T.read_labels(spark, label_path), T.read_scans(spark, scan_path), "eparcel")
+    T.write_results(results.withColumn("carrier", F.lit("eparcel")), out)
+    return Q.summarize_labels(spark.read.parquet(out).where("carrier = 'eparcel'"))
 
 
 # -- batch checks and stream ------------------------------------------------------------------
