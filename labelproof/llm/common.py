@@ -39,12 +39,15 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as spark.checkpoint.dir names it. Only where it is unset (tests, one machine)
-    a private folder is made and set."""
+    """The folder all executors share, as spark.checkpoint.dir names it. Only a session on one machine may leave that unset; it
+    gets a private folder."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current is None:
-        current = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        current = spark.conf.get("spark.checkpoint.dir", None)
+        if current is None and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        current = current or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         sc.setCheckpointDir(current)
         current = sc.getCheckpointDir()
     return current
