@@ -712,3 +712,24 @@ ORACLES["reaudit"] = f"""select label_id, id, severity, status from ({ORACLES['r
 ORACLES["reaudit_payloads"] = ORACLES["compare_results"]
 ORACLES["stored_audit"] = ALL_ROWS + " select * from su"
 
+# -- headlines -----------------------------------------------------------------------------------------------------------------
+PNAMED = PNAME.replace("case product", "case when product is null then null else case product", 1) + " end"
+LOOKED = lambda c: decode(c, {k: v[0] for k, v in R.FREIGHT_PRODUCTS.items()})
+ORACLES["label_header"] = f"""select 'eparcel' as carrier, label_id, coalesce(cand, aids[1], 'Label ' || label_id) as article_number,
+ case when sonly then 'SSCC label' when contains(lower(coalesce(pname,'')), 'express') then 'Express Post' when contains(lower(coalesce(pname,'')), 'parcel') then 'Parcel Post' else coalesce(pname, 'Product not parsed') end as product,
+ case when sonly then '' else coalesce(product,'') end as product_code, case when sonly then 'SSCC label — product code not encoded' else coalesce(pname,'') end as product_name,
+ case when sonly then 'Not applicable' else coalesce(service,'') end as service_code,
+ case when sonly then 'SSCC barcode does not encode eParcel service code' else coalesce({SNAME}, case when service is not null then {q(R.UNKNOWN_SERVICE)} end, '') end as service_name, sonly as sscc_only
+ from ({EPL}, a1 as (select label_id, min_by(cand, s0) as cand, min_by(product, s0) as product, min_by(service, s0) as service from art where {WANTED} group by 1)
+  select lab.label_id, aids, label_format = 'sscc' as sonly, cand, product, service, {PNAMED} as pname from lab left join a1 using (label_id))
+ union all select 'startrack', label_id, coalesce(fid, '00' || s1, nullif(qid,''), nullif(art,''), 'Label ' || label_id),
+ case when s1 is not null and p is null then 'StarTrack SSCC label' else coalesce(name, 'StarTrack product not parsed') end, coalesce(p,''), coalesce(name,''),
+ coalesce(rl, {FLABEL('p')}, label_code, rl, {FLABEL('fp')}, {FLABEL('qp')}, nullif(qp,''), 'not parsed'), coalesce(rform, 'Label code ' || {FLABEL('p')}, ''), sonly
+ from (select *, coalesce({LOOKED('p')}, case when fid is not null then {q(R.UNKNOWN_FREIGHT_PRODUCT)} end, case when qid is not null then {q(R.UNKNOWN_FREIGHT_PRODUCT)} end) as name from (
+  {SEV}, h as (select label_id, min_by(bare, scan_seq) filter (is_fr) as fid, min_by(fproduct, scan_seq) filter (is_fr) as fp, min_by(rlabel, scan_seq) filter (is_rt) as r1,
+   min_by(case when g_label is not null then 'GS1 421 routing barcode for AU Domestic SSCC labels' else 'StarTrack routing barcode SSS9999DD/DDD' end, scan_seq) filter (is_rt) as rform from lin group by 1),
+  qh as (select label_id, min_by({QF['freightItemNumber']}, scan_seq) as qid, min_by({QF['productCode']}, scan_seq) as qp from qrs group by 1),
+  sh as (select label_id, min_by(s18, scan_seq) as s1 from dec where {SGOOD} group by 1)
+  select se.label_id, label_format='sscc' or (nv > 0 and nf = 0) as sonly, fid, fp, r1 as rl, rform, qid, qp, s1, article_ids as art, tf.label_code, nullif(coalesce(fp, qp),'') as p
+  from se left join h using (label_id) left join qh using (label_id) left join sh using (label_id) left join tf using (label_id)))"""
+
