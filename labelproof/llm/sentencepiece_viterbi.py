@@ -38,7 +38,7 @@ UNKNOWN = 10.0
 #: Longer words go through the streaming search.
 WORD_CHARS = 64
 #: Stretches whose ids a worker keeps.
-KEPT_STRETCHES = 200_000
+KEPT_STRETCHES = 400_000
 #: Stretches between boundaries: spaces and what follows them up to the next.
 STRETCH = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+").findall
 

@@ -39,7 +39,7 @@ CUE_DOCS, CUE_NOISE = 3, 0.05
 CUE_PENALTY = 10.0
 CLEAN_SENTENCES = 20_000
 #: Words whose scores a worker keeps.
-KEPT_WORDS = 120_000
+KEPT_WORDS = 300_000
 EPOCHS, RATE, DECAY = 40, 0.3, 1e-5
 WORD = re.compile(r"[^ \t\n\r\x0b\x0c]+")
 ENDS = (".", "!", "?", '."', '!"', '?"')

@@ -80,7 +80,7 @@ def test_run_report_equals_brute_force(spark, docs, real):  # noqa: F811
             if r["doc_id"] is None:
                 continue
             words = planted_words(r["doc_id"], re.findall(r"[^\x20\x09-\x0D]+", known[r["doc_id"]]))
-            runs = brute_runs(words) if len(words) < 1_000 else None
+            runs = brute_runs(words) if len(words) < 400 else None
             if runs is None:
                 continue
             best = min(runs, key=lambda x: (-x[1], x[0], x[2])) if runs else (None, None, None)
@@ -210,6 +210,6 @@ def test_prefix_column_answers_budgets(spark, library):
         assert {r["doc_id"]: r["n"] for r in cut} == {1: max(k for k in range(len(text) + 1) if library(text[:k]) <= limit), 2: 0, 3: 0}
 
 
-@pytest.mark.parametrize("text", ["a" * 200_000, " " * 200_000, "-" * 100_000, "日" * 100_000, "ab" * 100_000])
+@pytest.mark.parametrize("text", ["a" * 40_000, " " * 40_000, "-" * 20_000, "日" * 20_000, "ab" * 20_000])
 def test_one_very_long_piece(text, library):
     assert prefix_counts.counter_of(prefix_counts.vocabulary()).totals([text]) == [library(text)]
