@@ -733,3 +733,119 @@ ORACLES["label_header"] = f"""select 'eparcel' as carrier, label_id, coalesce(ca
   select se.label_id, label_format='sscc' or (nv > 0 and nf = 0) as sonly, fid, fp, r1 as rl, rform, qid, qp, s1, article_ids as art, tf.label_code, nullif(coalesce(fp, qp),'') as p
   from se left join h using (label_id) left join qh using (label_id) left join sh using (label_id) left join tf using (label_id)))"""
 
+
+# -- StarTrack facts completed from decoded symbols ------------------------------------------------------------------------
+NUMERIC = lambda v: f"nullif(regexp_replace(coalesce({v},''),'[^0-9.]','','g'),'')"
+AS_DOUBLE = lambda v: f"case when {NUMERIC(v)} is not null then coalesce(regexp_replace(cast(try_cast({NUMERIC(v)} as double) as varchar),'\\.0$',''), 'NaN') end"
+THOUSANDTHS = lambda v: f"cast(try_cast({NUMERIC(v)} as bigint) / 1000.0 as decimal(30,3))"
+AS_CUBE = lambda v: (
+    f"case when regexp_matches({NUMERIC(v)},'^\\d+$') then case when {THOUSANDTHS(v)} > 0 then regexp_replace(regexp_replace(cast({THOUSANDTHS(v)} as varchar),'0+$',''),'\\.$','') end else {AS_DOUBLE(v)} end")
+KEPT = lambda vals: expand(f"ordered_distinct(list_filter(list_transform({vals}, lambda x: trim(coalesce(x,''))), lambda x: x <> ''))")
+QCOLS = ", ".join(f"{e} as {n}" for n, e in QF.items())
+PLACE = lambda by: f"row_number() over (partition by label_id order by scan_seq) - 1 as i, count(*) over (partition by label_id) as n from {by}"
+SENR = SEV + TXT + f""", qi as (select label_id, {QCOLS}, {PLACE('qrs')}), q1 as (select * from qi where i = 0),
+ fi as (select label_id, bare, fproduct, bar_count, {PLACE('lin where is_fr')}),
+ ri as (select label_id, raw_value, rlabel, g_label, case when g_label is not null then g_code else p_code end as postcode, case when g_label is not null then '' else p_depot end as depot, {PLACE('lin where is_rt')}),
+ ai as (select label_id, bare, {PLACE('lin where is_atl')}),
+ vs as (select label_id, list('00' || s18 order by scan_seq) filter ({SGOOD}) as vids, count_if({SBAD}) as ninv from dec group by 1),
+ fl as (select label_id, list(left(bare,12)) as fcons, list(bare) as fids from fi group by 1),
+ en as (select se.*, tx.j, tx.ls, tx.from_b, coalesce(ninv,0) as ninv, coalesce(fcons,[]) as fcons, coalesce(fids,[]) as fids,
+  coalesce(label_code, r1.rlabel, {FLABEL('f1.fproduct')}, {FLABEL('q1.productCode')}, nullif(q1.productCode,'')) as lcode,
+  connote, {KEPT("[connote, connote, left(f1.bare,12), connoteNumber]")} as cids,
+  {KEPT("list_concat([article_ids, f1.bare, freightItemNumber], coalesce(vids,[]))")} as arts,
+  coalesce(weight, {AS_DOUBLE('consignmentWeight')}) as wt, coalesce(cube, {AS_CUBE('consignmentCube')}) as cube, coalesce(unit, nullif(unitType,'')) as unit,
+  case when len(to_b) > 0 then to_b else {KEPT("[receiverName1, receiverName2, receiverAddress1, receiverAddress2, trim(receiverSuburb || ' ' || receiverPostcode)]")} end as to_b,
+  case when len(plines) > 0 then plines when receiverPostcode <> '' then [trim(receiverSuburb || ' ' || receiverPostcode)] else [] end as plines,
+  case when se.label_format='sscc' then 'sscc' when list_has_any(codes, ['FPP','FPA']) then 'fpp' when list_has_any(codes, ['PRM','APT','ARL']) then 'premium'
+   when list_has_any(codes, ['EXP','TSE','RET','RE2']) then 'express' else 'base' end as variant
+  from se join tx using (label_id) join tf using (label_id) left join q1 using (label_id) left join (select * from fi where i = 0) f1 using (label_id)
+   left join (select * from ri where i = 0) r1 using (label_id) left join vs using (label_id) left join fl using (label_id))"""
+ORACLES["enriched_facts"] = SENR + f""" select label_id, lcode as label_code, coalesce(connote, cids[1]) as connote, {J('arts')} as article_ids, {J('cids')} as consignment_ids, wt as weight, cube, unit,
+ {J('to_b')} as to_block, {J('plines')} as postcode_lines, nq + nf + nr + nv > 0 as decoded_used from en"""
+
+# -- StarTrack rules: one CASE per rule --------------------------------------------------------------------------------------
+ST_RULES: list[str] = []
+PRODUCT_CODES = inside([f[0] for f in FREIGHT])
+HEADER_CODES = inside(["TSE", "RET", "RE2", "APT", "PRM", "ARL", "EXP"])
+ITEM, CONNOTE = r"^[A-Z0-9]{4}\d{8}[A-Z0-9]{3}\d{5}$", r"^[A-Z0-9]{4}\d{8}$"
+NOT_SSCC, BACK = "variant <> 'sscc'", "movementTypeIndicator in ('C','T')"
+SROW = {"l": "en", "q": "qi join en using (label_id)", "f": "fi join en using (label_id)", "r": "ri join en using (label_id)", "a": "ai join en using (label_id)"}
+
+
+def st(src, rid, sev, cat, status, where="true"):
+    ident = f"'{rid}'" if src == "l" else f"'{rid}' || case when n > 1 then '_' || i else '' end"
+    ST_RULES.append(f"select label_id, {ident} as id, '{rid}' as rule_id, '{sev}' as severity, 'startrack-{cat}' as category, {status} as status from {SROW[src]} where {where}")
+
+
+def must(value, cond, fail="fail", gone=None):
+    return f"case when coalesce(trim({value}),'') = '' then '{gone or fail}' when {cond} then 'pass' else '{fail}' end"
+
+
+def shaped(value, pattern, fail="fail", gone=None):
+    return must(value, f"regexp_matches({value},'{pattern}')", fail, gone)
+
+
+ST_SIZE = " or ".join(f"(abs(width_mm-{a})<=8 and abs(height_mm-{b})<=8)" for a, b in ((100, 150), (150, 100), (100, 200), (200, 100)))
+SROW["p"] = "(select en.*, width_mm, height_mm, {0} as raster, {1} as dpi from en join labels_t using (label_id))".format(PAGE, DPI)
+ST_RULES.append(f"select label_id, 'ST-LAY-01' as id, 'ST-LAY-01' as rule_id, 'WARNING' as severity, 'startrack-label-layout' as category, case when coalesce(width_mm,0)=0 or coalesce(height_mm,0)=0 then 'manual_review' when {ST_SIZE} then 'pass' else 'warning' end as status from {SROW['p']}")
+ST_RULES.append(f"select label_id, 'ST-IMG-01', 'ST-IMG-01', 'WARNING', 'startrack-label-layout', {pf('dpi between 200 and 100000', 'warning')} from {SROW['p']} where raster")
+st("l", "ST-HDR-01", "WARNING", "text", pf(r"len(list_filter(ls, lambda x: regexp_matches(x,'(?i)STAR\s*TRACK'))) > 0", "manual_review"))
+st("l", "ST-HDR-02", "WARNING", "text", must("lcode", f"lcode in {HEADER_CODES}", "manual_review"))
+st("l", "ST-HDR-04", "WARNING", "text", pf("len(cids) > 0", "manual_review"))
+st("q", "ST-HDR-06", "ERROR", "text", pf(r"regexp_matches(j,'(?i)\*\s*(RETURN|TRANSFER)\s*\*')", "manual_review"), BACK)
+st("l", "ST-RCV-01", "ERROR", "text", pf("len(to_b) + len(plines) > 0", "manual_review"))
+st("l", "ST-SND-01", "WARNING", "text", pf("len(from_b) > 0", "manual_review"))
+st("l", "ST-ITM-04", "WARNING", "text", pf("coalesce(trim(wt),'') <> ''", "manual_review"))
+st("l", "ST-ITM-05", "WARNING", "text", pf("coalesce(trim(cube),'') <> ''", "manual_review"))
+st("l", "ST-QR-01", "CRITICAL", "qr", pf("nq > 0"))
+st("q", "ST-QR-03", "ERROR", "qr", pf(" and ".join(f"{c} <> ''" for c in (
+    "receiverSuburb", "receiverPostcode", "connoteNumber", "freightItemNumber", "productCode", "consignmentQuantity", "consignmentWeight", "despatchDate", "receiverName1",
+    "unitType", "destinationDepot", "receiverAddress1", "dangerousGoodsIndicator", "movementTypeIndicator"))))
+st("q", "ST-QR-F02", "ERROR", "qr", shaped("receiverPostcode", r"^\d{4}$"))
+st("q", "ST-QR-F03", "ERROR", "qr", shaped("connoteNumber", CONNOTE))
+st("q", "ST-QR-F04", "ERROR", "qr", shaped("freightItemNumber", ITEM), NOT_SSCC)
+st("q", "ST-QR-F05", "ERROR", "qr", must("productCode", f"productCode in {PRODUCT_CODES}"))
+st("q", "ST-QR-F09", "ERROR", "qr", shaped("consignmentWeight", r"^\d+(\.\d+)?$"))
+st("q", "ST-QR-F11", "ERROR", "qr", must("despatchDate", r"regexp_matches(despatchDate,'^\d{8}$') and coalesce(try_cast(substr(despatchDate,5,2) as int) between 1 and 12 and try_cast(substr(despatchDate,7,2) as int) between 1 and 31, false)"))
+st("q", "ST-QR-F14", "ERROR", "qr", pf(" or ".join(f"(unitType={q(u)} and (productCode = '' or productCode in {inside(ps)}))" for u, ps in R.UNIT_PRODUCTS.items()), "manual_review"))
+st("q", "ST-QR-F19", "ERROR", "qr", must("dangerousGoodsIndicator", "dangerousGoodsIndicator in ('Y','N')"))
+st("q", "ST-QR-F20", "ERROR", "qr", must("movementTypeIndicator", "movementTypeIndicator in ('N','C','T')"))
+DIGITS_OF = lambda v: f"coalesce(try_cast(regexp_replace({v},'\\D','','g') as hugeint), 0)"
+st("q", "ST-QR-F21", "ERROR", "qr", pf(f"{DIGITS_OF('notBeforeDate')} <= {DIGITS_OF('notAfterDate')}"), "notBeforeDate <> '' and notAfterDate <> ''")
+st("q", "ST-QR-F23", "ERROR", "qr", pf(r"regexp_matches(atlNumber,'^C\d{9}$')"), "atlNumber <> ''")
+st("q", "ST-QR-F24", "ERROR", "qr", pf("raNumber <> ''"), BACK)
+st("l", "ST-FRT-01", "CRITICAL", "freight", pf("nf > 0"), NOT_SSCC)
+st("f", "ST-FRT-02A", "ERROR", "freight", pf("regexp_matches(left(bare,4),'^[A-Z0-9]{4}$')"), NOT_SSCC)
+st("f", "ST-FRT-02B", "ERROR", "freight", pf(r"regexp_matches(substr(bare,5,8),'^\d{8}$')"), NOT_SSCC)
+st("f", "ST-FRT-02C", "ERROR", "freight", pf(r"regexp_matches(substr(bare,16,5),'^\d{5}$')"), NOT_SSCC)
+st("f", "ST-FRT-03", "ERROR", "freight", pf(f"fproduct in {PRODUCT_CODES}"), NOT_SSCC)
+st("f", "ST-PRD-01", "ERROR", "product", pf(f"case variant when 'express' then fproduct in ('EXP','TSE','RET','RE2') when 'premium' then fproduct in ('PRM','APT','ARL') when 'fpp' then fproduct in ('FPP','FPA') else fproduct in {PRODUCT_CODES} end"), NOT_SSCC)
+st("f", "ST-FRT-04", "ERROR", "freight", pf(f"regexp_matches(bare,'{ITEM}')"), NOT_SSCC)
+st("f", "ST-FRT-08", "ERROR", "freight", pf("list_contains(list_transform(cids, lambda x: upper(replace(x,' ',''))), left(bare,12))", "manual_review"), f"{NOT_SSCC} and len(cids) > 0")
+st("f", "ST-FRT-09", "WARNING", "freight", pf("coalesce(bar_count,0) = 61", "warning"), NOT_SSCC)
+st("l", "ST-RTE-01", "CRITICAL", "routing", pf("nr > 0"))
+st("r", "ST-RTE-02A", "ERROR", "routing", must("rlabel", f"rlabel in {HEADER_CODES}"))
+st("r", "ST-RTE-02B", "ERROR", "routing", shaped("postcode", r"^\d{4}$"))
+st("r", "ST-RTE-03", "ERROR", "routing", pf(f"coalesce(rlabel = {FLABEL('product')}, {FLABEL('product')} is null)"))
+st("r", "ST-RTE-04", "ERROR", "routing", must("postcode", "list_contains(string_split(qr_postcodes,'|'), postcode)"), "qr_postcodes <> ''")
+st("r", "ST-RTE-09", "ERROR", "routing", pf(r"regexp_matches(upper(replace(raw_value,' ','')),'^[A-Z0-9]{3}\d{4}[A-Z0-9]{2,3}$')"), "g_label is null")
+st("a", "ST-ATL-01", "ERROR", "atl", pf("cast(substr(bare,2) as bigint) between 1 and 999999999"))
+st("l", "ST-ATL-02", "WARNING", "atl", pf("na > 0", "manual_review"), "atl_text or len(atls) > 0")
+st("a", "ST-ATL-05", "ERROR", "atl", pf("list_contains(atls, bare)", "manual_review"), "len(atls) > 0")
+st("a", "ST-ATL-06", "ERROR", "atl", pf(r"regexp_matches(bare,'^C\d{9}$')"))
+st("q", "ST-X-01", "ERROR", "qr", must("connoteNumber", "list_contains(fcons, connoteNumber)"), f"{NOT_SSCC} and len(fcons) > 0")
+st("q", "ST-X-02", "ERROR", "qr", must("freightItemNumber", "list_contains(fids, freightItemNumber)"), f"{NOT_SSCC} and len(fids) > 0")
+st("r", "ST-LOC-02", "INFO", "routing", shaped("depot", "^[A-Z0-9]{2,3}$", "manual_review"), "variant = 'express'")
+st("r", "ST-LOC-01", "INFO", "routing", shaped("depot", "^[A-Z0-9]{2,3}$", "manual_review"), "variant = 'premium'")
+st("q", "ST-FPP-01", "ERROR", "qr", shaped("consignmentQuantity", r"^\s*1\s*$"), "variant = 'fpp'")
+st("q", "ST-FPP-02", "ERROR", "product", pf("unitType not in ('PAL','SKI')"), "variant = 'fpp' and unitType <> ''")
+st("l", "ST-SSC-01", "CRITICAL", "sscc", pf("nv > 0"), "variant = 'sscc'")
+st("l", "ST-SSC-02", "CRITICAL", "sscc", pf("ninv = 0"), "variant = 'sscc'")
+st("q", "ST-SSC-06", "ERROR", "sscc", pf("movementTypeIndicator = 'N'"), "variant = 'sscc' and movementTypeIndicator <> ''")
+st("l", "ST-SSC-07", "INFO", "sscc", "'pass'", "variant = 'sscc'")
+ORACLES["rules_startrack"] = SENR + ", res as (" + " union all ".join(ST_RULES) + ") select * from res"
+ST_PANEL = decode(decode("category", SECTION_OF, "category"), PANELS["startrack"], "'other'")
+ORACLES["section_tones_startrack"] = f"""with r as (select label_id, status, {ST_PANEL} as panel from ({ORACLES['rules_startrack']})),
+ w as (select * from r union all select label_id, status, 'linear' from r where panel in ('routing','atl','freight'))
+ select label_id, panel, count(*) as rows, case when bool_or(status='fail') then 'fail' when bool_or(status in ('warning','manual_review')) then 'review' when bool_or(status='pass') then 'pass' else 'neutral' end as tone
+ from w group by 1, 2"""
