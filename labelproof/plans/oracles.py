@@ -849,3 +849,31 @@ ORACLES["section_tones_startrack"] = f"""with r as (select label_id, status, {ST
  w as (select * from r union all select label_id, status, 'linear' from r where panel in ('routing','atl','freight'))
  select label_id, panel, count(*) as rows, case when bool_or(status='fail') then 'fail' when bool_or(status in ('warning','manual_review')) then 'review' when bool_or(status='pass') then 'pass' else 'neutral' end as tone
  from w group by 1, 2"""
+
+# -- house rules, uploads and totals of a stream -----------------------------------------------------------------------------
+HOUSE_SET = "case variant when 'parcel-post' then 'house-parcel' when 'express-post' then 'house-express' when 'returns' then 'house-returns' when 'sscc' then 'house-sscc' else 'house-base' end as rule_set"
+
+
+def house(src, ident, sev, status, message, expected, actual, where="true"):
+    name = f"'{ident}'" if src == "lab" else f"'{ident}' || case when n > 1 then '_' || i else '' end"
+    return f"select label_id, {name} as id, {HOUSE_SET}, {sev} as severity, {status} as status, {message} as message, {expected} as expected, {actual} as actual from {src} where {where}"
+
+
+RECEIVER = LASTL("to_b")
+SVC_WANT = "case when service in ('06','49') or not starts_with(service,'0') then 'one of 06, 49' else 'matches ^0' end"
+ORACLES["house_rules"] = EPR + " " + " union all ".join([
+    house("lab", "HS-01", "'INFO'", pf("ltype is null"), "case when ltype is null then 'No label type is printed.' else 'Label type ' || ltype || ' is printed.' end", "'value absent'", "coalesce(ltype,'absent')"),
+    house("arts", "HS-02", "'CRITICAL'", pf("digit=want"), "case when digit=want then 'Check digit requirement met.' else 'Digit ' || digit || ' is wrong (item.expectedCheckDigit = ' || want || ').' end", "'item.expectedCheckDigit = ' || want", "digit", A_OK),
+    house("arts", "HS-03", "'WARNING'", pf("length(cand)=21", "warning"), "case when length(cand)=21 then 'Article length requirement met.' else 'Article length requirement not met.' end", "'length 21'", "'length ' || length(cand) || ' (' || cand || ')'", f"{A_OK} and variant <> 'returns'"),
+    house("lab", "HS-04", "'WARNING'", f"case when trim({RECEIVER})='' then 'manual_review' when {RECEIVER}=upper({RECEIVER}) then 'pass' else 'fail' end",
+          f"case when trim({RECEIVER})='' then 'There is no receiver line.' when {RECEIVER}=upper({RECEIVER}) then 'Capital letters requirement met.' else 'Capital letters requirement not met.' end",
+          f"case when trim({RECEIVER})='' then 'value present' else 'fully capitalised' end", f"case when trim({RECEIVER})='' then 'missing' else {RECEIVER} end"),
+    house("arts", "HS-05", "case when variant='express-post' then 'WARNING' else 'ERROR' end", pf("service in ('06','49') or starts_with(service,'0')"),
+          f"'Service ' || service || case when service in ('06','49') or starts_with(service,'0') then ' is ' else ' is not ' end || {SVC_WANT} || '.'", SVC_WANT, "service", A_OK),
+    house("lab", "HS-06", "'WARNING'", "case when not raster then 'not_applicable' when dpi >= 300 then 'pass' else 'warning' end",
+          "case when not raster then 'Print resolution does not apply to this label.' when dpi >= 300 then 'Print resolution requirement met.' else 'Print resolution requirement not met.' end",
+          "case when raster then 'number between 300 and -' else '' end", "case when raster then cast(dpi as varchar) else '' end"),
+    house("arts", "HS-07", "'ERROR'", pf("left(cand,3) in ('JDQ','ABC')", "manual_review"), "case when left(cand,3) in ('JDQ','ABC') then 'Known merchant requirement met.' else 'Article ' || cand || ' has another merchant.' end", "''", "cand", A_OK),
+])
+ORACLES["stream_totals"] = ORACLES["stream_audit"]
+ORACLES["audit_uploads"] = f"select f.* from ({ORACLES['audit_flagship']}) f join ({ORACLES['admit_labels']}) a using (label_id) where a.reject_reason is null"

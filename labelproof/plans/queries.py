@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -391,6 +392,60 @@ def rule_details(spark, sf):
         "label_id", "id", "title", "status", "message", "expected", "actual", "input_path")
 
 
+@RU.register_check("merchantIn")
+def merchant_in(value, scope, args):
+    """A check of a user's own: the first three characters are one of ``merchants``."""
+    return F.left(value.col, F.lit(3)).isin(*args["merchants"])
+
+
+# A house rule set, as rule documents: each operator the carriers' own sets leave unused, a skipped rule that is reported,
+# a check of the user's own, and variants that switch a rule off or change it.
+HOUSE = {
+    "base": {
+        "id": "house-base", "carrier": "eparcel", "name": "House rules", "constants": {"lengths": [21]},
+        "rules": [
+            {"id": "HS-01", "title": "No label type", "severity": "INFO", "category": "label-layout", "input": "text.labelType",
+             "assert": {"op": "absent"}, "messages": {"pass": "No label type is printed.", "fail": "Label type {actual} is printed."}},
+            {"id": "HS-02", "title": "Check digit", "severity": "CRITICAL", "category": "check-digit", "forEach": "articles",
+             "itemWhen": {"path": "item.type", "op": "equals", "value": "eparcel-standard"}, "input": "item.checkDigit",
+             "assert": {"op": "equalsPath", "path": "item.expectedCheckDigit"},
+             "messages": {"fail": "Digit {actual} is wrong ({expected})."}},
+            {"id": "HS-03", "title": "Article length", "severity": "WARNING", "category": "barcode-structure", "forEach": "articles",
+             "itemWhen": {"path": "item.type", "op": "equals", "value": "eparcel-standard"}, "input": "item.articleId",
+             "assert": {"op": "lengthIn", "value": "$constants.lengths"}, "failStatus": "warning"},
+            {"id": "HS-04", "title": "Capital letters", "severity": "WARNING", "category": "address-format", "input": "text.toLastLine",
+             "assert": {"op": "uppercase"}, "onMissing": "manual_review", "messages": {"missing": "There is no receiver line."}},
+            {"id": "HS-05", "title": "Service group", "severity": "ERROR", "category": "service-code", "forEach": "articles",
+             "itemWhen": {"path": "item.type", "op": "equals", "value": "eparcel-standard"}, "input": "item.serviceCode",
+             "assert": {"any": [{"op": "in", "value": ["06", "49"]}, {"op": "matches", "value": "^0"}]},
+             "messages": {"pass": "Service {actual} is {expected}.", "fail": "Service {actual} is not {expected}."}},
+            {"id": "HS-06", "title": "Print resolution", "severity": "WARNING", "category": "label-layout", "input": "page.estimatedDpi",
+             "when": {"path": "page.isRasterImage", "op": "equals", "value": True}, "reportWhenSkipped": True,
+             "assert": {"op": "range", "min": 300}, "failStatus": "warning"},
+            {"id": "HS-07", "title": "Known merchant", "severity": "ERROR", "category": "barcode-structure", "forEach": "articles",
+             "itemWhen": {"path": "item.type", "op": "equals", "value": "eparcel-standard"}, "input": "item.articleId",
+             "assert": {"op": "fn", "name": "merchantIn", "args": {"merchants": ["JDQ", "ABC"]}}, "failStatus": "manual_review",
+             "messages": {"fail": "Article {value} has another merchant."}},
+        ],
+    },
+    "parcel-post": {"id": "house-parcel", "carrier": "eparcel", "extends": "house-base", "rules": []},
+    "express-post": {"id": "house-express", "carrier": "eparcel", "extends": "house-base", "rules": [{"id": "HS-05", "severity": "WARNING"}]},
+    "returns": {"id": "house-returns", "carrier": "eparcel", "extends": "house-base", "rules": [{"id": "HS-03", "disabled": True}]},
+    "sscc": {"id": "house-sscc", "carrier": "eparcel", "extends": "house-base", "rules": []},
+}
+
+
+@query
+def house_rules(spark, sf):
+    """Rule documents stored as a table, merged by the loader and applied to every label, with all texts."""
+    path = shared_path(spark, "rules")
+    docs = [("eparcel", v, json.dumps(d)) for v, d in HOUSE.items()]
+    spark.createDataFrame(docs, "carrier string, variant string, doc string").write.parquet(path)
+    sets = RS.rule_sets(RS.load_rules(spark, documents=spark.read.parquet(path)), "eparcel")
+    return RU.apply_rules(evidence(spark, sf), sets, True).select(
+        "label_id", "id", "rule_set", "severity", "status", "message", "expected", "actual")
+
+
 def _articles(spark, sf):
     """(label_id, article) of standard articles, one row per distinct article."""
     return N.distinct_articles(N.decode_article_scans(scans(spark, sf))).filter("article.type = 'eparcel-standard'")
@@ -726,6 +781,28 @@ def stream_audit(spark, sf):
     return SA.stream_audit(event_scans(spark.read.parquet(f"{sf}/events.parquet")))
 
 
+@query
+def stream_totals(spark, sf):
+    """The event table read as a stream; totals are kept by batch in the shared folder and read back."""
+    path, folder, checkpoint = f"{sf}/events.parquet", shared_path(spark, "totals"), shared_path(spark, "stream")
+    # the name as a pattern: a file source takes a pattern where the table may be one file or a folder of files
+    events = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{sf}/events.parque[t]")
+    # event time without a zone is taken as UTC
+    scans_in = event_scans(events).withColumn("ts", F.expr("cast(convert_timezone('UTC', current_timezone(), ts) as timestamp)"))
+    # a table of history is in no order of time: the delay spans it, so that no row counts as late
+    SA.keep_totals(scans_in, folder, checkpoint, delay="3650 days").awaitTermination()
+    start = F.expr("convert_timezone(current_timezone(), 'UTC', cast(window_start as timestamp_ntz))")
+    return SA.read_totals(spark, folder).withColumn("window_start", start)
+
+
+@query
+def audit_uploads(spark, sf):
+    """Audit of uploads as they come: every symbol is read from two crops, and labels that are not admitted drop out."""
+    once = scans(spark, sf)
+    again = once.withColumn("scan_seq", F.col("scan_seq") + 1000)
+    return A.summaries(*A.prepared(labels(spark, sf), once.unionByName(again), admission.MAX_FILES_PER_BATCH), "eparcel")
+
+
 @query
 def audit_flagship(spark, sf):
     """Whole audit of every eParcel label: worst status and counts per label."""

@@ -37,9 +37,12 @@ def rule_documents(spark: SparkSession, path: str | None = None) -> DataFrame:
     )
 
 
-def load_rules(spark: SparkSession, path: str | None = None) -> DataFrame:
-    """The flat, merged rule table: one row per (carrier, variant, rule), in evaluation order."""
-    docs = rule_documents(spark, path).select("carrier", "variant", F.parse_json("doc").alias("v"))
+def load_rules(spark: SparkSession, path: str | None = None, documents: DataFrame | None = None) -> DataFrame:
+    """The flat, merged rule table: one row per (carrier, variant, rule), in evaluation order.
+
+    Documents come from a directory, from a table (carrier, variant, doc) or, without either, from the catalogue."""
+    docs = rule_documents(spark, path) if documents is None else documents
+    docs = docs.select("carrier", "variant", F.parse_json("doc").alias("v"))
     sets = docs.selectExpr(
         "carrier", "variant", "try_variant_get(v, '$.id', 'string') as rule_set",
         "try_variant_get(v, '$.name', 'string') as rule_set_name",
