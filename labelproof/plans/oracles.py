@@ -877,3 +877,7 @@ ORACLES["house_rules"] = EPR + " " + " union all ".join([
 ])
 ORACLES["stream_totals"] = ORACLES["stream_audit"]
 ORACLES["audit_uploads"] = f"select f.* from ({ORACLES['audit_flagship']}) f join ({ORACLES['admit_labels']}) a using (label_id) where a.reject_reason is null"
+SOME_FRESH = "case when label_id % 3 = 0 then '9315345' else trim(sscc_company_prefix) end as p, case when label_id % 3 = 0 then '3' else trim(sscc_extension_digit) end as e"
+EXPECTED = lambda options: f"{EP}{XS.replace(FRESH, options)}, y as (select label_id, {XCOLS} from xs) select label_id, cast(row(provided, raw, extensionDigit, companyPrefix, reason) as varchar) as said from y"
+ORACLES["reaudit_changed"] = f"""with v as (select label_id, case when a.said <> b.said then 2 else 1 end as audited_in from ({EXPECTED(FRESH)}) a join ({EXPECTED(SOME_FRESH)}) b using (label_id))
+ select r.*, audited_in from ({ORACLES['reaudit'].replace("'9315345' as p, '3' as e", SOME_FRESH)}) r join v using (label_id)"""

@@ -24,6 +24,7 @@ from labelproof.session import shared_path
 from labelproof.sources import corpus
 from labelproof.sources import rules as RS
 from labelproof.sources import tables as T
+from labelproof.sources import versions as VS
 from labelproof.streaming import stream_audit as SA
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -695,6 +696,19 @@ def reaudit(spark, sf):
     return r.select("label_id", "id", "severity", "status")
 
 
+@query
+def reaudit_changed(spark, sf):
+    """Stored results brought up to new SSCC options of a third of the labels: the rest keep their rows of the first version."""
+    path, folder = shared_path(spark, "evidence"), shared_path(spark, "versions")
+    T.save_evidence(evidence(spark, sf), path)
+    ev = T.read_evidence(spark, path)
+    A.refresh(ev, "eparcel", folder, "first audit")
+    options = labels(spark, sf).filter("label_id % 3 = 0").select(
+        "label_id", F.lit("9315345").alias("sscc_company_prefix"), F.lit("3").alias("sscc_extension_digit"))
+    A.refresh(A.with_options(ev, options), "eparcel", folder, "new options")
+    return VS.read(spark, folder, "results").select("label_id", "id", "severity", "status", "audited_in")
+
+
 @query
 def reaudit_payloads(spark, sf):
     """Evidence that was saved and read again, compared with payloads that were stored as a table."""

@@ -5,9 +5,12 @@ import datetime as dt
 from pyspark.sql import functions as F
 from test_end_to_end import LINEAR, label_row
 
+from labelproof.operators import evidence as E
 from labelproof.operators import rules as RU
 from labelproof.plans import audit as A
+from labelproof.sources import rules as RS
 from labelproof.sources import tables as T
+from labelproof.sources import versions as VS
 from labelproof.streaming import stream_audit as SA
 
 SCANS = "label_id bigint, scan_seq int, raw_value string, format string, ts timestamp"
@@ -77,3 +80,35 @@ def test_user_check_equals_its_column_twin(spark):
     assert [r["ok"] for r in rows] == [r["twin"] for r in rows] == [True, False, False]
     unknown = RU.evaluate({"op": "fn", "name": "noSuchCheck"}, RU.Value(F.col("v"), df.schema["v"].dataType), RU.Scope(df.schema))
     assert df.select(unknown.message).first()[0] == "Rule function noSuchCheck is not registered."
+
+
+def test_versions_are_published_once_and_whole(spark, tmp_path):
+    folder = str(tmp_path / "v")
+    assert VS.published(spark, folder) == {} and VS.manifest(spark, folder).count() == 0
+    assert VS.publish(spark, folder, "a", {"t": spark.range(5)}) == 1
+    assert VS.publish(spark, folder, "a", {"t": spark.range(9)}) == 1  # the same key again
+    assert VS.read(spark, folder, "t").count() == 5
+    spark.range(3).write.parquet(f"{folder}/cut-off/t")  # a write without a manifest row is not seen
+    assert VS.publish(spark, folder, "b", {"t": spark.range(7), "u": spark.range(0)}) == 2
+    assert VS.published(spark, folder)["t"][1] == 7 and VS.published(spark, folder)["u"][1] == 0
+    assert VS.read(spark, folder, "t", 1).count() == 5
+
+
+def test_refresh_audits_only_what_changed(spark, tmp_path):
+    path, folder = str(tmp_path / "ev"), str(tmp_path / "v")
+    labels = spark.createDataFrame([label_row(i, "eparcel") for i in (1, 2, 3)], T.LABELS)
+    scans = spark.createDataFrame([(i, 0, LINEAR, "code_128", "linear") for i in (1, 2, 3)],
+                                  "label_id bigint, scan_seq int, raw_value string, format string, kind string")
+    T.save_evidence(E.evidence(labels, scans, "eparcel"), path)
+    ev = T.read_evidence(spark, path)
+    versions = lambda: {(r["label_id"], r["audited_in"]) for r in VS.read(spark, folder, "results").collect()}
+    assert A.refresh(ev, "eparcel", folder, "1") == 1 and versions() == {(1, 1), (2, 1), (3, 1)}
+    options = spark.createDataFrame([(2, "9315345", "3")], "label_id bigint, sscc_company_prefix string, sscc_extension_digit string")
+    changed = A.with_options(ev.filter("label_id < 3"), options)
+    assert A.refresh(changed, "eparcel", folder, "2") == 2 and versions() == {(1, 1), (2, 2)}
+    assert A.refresh(ev, "eparcel", folder, "2") == 2 and versions() == {(1, 1), (2, 2)}  # the same key
+    sets = RS.built_in(spark, "eparcel")
+    sets = {v: {**rs, "rules": rs["rules"][1:]} for v, rs in sets.items()}
+    assert A.refresh(changed, "eparcel", folder, "3", sets) == 3 and versions() == {(1, 3), (2, 3)}
+    want = {tuple(r) for r in A.results_of(changed, "eparcel", sets).collect()}
+    assert {tuple(r) for r in VS.read(spark, folder, "results").drop("audited_in").collect()} == want
