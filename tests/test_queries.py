@@ -9,6 +9,7 @@ SF = "/root/testdata/sf0.001"
 NAMES = [
     "admit_labels", "label_lines", "unit_permitted", "item_sequence", "route_product_match", "flatten_payloads", "payload_flags",
     "startrack_evidence", "detect_mode_and_variant", "lines_from_items", "sscc_checks", "service_matrix_payload", "identity_gate", "stored_audit",
+    "enriched_facts", "rules_startrack", "house_rules", "stream_totals",
 ]
 
 
