@@ -13,11 +13,16 @@ Equal fingerprints are one node, so copies cost one row. A list longer than LIST
 pair of blocks in a group of its own: none is dropped and no task gets more than two blocks. A task emits a spanning
 forest of the links it finds, never all pairs. Components are found by rounds over written tables.
 
-Near copies by Jaccard similarity (one_of_each) can't be found within a few bits of a fingerprint: at 0.8, fingerprints of
-shingles differ in 10 of 64 bits on average. They are searched by a prefix filter instead (Chaudhuri et al., 2006): with
-shingles in one order, rare ones first, two documents of similarity t share one of the first n - ceil(t n) + 1 of each. Pairs
-that share one and whose short SimHashes are not far too apart are candidates; all pairs within a group of candidates are
-then decided by their shingles. The order only moves work: shingles are ranked by how many fall into their bucket.
+Near copies by Jaccard similarity (one_of_each) are the pairs the search finds within NEAR bits, if their shingles bear it
+out. At 0.8, fingerprints of shingles differ in 10 of 64 bits on average, so pairs further apart are added by a prefix
+filter (Chaudhuri et al., 2006): with shingles in one order, rare ones first, two documents of similarity t share one of the
+first n - ceil(t n) + 1 of each. Shingles that no other document lists are left out before anything else is known of a
+document; pairs that share one and whose short SimHashes are not far too apart are candidates as well. All pairs within a
+group of candidates are decided by their shingles. The order only moves work: shingles are ranked by how many fall into
+their bucket.
+
+Texts are not shuffled to be looked up: a Bloom filter of the rows in question lets the others pass where they are, and only
+the rows it holds go into the exact join.
 
 Null and empty texts have no words: fingerprint zero. A null doc_id is not counted as the smallest; a component of null
 ids only has id null. Rows that repeat are all kept in the results.
@@ -44,6 +49,8 @@ LIST = 4096
 FEW = 100_000
 #: What a candidate and a probe cost, in candidates.
 PROBE_COST = 60.0
+#: Bits within which the pigeonhole search finds near copies by similarity; the prefix filter adds those further apart.
+NEAR = 7
 #: Documents of a group of candidates, or of a block of a larger group.
 GROUP = 1024
 #: Ranks of shingles come from counts of so many buckets of hashes.
@@ -51,6 +58,8 @@ BUCKETS = 1 << 18
 #: Words of the SimHash that passes candidates, and by how many standard errors it may miss the similarity.
 SKETCH_WORDS = 2
 MARGIN = 4.5
+#: Bits of a Bloom filter, at most; with more rows it holds more false ones, and the exact join gets them all.
+BLOOM = 1 << 28
 #: Documents with fewer shingles pass without it.
 FEW_SHINGLES = 16
 #: Odd 64-bit multipliers, one for each word of a sketch.
@@ -377,20 +386,55 @@ def rare(h: np.ndarray, rank: np.ndarray, similarity: float) -> np.ndarray:
     return h[order[: len(h) - math.ceil(similarity * len(h) - 1e-9) + 1]]
 
 
-def candidates(similarity: float):
-    """A test of pairs: sizes that allow the similarity, and SimHashes that don't rule it out."""
+def candidates(similarity: float, distance: int = -1):
+    """A test of pairs: sizes that allow the similarity, SimHashes that don't rule it out and are over the distance apart."""
     chance = math.acos(2 * similarity / (1 + similarity)) / math.pi
     bits = 64 * SKETCH_WORDS
     limit = bits * chance + MARGIN * math.sqrt(bits * chance * (1 - chance))
 
     def near(t, x, y):
         low, high = np.minimum(t["n"][x], t["n"][y]), np.maximum(t["n"][x], t["n"][y])
-        apart = sum(differing(t[f"s{k}"], x, y).astype(np.int64) for k in range(SKETCH_WORDS))
-        return (low >= similarity * high - 1e-9) & ((apart <= limit) | (high < FEW_SHINGLES))
+        bits = [differing(t[f"s{k}"], x, y).astype(np.int64) for k in range(SKETCH_WORDS)]
+        return (low >= similarity * high - 1e-9) & ((sum(bits) <= limit) | (high < FEW_SHINGLES)) & (bits[0] > distance)
 
     return near
 
 
+def rare_lister(rank: np.ndarray):
+    """A batch function: id and the rare shingles -> key, salt, id. Shingles of buckets that hold very many are dealt by salts,
+    from 1 up."""
+    often = rank >= 8 * math.log2(LIST + 8 * float(np.mean(np.exp2(rank / 8))))
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column("rare")
+            keys = lists.flatten().to_numpy()
+            ids = np.repeat(batch.column("id").to_numpy(), lists.value_lengths().to_numpy())
+            many = often[(keys.view(np.uint64) % np.uint64(BUCKETS)).astype(np.int64)]
+            salts = np.where(many, 1 + ids % 64, 0).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(salts), pa.array(ids)], names=["key", "salt", "id"])
+
+    return run
+
+
+def not_alone(batches):
+    """Rows sorted by key and salt -> key and id of those whose key another row has too; with a salt, of all."""
+    last = None  # the last row so far, not told of yet unless its key recurred
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key, salt, id = (batch.column(c).to_numpy() for c in ("key", "salt", "id"))
+        if last is not None:
+            key, salt, id = (np.concatenate(([x], y)) for x, y in zip(last[:3], (key, salt, id), strict=True))
+        same = (key[1:] == key[:-1]) & (salt[1:] == salt[:-1])
+        shared = np.concatenate((same, [False])) | np.concatenate(([False], same)) | (salt > 0)
+        told = last is not None and last[3]
+        last = key[-1], salt[-1], id[-1], bool(shared[-1])
+        if told:
+            shared[0] = False
+        yield pa.RecordBatch.from_arrays([pa.array(key[shared]), pa.array(id[shared])], names=["key", "id"])
+
+
 def shingler(words: int, rank: np.ndarray | None, similarity: float):
     """A batch function: text is the last column and gives way to s0, s1 and n, and with ranks to id (of the set of shingles)
     and the rare shingles, without ranks to all of them as bytes."""
@@ -450,6 +494,42 @@ def decider(similarity: float):
     return run
 
 
+def bloom_places(rows: np.ndarray, bits: int) -> np.ndarray:
+    """Three places of each row key in a filter of so many bits (a power of two)."""
+    shift = np.uint64(64 - (bits.bit_length() - 1))
+    return np.concatenate([(rows.view(np.uint64) * MIX2 * np.uint64(m)) >> shift for m in (1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)])
+
+
+def bloom(rows: DataFrame) -> np.ndarray:
+    """A Bloom filter of the row keys (the column row): 16 bits or more for each, up to BLOOM."""
+    bits = min(BLOOM, 1 << max(10, (16 * rows.count()).bit_length()))
+
+    def run(batches):
+        table = np.zeros(bits, bool)
+        for batch in batches:
+            table[bloom_places(batch.column(0).to_numpy(), bits)] = True
+        words = np.packbits(table, bitorder="little").view("<i8")
+        at = np.flatnonzero(words)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(words[at])], names=["at", "word"])
+
+    found = rows.select("row").mapInArrow(run, "at long, word long").groupBy("at").agg(F.bit_or("word").alias("word")).toArrow()
+    words = np.zeros(bits // 64, np.int64)
+    words[found["at"].to_numpy()] = found["word"].to_numpy()
+    return words.view(np.uint8)
+
+
+def sifted(df: DataFrame, key: str, table: np.ndarray, held: bool) -> DataFrame:
+    """The rows whose key the Bloom filter holds (and a few more), or all others."""
+
+    def run(batches):
+        for batch in batches:
+            at = bloom_places(batch.column(key).to_numpy(), 8 * len(table))
+            hit = ((table[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).reshape(3, -1).all(0)
+            yield batch.filter(pa.array(hit == held))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """The documents without near copies of one that stays (the smallest doc_id; of equal rows one).
 
@@ -459,23 +539,34 @@ def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
     row = F.xxhash64("doc_id", "text")
     own = docs.select(row.alias("row"), "doc_id", "text")
     marks = "".join(f"s{k} long, " for k in range(SKETCH_WORDS)) + "n int"
-    prints = own.mapInArrow(shingler(words, ranks(docs, words), similarity), f"{kept_columns(own)}, {marks}, id long, rare array<long>")
+    rank = ranks(docs, words)
+    prints = own.mapInArrow(shingler(words, rank, similarity), f"{kept_columns(own)}, {marks}, id long, rare array<long>")
     prints = stored(prints, "prints")
     fields = [*(f"s{k}" for k in range(SKETCH_WORDS)), "n"]
     # equal sets of shingles are one node; any of its rows has the text to take them from
-    nodes = stored(prints.groupBy("id").agg(*[F.any_value(c).alias(c) for c in (*fields, "rare")], F.min("row").alias("row")), "nodes")
-    listed = nodes.select(F.explode("rare").alias("key"), F.lit(0).cast("byte").alias("probe"), "id", *fields)
-    listed = dealt(listed, nodes.select(F.explode("rare").alias("key")), LIST).repartition("key", "salt").sortWithinPartitions("key", "salt")
-    near = components(listed.mapInArrow(verifier(fields, candidates(similarity)), "a long, b long"))
+    nodes = stored(prints.groupBy("id").agg(*[F.any_value(c).alias(c) for c in fields], F.min("row").alias("row")), "nodes")
+    close = links(nodes.select(F.col("s0").alias("fp"), "id"), NEAR)
+    # keys and ids alone are shuffled: nine rows in ten go, before the others get what is compared
+    listed = prints.groupBy("id").agg(F.any_value("rare").alias("rare")).mapInArrow(rare_lister(rank), "key long, salt int, id long")
+    listed = listed.repartition("key", "salt").sortWithinPartitions("key", "salt").mapInArrow(not_alone, "key long, id long")
+    listed = stored(listed, "listed")
+    rows = dealt(listed.hint("merge").join(nodes.select("id", *fields), "id").withColumn("probe", F.lit(0).cast("byte")), listed.select("key"), LIST)
+    rows = rows.repartition("key", "salt").sortWithinPartitions("key", "salt")
+    further = rows.mapInArrow(verifier(fields, candidates(similarity, NEAR)), "a long, b long")
+    near = components(close.unionAll(further))
     near = stored(near.join(nodes.select("id", "row"), near.node == F.col("id")).select("row", "id", F.col("root").alias("key")), "near")
-    taken = own.select("row", "text").join(near, "row").groupBy("row", "id", "key").agg(F.any_value("text").alias("text")).select("key", "id", "text")
+    taken = sifted(own.select("row", "text"), "row", bloom(near), True).join(near, "row").groupBy("row", "id", "key").agg(F.any_value("text").alias("text")).select("key", "id", "text")
     sets = dealt(taken.mapInArrow(shingler(words, None, similarity), f"key long, id long, {marks}, shingles binary"), near.select("key"), GROUP)
     sets = sets.repartition("key", "salt").sortWithinPartitions("key", "salt")
     found = components(sets.mapInArrow(decider(similarity), "a long, b long"))
     rooted = prints.join(found, prints.id == found.node, "left").select("row", "doc_id", F.coalesce("root", "id").alias("root"))
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")
     stay = stored(rooted.groupBy("root").agg(F.min(order).alias("first")).select(F.col("first.row").alias("_row")), "stay")
-    name = fresh("row", docs.columns)
-    kept = docs.withColumn(name, row).join(stay.withColumnRenamed("_row", name), name, "left_semi")
-    repeated = rooted.groupBy("row").count().where("count > 1").limit(1).count() > 0
-    return (kept.dropDuplicates([name]) if repeated else kept).select(*docs.columns)
+    # rows that go, or are repeated
+    asked = rooted.groupBy("row").count().join(stay, F.col("row") == F.col("_row"), "left").where("_row is null or count > 1")
+    asked = stored(asked.select("row", "count"), "asked")
+    name, table = fresh("row", docs.columns), bloom(asked)
+    keyed = docs.withColumn(name, row)
+    kept = sifted(keyed, name, table, True).join(stay.withColumnRenamed("_row", name), name, "left_semi")
+    kept = kept.dropDuplicates([name]) if asked.where("count > 1").limit(1).count() else kept
+    return sifted(keyed, name, table, False).unionByName(kept).select(*docs.columns)

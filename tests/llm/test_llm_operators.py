@@ -5,6 +5,7 @@ import itertools
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -195,6 +196,52 @@ def test_links_are_decided_by_the_shingles(spark):
     assert kept == set(range(len(rows))) - near
 
 
+def test_pigeonhole_search_finds_near_copies(spark, monkeypatch):
+    """Near copies within the bits are found by the search over fingerprints itself, with no shingle listed."""
+    rng, rows = random.Random(6), []
+    for k in range(30):  # one word of 300 differs
+        words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(300)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join([*words[:150], "edited", *words[151:]]))]
+    asked, links = [], simhash.links
+
+    def none(rank):
+        return lambda batches: (pa.RecordBatch.from_pydict({"key": [], "salt": [], "id": []}, schema=SHARED) for _ in batches)
+
+    SHARED = pa.schema([("key", pa.int64()), ("salt", pa.int32()), ("id", pa.int64())])
+    monkeypatch.setattr(simhash, "rare_lister", none)
+    monkeypatch.setattr(simhash, "links", lambda nodes, distance: asked.append(distance) or links(nodes, distance))
+    kept = {r["doc_id"] for r in simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == set(range(0, 60, 2)) and asked == [simhash.NEAR]
+
+
+@pytest.mark.parametrize("size", [1, 2, 7, 1000])
+def test_shingles_of_one_document_are_left_out(size):
+    """Rows whose key no other row has go, however batches are cut; with a salt all stay."""
+    rng = random.Random(size)
+    rows = sorted((rng.randrange(150), rng.choice((0, 0, 3)), k) for k in range(200))
+    count = Counter((key, salt) for key, salt, _ in rows)
+    table = pa.Table.from_pydict({c: [r[k] for r in rows] for k, c in enumerate(("key", "salt", "id"))})
+    got = [r for b in simhash.not_alone(iter(table.to_batches(size))) for r in zip(*b.to_pydict().values(), strict=True)]
+    assert got == [(key, k) for key, salt, k in rows if salt or count[key, salt] > 1]
+
+
+def test_texts_are_sifted_before_joins(spark, monkeypatch):
+    """A full Bloom filter, one that holds few and none: the same rows stay, and the filter forgets no key it was given."""
+    words = [f"w{k}" for k in range(400)]
+    rows = [(k, " ".join(words[k : k + 100])) for k in (0, 150, 300)] + [(7, " ".join(words[:100])), (7, " ".join(words[:100]))]
+    rows += [(9, None), (9, None), (None, "a b"), (300, " ".join(words[300:400]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    few = sorted(map(str, simhash.one_of_each(df).collect()))
+    assert len(few) == 5
+    keys = spark.range(3000).selectExpr("xxhash64(id) as row")
+    table = simhash.bloom(keys)
+    others = spark.range(3000, 23000).selectExpr("xxhash64(id) as row")
+    assert simhash.sifted(keys, "row", table, True).count() == 3000 and simhash.sifted(keys, "row", table, False).count() == 0
+    assert simhash.sifted(others, "row", table, True).count() < 400
+    monkeypatch.setattr(simhash, "BLOOM", 64)
+    assert sorted(map(str, simhash.one_of_each(df).collect())) == few
+
+
 def test_fm_index_and_decontamination(spark, docs):
     rng = np.random.default_rng(3)
     tokens = rng.integers(0, 4, 400)
