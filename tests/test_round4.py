@@ -7,6 +7,7 @@ from test_round3 import few, same_as_sql  # noqa: F401
 import __spark_entry__
 from labelproof.functions import strings as S
 from labelproof.operators import label_text as X
+from labelproof.operators import payload as P
 from labelproof.plans import audit as A
 from labelproof.plans import queries as Q
 
@@ -36,6 +37,21 @@ def test_payload_queries_end_in_saved_rows(spark, few, name):  # noqa: F811
     assert files and not [f for f in files if "orders.parquet" in f]
 
 
+def test_repeated_labels_are_not_compared_twice(spark):
+    """Labels that come twice are an error, as they were; a label without a payload is not compared."""
+    none = "array<string>"
+    kinds = ("article", "consignment", "product", "postcode", "weight", "cube", "date", "branding", "receiver", "sender")
+    schema = f"label_id bigint, payload_id bigint, identities {none}, identifiable boolean, " + "".join(f"{k}_values {none}, " for k in kinds) + (
+        "service_code string, label_dg boolean")
+    row = lambda k: (k, k, ["ABCDEF1"], True, *[["ABCDEF1"] if n == "article" else [] for n in kinds], None, None)
+    results = spark.createDataFrame([(k, "EP-ART-01", "") for k in (1, 2)], "label_id bigint, id string, actual string")
+    payloads = P.prepare_payloads(spark.createDataFrame([(1, '{"id": "ABCDEF1"}')], "payload_id bigint, raw_text string"))
+    compared = lambda *keys: P.compare_results(results, spark.createDataFrame([row(k) for k in keys], schema), payloads, False)
+    assert {(r["label_id"], r["payload_status"]) for r in compared(1, 2).collect()} == {(1, "match"), (2, None)}
+    with pytest.raises(Exception, match="repeat"):
+        compared(1, 1).collect()
+
+
 TEXTS = ["NZ", "ANZ NZ", "xNZ", "éNZ", "_NZ", "-NZ-", "NZx", "5kg", "a5kg", "x 12.50 KG.", "1 5.5kgs", "2170", "a2170", "2170b 3000", "éß2000 ", "exp EXP1", "TSE", "İkg"]
 
 
